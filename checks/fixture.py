@@ -1,9 +1,11 @@
 """The three inputs, projected from ``lineitem`` by text that Spark SQL and DuckDB both accept."""
 
+import uuid
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
+from memsight.session import shared_dir, stage
 from memsight.sources import tables
 
 CTES = """
@@ -41,28 +43,34 @@ MIN_ERRORS = 100     # batch classes: the default of 1000 is too high for this d
 ROLLING_ERRORS = 20  # rolling classes
 
 
-@lru_cache(maxsize=64)
-def raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One input as a (lazy) DataFrame; the file's schema is looked up once per session."""
+@lru_cache(maxsize=16)
+def _lineitem(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+
+
+def projected(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     _lineitem(spark, sf_dir).createOrReplaceTempView("lineitem")
     return spark.sql(f"WITH {CTES} SELECT * FROM {name}")
 
 
-@lru_cache(maxsize=16)
-def _lineitem(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+# The projections are stored once per session, as a deployment ingests its files once; the queries
+# then scan columns, prune months and plan with real file sizes.
 
 
+@lru_cache(maxsize=16)
 def log(spark, sf_dir):
-    return tables.error_log(raw(spark, sf_dir, "mcelog"))
+    rows = tables.error_log(projected(spark, sf_dir, "mcelog"))
+    return tables.store_log(rows, f"{shared_dir(spark)}/log-{uuid.uuid4().hex}")
 
 
+@lru_cache(maxsize=16)
 def inventory(spark, sf_dir):
-    return raw(spark, sf_dir, "inventory")
+    return stage(projected(spark, sf_dir, "inventory"))
 
 
+@lru_cache(maxsize=16)
 def tickets(spark, sf_dir):
-    return tables.trouble_tickets(raw(spark, sf_dir, "trouble_tickets"))
+    return stage(tables.trouble_tickets(projected(spark, sf_dir, "trouble_tickets")))
 
 
 def inputs(spark, sf_dir):

@@ -36,9 +36,12 @@ def offset_all_time(text: Column) -> Column:
 
 
 def month_of(offset: Column) -> Column:
-    """Month number 1..9 of an offset; NULL outside the calendar."""
-    number = sum((offset >= start).cast("int") for start in MONTH_START[1:]) + 1
-    return F.when((offset >= MONTH_START[0]) & (offset < RANGE_END), number)
+    """Month number 1..9 of an offset; NULL outside the calendar.
+
+    A lookup by day keeps ``offset``, often a parsed text, to one occurrence."""
+    lengths = [after - before for before, after in zip(DAYS_BEFORE, DAYS_BEFORE[1:] + [LAST_DAY])]
+    by_day = [month for month, days in enumerate(lengths, 1) for _ in range(days)]
+    return F.get(F.lit(by_day), F.floor(offset / DAY).cast("int") - 1)
 
 
 def month_start(month: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from memsight.functions.calendar import offset_all_time
+from memsight.functions.calendar import month_of, offset_all_time
 
 WRITE_ERROR = 3
 
@@ -66,13 +66,16 @@ def read_tickets(spark: SparkSession, path: str, sid=T.LongType()) -> DataFrame:
     return trouble_tickets(_read_csv(spark, path, ticket_schema(sid)))
 
 
-def ingest_error_log(spark: SparkSession, csv_path: str, out: str, sid=T.LongType()) -> DataFrame:
-    """Turn the CSV log into Parquet by month once; month slices then prune directories.
+def store_log(log: DataFrame, path: str) -> DataFrame:
+    """Write a log as Parquet with ``t`` parsed once and a directory per month, and read it back.
+
+    Month slices then prune directories. The rebalance hint makes files of an even size per month
+    and splits those of a heavy month."""
+    log = log.withColumn("month", month_of(F.col("t")))
+    log.hint("rebalance", F.col("month")).write.mode("overwrite").partitionBy("month").parquet(path)
+    return log.sparkSession.read.schema(log.schema).parquet(path)
 
-    ``repartition`` spreads each month over many writers by address, so that a server or cell
-    with a large share of the log does not end in one file."""
-    from memsight.functions.calendar import month_of
 
-    log = read_error_log(spark, csv_path, sid).withColumn("month", month_of(F.col("t")))
-    log.write.mode("overwrite").partitionBy("month").parquet(out)
-    return spark.read.parquet(out)
+def ingest_error_log(spark: SparkSession, csv_path: str, out: str, sid=T.LongType()) -> DataFrame:
+    """The CSV log, parsed and stored once."""
+    return store_log(read_error_log(spark, csv_path, sid), out)
