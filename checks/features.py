@@ -9,7 +9,8 @@ from memsight.constants import COMPONENTS, FREQUENCIES
 from memsight.functions.topology import CELL
 from memsight.operators import features, rolling, windows
 from memsight.operators.windows import GRID
-from memsight.plans.features import feature_columns, feature_table
+from memsight.operators.features import feature_columns
+from memsight.plans.features import feature_table
 
 MONTH = 6
 

@@ -5,7 +5,7 @@ from operator import and_
 
 from pyspark.sql import DataFrame, functions as F
 
-from memsight.constants import LEVELS
+from memsight.constants import COMPONENTS, LEVELS
 from memsight.functions.topology import with_topology
 from memsight.operators.windows import GRID, in_month
 
@@ -87,3 +87,15 @@ def with_one_hot(features: DataFrame, inventory: DataFrame) -> DataFrame:
     """Servers outside the inventory get all zeros. A server has at most a row per window of the
     calendar, so the join cannot be skewed by the size of its log."""
     return features.join(one_hot_table(inventory), "sid", "left").fillna(0, one_hot_columns())
+
+
+def feature_columns(group=4):
+    """The columns of feature groups 1..4 (6, 19, 37 and 52 features)."""
+    columns = [PREFIX + c for c in COUNTERS]
+    if group >= 2:
+        columns += [f"{PREFIX}{c}_error" for c in COMPONENTS] + [f"{PREFIX}{level}_count" for level in STAT_LEVELS]
+    if group >= 3:
+        columns += [f"{PREFIX}{level}_{s}" for level in STAT_LEVELS for s in STATS[1:]]
+    if group >= 4:
+        columns += one_hot_columns()
+    return columns

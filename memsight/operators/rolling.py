@@ -126,15 +126,13 @@ def _lines(rows: DataFrame) -> DataFrame:
     })
 
 
-def _level(parts: DataFrame, keys, counted, distinct, name, below, min_errors, complete=None, bounded=False) -> DataFrame:
+def _level(parts: DataFrame, keys, counted, distinct, name, below, min_errors, complete=None) -> DataFrame:
     """One level above lines: fault if more than ``min_errors`` live errors on more than one live part.
 
     ``counted`` and ``distinct``: the change columns of those two numbers. A fault takes all recent
-    errors of its group. ``bounded``: the group's rows are few enough to skip the combining shuffle.
+    errors of its group.
     """
     fields = list(dict.fromkeys(["n", "live", "entered", "recent", counted, distinct, *below]))
-    if bounded:
-        parts = parts.repartition("sid")
     per = parts.groupBy("sid", "month", *keys, "rb").agg(*_sum(*fields))
     run = _running(keys)
     per = per.withColumns({"live_now": F.sum("live").over(run), "_errors": F.sum(counted).over(run),
@@ -158,10 +156,12 @@ def component_features(cells: DataFrame, lookback=LOOKBACK, min_errors=MIN_ERROR
         "socketid": socketid(slot), "channelid": channelid(slot), "dimmid": dimmid(slot),
         "n_named": _if(named, F.col("n")), "live_named": _if(named, F.col("live")),
     })
+    # what is left of a server and month is at most a row per bank and grid point, whatever its
+    # errors: one shuffle serves the rest
+    banks = banks.repartition("sid", "month")
     channels = _level(banks, ["socketid", "channelid"], "n_named", "live_named", "channel",
                       ["bank", *FINE], min_errors)
-    # at most twelve channels per server and grid point are left: the rest stays in one partition per server
-    sockets = _level(channels, ["socketid"], "n", "live", "socket", ["channel", "bank", *FINE], min_errors, bounded=True)
+    sockets = _level(channels, ["socketid"], "n", "live", "socket", ["channel", "bank", *FINE], min_errors)
     return (
         sockets.groupBy(*GRID).agg(F.sum("entered").alias("entered"),
                                    *[F.sum(c).alias(f"{PREFIX}{c}_error") for c in COMPONENTS])

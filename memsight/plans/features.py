@@ -2,29 +2,15 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from memsight.constants import COMPONENTS, FREQUENCIES, LOOKBACK, MIN_ERRORS, RECENT
+from memsight.constants import FREQUENCIES, LOOKBACK, MIN_ERRORS, RECENT
 from memsight.functions.calendar import offset_to_text
-from memsight.operators.features import (
-    COUNTERS, PREFIX, STATS, STAT_LEVELS, counter_features, one_hot_columns, statistical_features, with_one_hot,
-)
+from memsight.operators.features import counter_features, feature_columns, statistical_features, with_one_hot
 from memsight.operators.rolling import component_features
 from memsight.operators.windows import GRID, cell_windows
 from memsight.session import stage
 from memsight.sources.stores import write_features
 
 
-def feature_columns(group=4):
-    """The columns of feature groups 1..4 (6, 19, 37 and 52 features)."""
-    columns = [PREFIX + c for c in COUNTERS]
-    if group >= 2:
-        columns += [f"{PREFIX}{c}_error" for c in COMPONENTS] + [f"{PREFIX}{level}_count" for level in STAT_LEVELS]
-    if group >= 3:
-        columns += [f"{PREFIX}{level}_{s}" for level in STAT_LEVELS for s in STATS[1:]]
-    if group >= 4:
-        columns += one_hot_columns()
-    return columns
-
-
 def feature_table(log: DataFrame, inventory: DataFrame, freq="5m", months=range(1, 9), min_errors=MIN_ERRORS,
                   recent=RECENT, lookback=LOOKBACK, compat_swap=False, staged=True) -> DataFrame:
     """sid, predict_time, t_predict, month, freq and the 52 features, a row per active window.
