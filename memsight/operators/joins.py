@@ -17,10 +17,11 @@ def is_small(*dims: DataFrame) -> bool:
     return all(estimated_bytes(d) <= BROADCAST_BYTES for d in dims)
 
 
-def join_salted(fact: DataFrame, dim: DataFrame, keys, how="inner", heavy_rows=HEAVY_ROWS) -> DataFrame:
+def join_salted(fact: DataFrame, dim: DataFrame, keys, how="inner", heavy_rows=HEAVY_ROWS, counted=None) -> DataFrame:
     """Equi-join in which every key with more than ``heavy_rows`` fact rows is split.
 
-    Heavy keys are counted first (map-side combined); there are at most rows / heavy_rows of them,
+    Heavy keys are counted first (map-side combined), in ``counted`` if it is cheaper to read than
+    ``fact`` and has no fewer rows; there are at most rows / heavy_rows of them,
     which bounds what is broadcast (400,000 keys at 2 * 10^12 rows). Their fact rows get a part number
     from the row's content and the input partition, which a retried task repeats; their rows in
     ``dim`` are copied to every part. The result is partitioned by (key, part), so an aggregation
@@ -29,7 +30,7 @@ def join_salted(fact: DataFrame, dim: DataFrame, keys, how="inner", heavy_rows=H
     """
     keys = list(keys)
     heavy = (
-        fact.groupBy(*keys).count().filter(F.col("count") > heavy_rows)
+        (fact if counted is None else counted).groupBy(*keys).count().filter(F.col("count") > heavy_rows)
         .select(*keys, F.ceil(F.col("count") / heavy_rows).cast("int").alias("_parts"))
     )
     heavy = F.broadcast(heavy)
@@ -61,5 +62,5 @@ def join_counted(log: DataFrame, dims, columns) -> DataFrame:
     if is_small(*dims):
         return reduce(lambda left, d: left.join(F.broadcast(d), "sid"), dims, rows).withColumn("n", F.lit(1))
     servers = reduce(lambda left, d: left.join(d, "sid"), dims)
-    counted = rows.groupBy("sid", *columns).agg(F.count(F.lit(1)).alias("n"))
-    return join_salted(counted, servers, ["sid"])
+    distinct = rows.groupBy("sid", *columns).agg(F.count(F.lit(1)).alias("n"))
+    return join_salted(distinct, servers, ["sid"], counted=log)

@@ -65,23 +65,21 @@ def under_sample(labelled: DataFrame, ratio=SAMPLE_RATIO, seed=SEED, keys=("sid"
         return labelled
     digest = F.md5(F.concat_ws("-", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
     hashed = labelled.withColumn("_h", digest).withColumn("_p", F.substring("_h", 1, 4))
-    negatives = hashed.filter(F.col("class") == 0)
-    one = F.lit(1).alias("_one")
-    wanted = labelled.agg(F.floor(F.count_if(F.col("class") == 1) / F.lit(ratio)).alias("_wanted")).select("_wanted", one)
-    so_far = F.sum("_n").over(W.partitionBy("_one").orderBy("_p"))
-    prefixes = (
-        negatives.groupBy("_p").agg(F.count(F.lit(1)).alias("_n")).select("*", one)
-        .withColumn("_before", so_far - F.col("_n")).join(F.broadcast(wanted), "_one")
-        .filter(F.col("_before") < F.col("_wanted"))
-        .select("_p", (F.col("_wanted") - F.col("_before")).alias("_take"), (F.col("_n") > F.col("_wanted") - F.col("_before")).alias("_cut"))
-    )
-    taken = negatives.join(F.broadcast(prefixes), "_p")
-    whole = taken.filter(~F.col("_cut"))
+    positive = F.col("class") == 1
+    histogram = hashed.groupBy("_p").agg(
+        F.count_if(positive).alias("_pos"), F.count_if(~positive).alias("_n")).withColumn("_all", F.lit(1))
+    everything = W.partitionBy("_all")
+    wanted = F.floor(F.sum("_pos").over(everything) / F.lit(ratio))
+    before = F.sum("_n").over(everything.orderBy("_p")) - F.col("_n")
+    prefixes = histogram.select(
+        "_p", F.greatest(wanted - before, F.lit(0)).alias("_take"), "_n").select(
+        "_p", "_take", (F.col("_n") <= F.col("_take")).alias("_whole"))
+    placed = hashed.join(F.broadcast(prefixes), "_p")
+    sure = placed.filter(positive | F.col("_whole"))
     rank = F.row_number().over(W.partitionBy("_p").orderBy("_h"))
-    boundary = taken.filter("_cut").withColumn("_rank", rank).filter(F.col("_rank") <= F.col("_take")).drop("_rank")
-    positives = hashed.filter(F.col("class") == 1)
-    return positives.select(*labelled.columns).unionByName(
-        whole.unionByName(boundary).select(*labelled.columns))
+    boundary = placed.filter(~positive & ~F.col("_whole") & (F.col("_take") > 0))
+    boundary = boundary.withColumn("_rank", rank).filter(F.col("_rank") <= F.col("_take"))
+    return sure.select(*labelled.columns).unionByName(boundary.select(*labelled.columns))
 
 
 def select_features(labelled: DataFrame, group=4) -> DataFrame:
