@@ -65,6 +65,7 @@ QUERIES = {
     "f5_statistical_5d": _f5("5d"),
     "f5_statistical_swapped": _f5("1h", True),
     "f6_one_hot": _f6,
+    "f7_features_5m": _f7("5m"),
     "f7_features_1h": _f7("1h"),
     "f7_features_5d_all_months": _f7("5d", range(1, 9)),
 }
@@ -165,6 +166,7 @@ ORACLE = {
     "f5_statistical_swapped": query("SELECT * EXCLUDE (month) FROM statistical",
                                     _windows("1h", [MONTH]) + "," + _statistical(True)),
     "f6_one_hot": query(f"SELECT sid, rb, {ONE_HOT} FROM active f", _windows("30m", [MONTH])),
+    "f7_features_5m": query("SELECT * EXCLUDE (t_predict) FROM features", features_cte("5m", [MONTH])),
     "f7_features_1h": query("SELECT * EXCLUDE (t_predict) FROM features", features_cte("1h", [MONTH])),
     "f7_features_5d_all_months": query("SELECT * EXCLUDE (t_predict) FROM features", features_cte("5d", range(1, 9))),
 }

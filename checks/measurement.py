@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from checks import fixture
 from checks.fixture import MIN_ERRORS
 from checks.sqltext import COMPONENT_ROWS, DAYS, JOINED, LOG, cascade, offset, query, text
+from memsight.constants import LEVELS
 from memsight.functions import calendar, topology
 from memsight.operators import measure, prepare, spatial
 
@@ -118,7 +119,11 @@ QUERIES = {
     "m10_hardware_manufacturer": _m10("server_manufacturer"),
     "m11_failure_rate": lambda s, d: _rounded(
         measure.failure_rate(*fixture.inputs(s, d), "DRAM_model"), "failure_rate"),
+    "m11_failure_rate_dimm_number": lambda s, d: _rounded(
+        measure.failure_rate(*fixture.inputs(s, d), "DIMM_number"), "failure_rate"),
     "m12_failure_numbers": lambda s, d: measure.failure_numbers(*fixture.inputs(s, d), "DRAM_model"),
+    "m12_failure_numbers_manufacturer": lambda s, d: measure.failure_numbers(
+        *fixture.inputs(s, d), "server_manufacturer"),
     "m13_read_scrub": lambda s, d: _rounded(
         measure.mean_read_scrub(*fixture.inputs(s, d)), "mean_read", "mean_scrub"),
     "m14_hard_cells": lambda s, d: spatial.hard_cells(*fixture.inputs(s, d)),
@@ -169,8 +174,8 @@ joined_hard AS (SELECT j.*, is_hard FROM joined j JOIN hard h ON j.sid = h.sid A
   AND j.col_no IS NOT DISTINCT FROM h.col_no)"""
 
 
-def _m10_sql(factor, levels):
-    values = ", ".join(f"('{v}')" for v in levels)
+def _m10_sql(factor):
+    values = ", ".join(f"('{v}')" for v in LEVELS[factor])
     return query(f"""
     SELECT f.failure_type, f.win_name AS "window", v.level, count(DISTINCT j.sid) AS n_sid, max(e.n_failures) AS n_failures,
       round(count(DISTINCT j.sid) / max(e.n_failures), 8) AS fraction
@@ -179,14 +184,21 @@ def _m10_sql(factor, levels):
     GROUP BY ALL""", JOINED + "," + PREDICTABLE)
 
 
-MODELS = "(VALUES ('A1'),('A2'),('B1'),('B2'),('B3'),('C1'),('C2'))"
-
-LEVEL_COUNTS = f"""
-SELECT v.level, (SELECT count(DISTINCT sid) FROM inventory WHERE DRAM_model = v.level) AS population,
-  (SELECT count(DISTINCT sid) FROM joined WHERE DRAM_model = v.level) AS n_failed,
-  (SELECT count(DISTINCT sid) FROM joined WHERE DRAM_model = v.level
+def _level_counts(factor):
+    levels = ", ".join(f"('{v}')" for v in LEVELS[factor])
+    here = f"CAST({factor} AS varchar) = v.level"
+    return f"""
+SELECT v.level, (SELECT count(DISTINCT sid) FROM inventory WHERE {here}) AS population,
+  (SELECT count(DISTINCT sid) FROM joined WHERE {here}) AS n_failed,
+  (SELECT count(DISTINCT sid) FROM joined WHERE {here}
      AND sid NOT IN (SELECT sid FROM joined WHERE td > 300)) AS n_unpredictable
-FROM {MODELS} v(level)"""
+FROM (VALUES {levels}) v(level)"""
+
+
+def _m11_sql(factor):
+    return query(f"SELECT level, population, n_failed, round(n_failed / population * 100, 8) AS failure_rate "
+                 f"FROM ({_level_counts(factor)})", JOINED)
+
 
 MONTHLY = LOG + """,
 monthly AS (
@@ -211,7 +223,7 @@ ORACLE = {
                           "WHERE failure_type > 0", LOG),
     "t6_topology": query("SELECT DISTINCT memoryid, CAST(memoryid >= 12 AS bigint) AS socketid, "
                          "(memoryid % 12) // 2 AS channelid, memoryid % 2 AS dimmid FROM log", LOG),
-    "t7_lead_class": query("SELECT CASE WHEN td / 60 <= 5 THEN 1 ELSE 2 END AS lead_class, count(*) AS n, "
+    "t7_lead_class": query("SELECT CAST(CASE WHEN td / 60 <= 5 THEN 1 ELSE 2 END AS bigint) AS lead_class, count(*) AS n, "
                            "max(td) AS longest FROM joined GROUP BY ALL", JOINED),
     "p1_with_inventory": query("SELECT log.*, DRAM_model, DIMM_number, server_manufacturer FROM log JOIN inventory USING (sid)", LOG),
     "p2_ticketed_only": query("SELECT * FROM log WHERE sid IN (SELECT sid FROM tickets)", LOG),
@@ -260,12 +272,13 @@ ORACLE = {
       SELECT failure_type, "window", component, n_ce, n_errors, round(n_ce / n_errors, 8) AS fraction
       FROM parts JOIN (SELECT failure_type, count(*) AS n_errors FROM joined GROUP BY ALL) USING (failure_type)
       WHERE component IN ('channel', 'bank', 'row', 'column')""", PARTS),
-    "m10_hardware_dram_model": _m10_sql("DRAM_model", ["A1", "A2", "B1", "B2", "B3", "C1", "C2"]),
-    "m10_hardware_dimm_number": _m10_sql("DIMM_number", [8, 12, 16, 24]),
-    "m10_hardware_manufacturer": _m10_sql("server_manufacturer", ["M1", "M2", "M3", "M4"]),
-    "m11_failure_rate": query(f"SELECT level, population, n_failed, round(n_failed / population * 100, 8) AS failure_rate "
-                              f"FROM ({LEVEL_COUNTS})", JOINED),
-    "m12_failure_numbers": query(LEVEL_COUNTS, JOINED),
+    "m10_hardware_dram_model": _m10_sql("DRAM_model"),
+    "m10_hardware_dimm_number": _m10_sql("DIMM_number"),
+    "m10_hardware_manufacturer": _m10_sql("server_manufacturer"),
+    "m11_failure_rate": _m11_sql("DRAM_model"),
+    "m11_failure_rate_dimm_number": _m11_sql("DIMM_number"),
+    "m12_failure_numbers": query(_level_counts("DRAM_model"), JOINED),
+    "m12_failure_numbers_manufacturer": query(_level_counts("server_manufacturer"), JOINED),
     "m13_read_scrub": query(_means({"read": "error_type = 1", "scrub": "error_type = 2"}), JOINED + "," + HARD),
     "m14_hard_cells": query(f"SELECT {CELL_COLS}, max(t) - min(t) > 43200 AS is_hard, count(*) AS n_errors "
                             "FROM joined GROUP BY ALL", JOINED),

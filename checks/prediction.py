@@ -77,11 +77,11 @@ def _positives(spark, d):
 
 
 def _e4(spark, d):
-    return rounded(evaluate.best_threshold(scored(spark, d), BY), 8)
+    return rounded(evaluate.best_threshold(scored(spark, d), BY), 8).fillna(-1)
 
 
 def _e5(spark, d):
-    return rounded(evaluate.best_threshold(scored(spark, d), BY, _positives(spark, d)), 8)
+    return rounded(evaluate.best_threshold(scored(spark, d), BY, _positives(spark, d)), 8).fillna(-1)
 
 
 def _e3(spark, d):
@@ -165,7 +165,7 @@ known AS (
 ROUND = ", ".join(f"round({c}, 8) AS {c}" for c in evaluate.METRICS)
 BEST = f"""
 SELECT g.failure_type, g.split, {', '.join(f'round(coalesce({c}, 0), 8) AS {c}' for c in evaluate.METRICS)},
-  coalesce(threshold, 0) AS threshold, tp, fp, fn, tn
+  coalesce(threshold, 0) AS threshold, {', '.join(f'coalesce({c}, -1) AS {c}' for c in ('tp', 'fp', 'fn', 'tn'))}
 FROM (SELECT DISTINCT failure_type, split FROM metrics) g LEFT JOIN (
   SELECT *, row_number() OVER (PARTITION BY failure_type, split ORDER BY f1 DESC, threshold) AS k FROM metrics WHERE f1 > 0) b
   ON b.failure_type = g.failure_type AND b.split = g.split AND k = 1"""
@@ -185,7 +185,7 @@ ORACLE = {
         SELECT *, row_number() OVER (PARTITION BY class ORDER BY md5('42-' || CAST(sid AS varchar) || '-' || predict_time)) AS k
         FROM train) WHERE class = 1 OR k <= (SELECT floor(count(*) / CAST(0.02 AS double)) FROM train WHERE class = 1)""", TRAIN),
     "l5_feature_group": query(f"SELECT sid, predict_time, {GROUP_2}, class FROM labelled", TABLE),
-    "l6_matrix": query("SELECT sid, predict_time, CAST(class AS double) AS class, 52 AS n_features, "
+    "l6_matrix": query("SELECT sid, predict_time, CAST(class AS double) AS class, CAST(52 AS bigint) AS n_features, "
                        + " + ".join(f'floor("{c}" + 0.0001)' for c in feature_columns()) + " AS total FROM labelled", TABLE),
     "e1_confusion": query("SELECT * EXCLUDE (threshold) FROM confusion WHERE threshold = 0.5", SCORED + "," + CONFUSION),
     "e2_metrics": query(f"SELECT failure_type, split, tp, fp, fn, tn, {ROUND} FROM (SELECT {_metrics()} FROM confusion "

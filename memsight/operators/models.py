@@ -115,12 +115,23 @@ def _estimator(model, params, train):
     raise ValueError(f"unknown model {model}; one of {', '.join(GRIDS)}")
 
 
+def _bags(train, n):
+    """``n`` samples of 1/n of the rows each. Rows are drawn by a hash of their key, so that a retried
+    or repeated job draws the same; bags without both classes are left out."""
+    def drawn(i):
+        return F.pmod(F.xxhash64("sid", "t_predict", F.lit(SEED + i)), F.lit(n)) == 0
+
+    positive = F.col("class") == 1
+    counts = train.agg(*[F.count_if(drawn(i) & kind).alias(f"{name}{i}")
+                         for i in range(n) for name, kind in (("p", positive), ("n", ~positive))]).first()
+    usable = [i for i in range(n) if counts[f"p{i}"] and counts[f"n{i}"]]
+    return [train.filter(drawn(i)) for i in usable] or [train]
+
+
 def fit(model: str, params: dict, train: DataFrame):
     """A scorer for RF, GBDT, LR, SVM or MLP. ``train`` is an under-sampled matrix: Spark ML passes
     over it many times, so hand in a staged or cached one."""
     if model == "SVM":
-        n = params["members"]
-        bags = [train.sample(True, 1.0 / n, SEED + i) for i in range(n)]
         machine = LinearSVC(labelCol="class", featuresCol="features", maxIter=20)
-        return BagScorer([machine.fit(bag) for bag in bags])
+        return BagScorer([machine.fit(bag) for bag in _bags(train, params["members"])])
     return Scorer(Pipeline(stages=[_estimator(model, params, train)]).fit(train))

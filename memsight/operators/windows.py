@@ -84,7 +84,7 @@ def cell_windows(log: DataFrame, freq: int, months, recent=RECENT, lookback=LOOK
         "far_t": F.max("t").over(by_time.rangeBetween(W.unboundedPreceding, -(hard_span + 1))),
     })
     own = month_of(t)
-    served = F.array_intersect(F.array(own, own + 1), F.array(*[F.lit(m) for m in months]))
+    served = F.array_compact(F.array(*[F.when(m.isin(list(months)), m) for m in (own, own + 1)]))
     seconds = seconds.withColumn("month", F.explode(served))
     start = month_start(F.col("month"))
     seconds = seconds.withColumn("rb", right_bound(t, start, freq))

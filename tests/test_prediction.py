@@ -159,3 +159,10 @@ def test_experiment_four_and_replay(spark, tmp_path):
     assert experiments.replay(data, df, 4, 1, 1).first()["f1"] == 1
     assert experiments.averages(report).first()["f1"] == 1
     assert experiments.by_feature_group(data, [1], [2], [1], grid).first()["f1"] == 0
+
+
+def test_bags_without_both_classes_are_left_out(separable):
+    few = separable.filter("class = 0 or sid = 8")
+    scorer = models.fit("SVM", {"members": 10}, few)
+    assert 1 <= len(scorer.members) < 10
+    assert scorer.score(few).filter("pred between 0 and 1").count() == few.count()
