@@ -26,6 +26,10 @@ def build_session(app="memsight", master=None, **conf):
         "spark.ui.enabled": "false",
         # recording the Python call site of every column doubles the time to build a wide plan
         "spark.python.sql.dataFrameDebugging.enabled": "false",
+        # a run generates more classes than the default cache of 100 holds
+        "spark.sql.codegen.cache.maxEntries": "2000",
+        # groupings by cell and window have too many keys for the small first-level hash map
+        "spark.sql.codegen.aggregate.map.twolevel.enabled": "false",
     }
     settings.update(conf)
     for key, value in settings.items():
