@@ -1,6 +1,10 @@
 """Registered queries of the corpus operators, over whole tables, and their DuckDB text where SQL can say it."""
 
+import importlib.util
+import os
+
 from llm.near_duplicates import near_duplicates
+from llm.sentencepiece_bpe import tokenize
 
 
 def documents(spark, sf_dir):
@@ -12,8 +16,19 @@ def op4_superminhash(spark, sf_dir):
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def model_path():
+    """piece_bpe_32k.model of the installed package of public tokenizers (found without a global import)."""
+    found = importlib.util.find_spec("public_tokenizers")
+    return os.path.join(os.path.dirname(found.origin), "piece_bpe_32k.model")
+
+
+def op10_sentencepiece(spark, sf_dir):
+    return tokenize(documents(spark, sf_dir), model_path(), ("n_tokens", "ids_sha256", "decoded_sha256"))
+
+
 QUERIES = {
     "op4_superminhash": op4_superminhash,
+    "op10_sentencepiece": op10_sentencepiece,
 }
 
 ORACLE = {}

@@ -134,6 +134,11 @@ def shingles(hashes, bounds, k):
     return out, out_bounds
 
 
+def _distinct(values):
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
+
+
 def shingle_sets(column, k, breaks=SPACES):
     """For each chunk of rows: (first row, hashes, bounds) with sorted distinct shingle hashes of each text."""
     raw, offsets = text_bytes(column)
@@ -142,6 +147,6 @@ def shingle_sets(column, k, breaks=SPACES):
         at = offsets[first:last + 1] - offsets[first]
         starts, ends, bounds = words(own, at, breaks)
         values, bounds = shingles(word_hashes(own, starts, ends), bounds, k)
-        parts = [np.unique(values[bounds[i]:bounds[i + 1]]) for i in range(last - first)]
+        parts = [_distinct(values[bounds[i]:bounds[i + 1]]) for i in range(last - first)]
         sizes = np.array([len(p) for p in parts], np.int64)
         yield first, np.concatenate(parts), np.concatenate([[0], np.cumsum(sizes)])
