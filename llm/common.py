@@ -55,19 +55,21 @@ def union_find(a, b):
     return ids[mine], ids[roots[mine]]
 
 
-EDGE_BATCH = 1 << 18  # edges contracted at once
-
-
-def _contract(batches):
-    held, size = [], 0
-    for batch in batches:
-        held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
-        size += batch.num_rows
-        if size >= EDGE_BATCH:
+EDGE_BATCH = 1 << 18  # edges that a task contracts at once: 4 MB
+
+
+def _contract(limit):
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+            size += batch.num_rows
+            if size >= limit:
+                yield _edges(*map(np.concatenate, zip(*held)))
+                held, size = [], 0
+        if size:
             yield _edges(*map(np.concatenate, zip(*held)))
-            held, size = [], 0
-    if size:
-        yield _edges(*map(np.concatenate, zip(*held)))
+    return run
 
 
 def _edges(a, b):
@@ -75,27 +77,28 @@ def _edges(a, b):
     return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(roots)], ["a", "b"])
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, batch=EDGE_BATCH) -> DataFrame:
     """Edges (a, b), longs in any order -> (node, component): the smallest node reachable, for every node but
     the smallest ones themselves.
 
-    Rounds of: union-find within bounded batches of each task (a group becomes a star), then every node hands all
-    its roots to the smallest one. Each round is staged; it ends when no node has two roots and no root is a node.
-    Hot nodes are pre-aggregated and their join can be split by adaptive execution."""
-    edges = edges.select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")) \
-        .where("a <> b")
+    Edges that fit one batch are united by one union-find. Else rounds: union-find within batches of each task, which
+    makes stars of groups; every node hangs itself and its other roots on its smallest root (a map-side combined
+    aggregation), then on that root's own root (a join that adaptive execution can split). Every round is staged; the
+    rounds end when no node has two roots and no root has one."""
+    edges = stage(edges.select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b"))
+                  .where("a <> b"))
+    contract = _contract(batch)
+    if edges.limit(batch + 1).count() <= batch:
+        united = stage(edges.coalesce(1).mapInArrow(contract, "a long, b long"))
+        return united.select(F.col("a").alias("node"), F.col("b").alias("component"))
     while True:
-        stars = stage(edges.mapInArrow(_contract, "a long, b long").distinct())
-        lowest = stage(stars.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")))
-        above = lowest.select(F.col("a").alias("m"))
-        unsettled = lowest.join(small(above), "m", "left_semi")
-        if not lowest.where("n > 1").limit(1).count() and not unsettled.limit(1).count():
-            return lowest.select(F.col("a").alias("node"), F.col("m").alias("component"))
-        kept = lowest.select("a", F.col("m").alias("b"))
-        others = stars.join(lowest.select("a", "m"), "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        # edges that share their smaller end meet in a task, unless that end is hot
-        parts = F.when(F.col("hot"), F.pmod(F.xxhash64("a"), F.lit(1 << 20))).otherwise(F.lit(0))
-        merged = stage(kept.unionByName(others).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
-        hot = merged.groupBy("b").count().where(f"count > {EDGE_BATCH}").select("b", F.lit(True).alias("hot"))
-        edges = merged.join(small(stage(hot)), "b", "left").select("a", "b", F.coalesce("hot", F.lit(False)).alias("hot"))
-        edges = edges.withColumn("part", parts).repartition("b", "part").select("a", "b")
+        stars = edges.mapInArrow(contract, "a long, b long")
+        # a task gives a node one root for each batch, so the set is small
+        roots = stage(stars.groupBy("a").agg(F.collect_set("b").alias("roots")).withColumn("m", F.array_min("roots")))
+        upper = small(roots.select(F.col("a").alias("m"), F.col("m").alias("up")))
+        hung = stage(roots.join(upper, "m", "left").select(
+            "a", F.coalesce("up", "m").alias("b"), "roots", (F.col("up").isNotNull() | (F.size("roots") > 1)).alias("open")))
+        if not hung.where("open").limit(1).count():
+            return hung.select(F.col("a").alias("node"), F.col("b").alias("component"))
+        edges = hung.select("a", "b").unionByName(
+            hung.where("size(roots) > 1").select(F.explode("roots").alias("a"), "b").where("a <> b"))

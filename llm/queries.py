@@ -4,6 +4,8 @@ import importlib.util
 import os
 
 from llm.near_duplicates import near_duplicates
+from llm.near_vectors import near_vectors
+from llm.neighbours import neighbours
 from llm.sentencepiece_bpe import tokenize
 
 
@@ -22,12 +24,26 @@ def model_path():
     return os.path.join(os.path.dirname(found.origin), "piece_bpe_32k.model")
 
 
+def embeddings(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
+def op7_lattice(spark, sf_dir):
+    return near_vectors(embeddings(spark, sf_dir))
+
+
+def op9_learned_partitions(spark, sf_dir):
+    return neighbours(embeddings(spark, sf_dir), "vec_id % 20 = 0", k=20)
+
+
 def op10_sentencepiece(spark, sf_dir):
     return tokenize(documents(spark, sf_dir), model_path(), ("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
 QUERIES = {
     "op4_superminhash": op4_superminhash,
+    "op7_lattice": op7_lattice,
+    "op9_learned_partitions": op9_learned_partitions,
     "op10_sentencepiece": op10_sentencepiece,
 }
 
