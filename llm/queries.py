@@ -3,16 +3,24 @@
 import importlib.util
 import os
 
+from llm.licenses import scan_licenses
+from llm.mixing import mix
 from llm.near_duplicates import near_duplicates
 from llm.near_vectors import near_vectors
 from llm.neighbours import neighbours
+from llm.personal_data import find_personal_data
 from llm.sentencepiece_bpe import tokenize
+from llm.sharding import shard_documents
 
 
 def documents(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_label_propagation(spark, sf_dir):
+    return shard_documents(documents(spark, sf_dir), shards=16)
+
+
 def op4_superminhash(spark, sf_dir):
     found = near_duplicates(documents(spark, sf_dir), shingle=2, percent=80)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
@@ -24,6 +32,18 @@ def model_path():
     return os.path.join(os.path.dirname(found.origin), "piece_bpe_32k.model")
 
 
+def op5_source_mix(spark, sf_dir):
+    return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op6_bootstrapped_contexts(spark, sf_dir):
+    return find_personal_data(documents(spark, sf_dir)).drop("hash", "added")
+
+
+def op8_diagonal_voting(spark, sf_dir):
+    return scan_licenses(documents(spark, sf_dir)).drop("spans")
+
+
 def embeddings(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
 
@@ -41,7 +61,11 @@ def op10_sentencepiece(spark, sf_dir):
 
 
 QUERIES = {
+    "op2_label_propagation": op2_label_propagation,
     "op4_superminhash": op4_superminhash,
+    "op5_source_mix": op5_source_mix,
+    "op6_bootstrapped_contexts": op6_bootstrapped_contexts,
+    "op8_diagonal_voting": op8_diagonal_voting,
     "op7_lattice": op7_lattice,
     "op9_learned_partitions": op9_learned_partitions,
     "op10_sentencepiece": op10_sentencepiece,
