@@ -221,3 +221,42 @@ def find_personal_data(docs: DataFrame, id_col="doc_id", text_col="text", rounds
     return whole.select(
         "doc_id", "hash", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"),
         F.array_join(F.transform(every, lambda x: text(F.struct(x["start"], x["to"], x["end"]))), ",").alias("spans"), "added")
+
+
+def mask(text, spans):
+    """``text`` with each span replaced by its kind in angle brackets; spans that overlap become one, of the first's kind."""
+    out, at = [], 0
+    for start, kind, end in sorted(spans):
+        if start < at:
+            at = max(at, end)
+            continue
+        out += [text[at:start], f"<{KINDS[kind].upper()}>"]
+        at = end
+    return "".join(out) + text[at:]
+
+
+def _redact(text_col):
+    def run(batches):
+        for batch in batches:
+            place = batch.schema.get_field_index(text_col)
+            more = batch.column(batch.num_columns - 1).to_pylist()
+            texts = []
+            for text, extra in zip(batch.column(place).to_pylist(), more):
+                spans = base_spans(text) if text else []
+                spans += [(x["start"], x["to"], x["end"]) for x in extra or []]
+                texts.append(mask(text, spans) if spans else text)
+            made = list(batch.columns[:-1])
+            made[place] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(made, batch.schema.names[:-1])
+    return run
+
+
+def redact(docs: DataFrame, id_col="doc_id", text_col="text", **options) -> DataFrame:
+    """``docs`` with the spans of ``find_personal_data`` masked in their texts; rows and other columns stay. Null texts
+    stay null."""
+    found = find_personal_data(docs, id_col, text_col, **options).where("added IS NOT NULL").select(
+        F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"), "added").dropDuplicates(["_id", "_hash"])
+    found = small(stage(found))
+    same = docs[id_col].eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text_col].cast("string")) == F.col("_hash"))
+    return docs.join(found, same, "left").select(*[docs[c] for c in docs.columns], F.col("added").alias("_added")) \
+        .mapInArrow(_redact(text_col), docs.schema)

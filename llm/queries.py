@@ -3,24 +3,41 @@
 import importlib.util
 import os
 
+from pyspark.sql import functions as F
+
 from llm.licenses import scan_licenses
 from llm.mixing import mix
 from llm.near_duplicates import near_duplicates
 from llm.near_vectors import near_vectors
 from llm.neighbours import neighbours
 from llm.personal_data import find_personal_data
+from llm.quality import classify_quality
 from llm.sentencepiece_bpe import tokenize
 from llm.sharding import shard_documents
+from llm.toxicity import score_toxicity
 
 
 def documents(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def labels(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op1_empirical_bayes(spark, sf_dir):
+    judged = classify_quality(documents(spark, sf_dir), labels(spark, sf_dir), F.col("source"), F.concat_ws("/", "source", "lang"))
+    return judged.drop("hash")
+
+
 def op2_label_propagation(spark, sf_dir):
     return shard_documents(documents(spark, sf_dir), shards=16)
 
 
+def op3_random_field(spark, sf_dir):
+    return score_toxicity(documents(spark, sf_dir), labels(spark, sf_dir)).drop("spans")
+
+
 def op4_superminhash(spark, sf_dir):
     found = near_duplicates(documents(spark, sf_dir), shingle=2, percent=80)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
@@ -61,7 +78,9 @@ def op10_sentencepiece(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_empirical_bayes": op1_empirical_bayes,
     "op2_label_propagation": op2_label_propagation,
+    "op3_random_field": op3_random_field,
     "op4_superminhash": op4_superminhash,
     "op5_source_mix": op5_source_mix,
     "op6_bootstrapped_contexts": op6_bootstrapped_contexts,
