@@ -134,8 +134,8 @@ def fit(texts, toxic):
     """texts: arrays of word hashes; toxic: 0 or 1 of each. The first half gives token labels and the field, the second
     half the scores' scale, so that chance finds of the first are not trusted.
 
-    A token is labelled toxic if its document is and its word is found far more often in toxic documents than in
-    others (log-odds over 1.5 and 3.5 standard errors)."""
+    A token is labelled toxic if its document is and its word is found in more toxic documents than chance explains (a
+    bound on the binomial tail, below 0.05 for all words together)."""
     toxic = np.asarray(toxic)
     half = np.arange(len(texts)) % 2 == 0
     rate = (toxic.sum() + 0.5) / (len(toxic) + 1)
@@ -147,12 +147,14 @@ def fit(texts, toxic):
     which = np.repeat(toxic[half], [len(w) for w in own])
     known, index = np.unique(np.concatenate(own), return_inverse=True)
     n1, n0 = np.bincount(index[which == 1], minlength=len(known)), np.bincount(index[which == 0], minlength=len(known))
-    all1, all0 = toxic[half].sum(), (1 - toxic[half]).sum()
-    odds = np.log((n1 + 0.5) / (all1 + 1)) - np.log((n0 + 0.5) / (all0 + 1))
-    marks = known[(odds > 1.5) & (odds > 3.5 * np.sqrt(1 / (n1 + 0.5) + 1 / (n0 + 0.5))) & (n1 >= 3)]
+    often, base = n1 + n0 >= 3, toxic[half].mean()
+    n = np.maximum(n1 + n0, 1)
+    share = np.clip(n1 / n, 1e-9, 1 - 1e-9)
+    surprise = n * (share * np.log(share / base) + (1 - share) * np.log((1 - share) / (1 - base)))
+    marks = known[often & (n1 > 2 * base * n) & (surprise > np.log(often.sum() / 0.05))]
     if not len(marks):
         return bare
-    known = known[n1 + n0 >= 3]
+    known = known[often]
     ones, zeros = np.flatnonzero(half & (toxic == 1)), np.flatnonzero(half & (toxic == 0))
     ones = ones[:CHAIN_DOCS // 2]
     chain = np.sort(np.concatenate([ones, zeros[:CHAIN_DOCS - len(ones)]]))
