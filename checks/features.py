@@ -33,7 +33,7 @@ def _f3(freq):
 
 
 def _f4(freq):
-    return lambda s, d: rolling.component_features(_cells(s, d, freq), min_errors=ROLLING_ERRORS).drop("month")
+    return lambda s, d: rolling.component_features(_cells(s, d, freq), FREQUENCIES[freq], min_errors=ROLLING_ERRORS).drop("month")
 
 
 def _f5(freq, swap=False):

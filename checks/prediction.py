@@ -85,7 +85,7 @@ def _e5(spark, d):
 
 
 def _e3(spark, d):
-    cells = evaluate.confusion(scored(spark, d), 0.5, BY).join(_positives(spark, d), BY)
+    cells = evaluate.confusion(scored(spark, d), 0.5, BY).join(_positives(spark, d), BY, "left").fillna(0, ["positives"])
     return rounded(evaluate.with_metrics(cells, "positives"), 8)
 
 
@@ -157,10 +157,14 @@ def _metrics(fn="fn", low=False):
 
 # known positives: joined rows of the test months' failures
 KNOWN = """
-known AS (
+counted AS (
   SELECT k.failure_type, CAST(substr(failed_time, 6, 2) AS int) - 5 AS split, count(DISTINCT k.sid) AS positives
   FROM tickets k JOIN log USING (sid) WHERE k.failure_type > 0 AND substr(failed_time, 6, 2) IN ('06', '07', '08')
-    AND sid IN (SELECT sid FROM inventory) AND failed_off - t > 300 GROUP BY ALL)"""
+    AND sid IN (SELECT sid FROM inventory) AND failed_off - t > 300 GROUP BY ALL),
+known AS (
+  SELECT f.failure_type, s.split, coalesce(positives, 0) AS positives
+  FROM (VALUES (1), (2), (3)) f(failure_type) CROSS JOIN (VALUES (1), (2), (3)) s(split)
+  LEFT JOIN counted c ON c.failure_type = f.failure_type AND c.split = s.split)"""
 
 ROUND = ", ".join(f"round({c}, 8) AS {c}" for c in evaluate.METRICS)
 BEST = f"""
@@ -197,8 +201,10 @@ ORACLE = {
     "e5_best_threshold_known": query(BEST, SCORED + "," + CONFUSION + "," + KNOWN + f""",
       metrics AS (SELECT {_metrics('(positives - tp)', True)} FROM confusion JOIN known USING (failure_type, split))"""),
     "e6_lead_time": query("""
-      SELECT failure_type, split, count(*) FILTER (failed_off - first_predict <= 300) AS n_useless,
+      SELECT g.failure_type, g.split, count(*) FILTER (failed_off - first_predict <= 300) AS n_useless,
         count(*) FILTER (failed_off - first_predict > 300) AS n_useful
-      FROM (SELECT failure_type, split, sid, min(t_predict) AS first_predict FROM scored WHERE pred > 0.5 AND class = 1 GROUP BY ALL)
-      JOIN (SELECT sid, failed_off FROM tickets) USING (sid) GROUP BY ALL""", SCORED),
+      FROM (SELECT DISTINCT failure_type, split FROM scored) g
+      LEFT JOIN (SELECT failure_type, split, sid, min(t_predict) AS first_predict FROM scored WHERE pred > 0.5 AND class = 1
+        GROUP BY ALL) p ON p.failure_type = g.failure_type AND p.split = g.split
+      LEFT JOIN (SELECT sid, failed_off FROM tickets) k ON k.sid = p.sid GROUP BY ALL""", SCORED),
 }

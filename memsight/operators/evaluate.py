@@ -8,8 +8,8 @@ threshold is then a comparison with these.
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from memsight.functions.calendar import lead_class, month_of
-from memsight.operators.measure import lead_times
 from memsight.operators.prepare import typed
+from memsight.operators.reports import fill, scaffold
 
 THRESHOLDS = [i / 100 for i in range(100)]
 MAX_FPR = 0.01
@@ -111,7 +111,8 @@ def best_threshold(scored: DataFrame, by=(), positives=None) -> DataFrame:
     else:
         shared = [c for c in by if c in positives.columns]
         known = positives.select(*shared, F.col("positives").alias("_known"))
-        rows = with_metrics(cells.join(F.broadcast(known), shared), "_known")
+        cells = cells.join(F.broadcast(known), shared, "left").fillna(0, ["_known"])
+        rows = with_metrics(cells, "_known")
     names = [*METRICS, "tp", "fp", "fn", "tn", "threshold"]
     best = F.max_by(F.struct(*names), F.when(F.col("f1") > 0, F.struct("f1", -F.col("threshold"))))
     picked = rows.groupBy(*by).agg(best.alias("b"))
@@ -120,26 +121,32 @@ def best_threshold(scored: DataFrame, by=(), positives=None) -> DataFrame:
 
 
 def known_positives(log, tickets, inventory, splits, window=300) -> DataFrame:
-    """(failure_type, split, positives): servers whose failure in the split's test month has an error
-    more than ``window`` seconds before it."""
+    """(failure_type, split, positives): servers with a failure in the split's test month that has an error more than
+    ``window`` seconds before it; a row for each failure type and split, zeros included.
+
+    Each failure counts on its own: a server's first error decides for every one of its tickets."""
     months = {test: split for split, (_, test) in splits.items()}
-    failures = tickets.filter(month_of(F.col("failed_off")).isin(list(months)))
     month = month_of(F.col("failed_off"))
-    at = typed(failures).select("sid", "failure_type", month.alias("month")).distinct()
-    predictable = lead_times(log, failures, inventory).filter(F.col("max_td") > window)
-    split = F.get(F.lit([months.get(m) for m in range(max(months) + 1)]), F.col("month"))
-    return at.join(predictable, ["sid", "failure_type"]).groupBy("failure_type", split.alias("split")).agg(
-        F.count_distinct("sid").alias("positives"))
+    failures = typed(tickets).filter(month.isin(list(months))).select("sid", "failure_type", "failed_off")
+    first = log.groupBy("sid").agg(F.min("t").alias("first_t")).join(inventory.select("sid").distinct(), "sid", "left_semi")
+    early = failures.join(first, "sid").filter(F.col("failed_off") - F.col("first_t") > window)
+    split = F.get(F.lit([months.get(m) for m in range(max(months) + 1)]), month)
+    counts = early.groupBy("failure_type", split.alias("split")).agg(F.count_distinct("sid").alias("positives"))
+    frame = scaffold(log.sparkSession, None, split=sorted(months.values()))
+    return fill(counts, frame, ["failure_type", "split"], ["positives"])
 
 
 def lead_time(scored: DataFrame, tickets: DataFrame, threshold, by=()) -> DataFrame:
     """Of the servers rightly predicted: failures at most five minutes after the first such
     prediction (``n_useless``), and later ones (``n_useful``).
 
-    ``threshold``: a number, or the name of a column of ``scored``."""
+    ``threshold``: a number, or the name of a column of ``scored``. Groups without such a server have zeros."""
     limit = F.col(threshold) if isinstance(threshold, str) else F.lit(threshold)
     first = scored.filter((F.col("pred") > limit) & (F.col("class") == 1)).groupBy(*by, "sid").agg(
         F.min("t_predict").alias("first_predict"))
     hits = first.join(tickets.select("sid", "failed_off"), "sid")
     kind = lead_class(F.col("failed_off") - F.col("first_predict"))
-    return hits.groupBy(*by).agg(F.count_if(kind == 1).alias("n_useless"), F.count_if(kind == 2).alias("n_useful"))
+    counts = hits.groupBy(*by).agg(F.count_if(kind == 1).alias("n_useless"), F.count_if(kind == 2).alias("n_useful"))
+    if not by:
+        return counts
+    return fill(counts, scored.select(*by).distinct(), by, ["n_useless", "n_useful"])

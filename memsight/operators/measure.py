@@ -83,18 +83,24 @@ def _over(name, seconds):
     return F.count_if(F.col("max_td") > seconds).alias(f"n_sid_{name}")
 
 
-def predictable_counts(log, tickets, inventory, windows=WINDOWS) -> DataFrame:
-    """(failure_type, window, n_sid): failed servers with an error longer than the window before the failure."""
-    wide = lead_times(log, tickets, inventory).groupBy("failure_type").agg(
+def predictable_counts(log, tickets, inventory, windows=WINDOWS, leads=None) -> DataFrame:
+    """(failure_type, window, n_sid): failed servers with an error longer than the window before the failure.
+
+    ``leads``: ready rows of ``lead_times``, also with hardware columns; a server may then have several."""
+    if leads is None:
+        leads = lead_times(log, tickets, inventory)
+    else:
+        leads = leads.groupBy("failure_type", "sid").agg(F.max("max_td").alias("max_td"))
+    wide = leads.groupBy("failure_type").agg(
         *[_over(name, seconds) for name, seconds in windows.items()])
     rows = unpivot_windows(wide, ["failure_type"], ["n_sid"], windows)
     return fill(rows, scaffold(log.sparkSession, windows), ["failure_type", "window"], ["n_sid"])
 
 
-def predictable_fraction(log, tickets, inventory, windows=WINDOWS, failures=None) -> DataFrame:
+def predictable_fraction(log, tickets, inventory, windows=WINDOWS, failures=None, leads=None) -> DataFrame:
     """Predictable servers / ticket rows of the type (rows, as published, not servers)."""
     failures = failures_by_type(tickets) if failures is None else failures
-    out = predictable_counts(log, tickets, inventory, windows).join(F.broadcast(failures), "failure_type", "left")
+    out = predictable_counts(log, tickets, inventory, windows, leads).join(F.broadcast(failures), "failure_type", "left")
     return out.withColumn("fraction", F.try_divide("n_sid", "n_failures"))
 
 
@@ -114,20 +120,29 @@ def _server_means(per_server: DataFrame, prefixes, windows) -> DataFrame:
                 [n for n in names if n.startswith("servers")])
 
 
-def mean_errors(log, tickets, inventory, windows=WINDOWS) -> DataFrame:
-    """Mean errors per failed server before each window, over servers with at least one."""
-    rows = failure_rows(log, tickets, inventory, [])
-    per_server = rows.groupBy("failure_type", "sid").agg(*per_window(F.col("n"), "errors", windows))
-    return _server_means(per_server, ["errors"], windows)
-
-
-def mean_read_scrub(log, tickets, inventory, windows=WINDOWS) -> DataFrame:
-    """Mean read and mean scrub errors per failed server before each window."""
+def server_errors(log, tickets, inventory, windows=WINDOWS) -> DataFrame:
+    """Per (failure_type, sid): all joined errors (``n_all``), and errors, read and scrub errors before each window."""
     rows = failure_rows(log, tickets, inventory, ["error_type"])
     n, kind = F.col("n"), F.col("error_type")
-    per_server = rows.groupBy("failure_type", "sid").agg(
+    return rows.groupBy("failure_type", "sid").agg(
+        F.sum("n").alias("n_all"), *per_window(n, "errors", windows),
         *per_window(n, "read", windows, kind == 1), *per_window(n, "scrub", windows, kind == 2))
-    return _server_means(per_server, ["read", "scrub"], windows)
+
+
+def mean_errors(log, tickets, inventory, windows=WINDOWS, counts=None) -> DataFrame:
+    """Mean errors per failed server before each window, over servers with at least one.
+
+    ``counts``: ready rows of ``server_errors``."""
+    if counts is None:
+        rows = failure_rows(log, tickets, inventory, [])
+        counts = rows.groupBy("failure_type", "sid").agg(*per_window(F.col("n"), "errors", windows))
+    return _server_means(counts, ["errors"], windows)
+
+
+def mean_read_scrub(log, tickets, inventory, windows=WINDOWS, counts=None) -> DataFrame:
+    """Mean read and mean scrub errors per failed server before each window."""
+    counts = server_errors(log, tickets, inventory, windows) if counts is None else counts
+    return _server_means(counts, ["read", "scrub"], windows)
 
 
 def server_mtbe(log, tickets, inventory, windows=WINDOWS) -> DataFrame:
@@ -158,51 +173,66 @@ def median_mtbe(log, tickets, inventory, windows=WINDOWS) -> DataFrame:
     return fill(rows, scaffold(log.sparkSession, windows), ["failure_type", "window"], ["n_sid"])
 
 
-def _levels(spark, factor):
-    return spark.range(1).select(F.explode(F.array(*[F.lit(str(v)) for v in LEVELS[factor]])).alias("level"))
+UNKNOWN = "unknown"
+
+
+def _level(factor):
+    return F.coalesce(F.col(factor).cast("string"), F.lit(UNKNOWN))
+
+
+def hardware_levels(inventory: DataFrame, factor: str) -> DataFrame:
+    """(level): the listed levels and all others in the inventory; servers without a value are ``unknown``."""
+    listed = inventory.sparkSession.range(1).select(F.explode(F.array(*[F.lit(str(v)) for v in LEVELS[factor]])).alias("level"))
+    return listed.union(inventory.select(_level(factor).alias("level"))).distinct()
 
 
 def level_population(inventory: DataFrame, factor: str, population=None) -> DataFrame:
-    """(level, population): servers per level of a hardware factor, or supplied counts in level order."""
+    """(level, population): servers per level of a hardware factor, or supplied counts in the order of the listed levels."""
     spark = inventory.sparkSession
     if population is not None:
         rows = [F.struct(F.lit(str(v)).alias("level"), F.lit(p).cast("long").alias("population"))
                 for v, p in zip(LEVELS[factor], population)]
         return spark.range(1).select(F.inline(F.array(*rows)))
-    counts = inventory.groupBy(F.col(factor).cast("string").alias("level")).agg(
-        F.count_distinct("sid").alias("population"))
-    return fill(counts, _levels(spark, factor), ["level"], ["population"])
+    counts = inventory.groupBy(_level(factor).alias("level")).agg(F.count_distinct("sid").alias("population"))
+    return fill(counts, hardware_levels(inventory, factor), ["level"], ["population"])
+
+
+def _factor_leads(log, tickets, inventory, factor, leads):
+    """Rows of ``lead_times`` with one factor; ``leads``: ready rows with all of them."""
+    if leads is None:
+        return lead_times(log, tickets, inventory, [factor])
+    return leads.groupBy("failure_type", "sid", factor).agg(F.max("max_td").alias("max_td"))
 
 
-def hardware_impact(log, tickets, inventory, factor, windows=WINDOWS, failures=None) -> DataFrame:
+def hardware_impact(log, tickets, inventory, factor, windows=WINDOWS, failures=None, leads=None) -> DataFrame:
     """Per (failure_type, window, level): predictable servers, and as a fraction of the type's failures."""
     failures = failures_by_type(tickets) if failures is None else failures
-    leads = lead_times(log, tickets, inventory, [factor]).withColumn("level", F.col(factor).cast("string"))
+    leads = _factor_leads(log, tickets, inventory, factor, leads).withColumn("level", _level(factor))
     wide = leads.groupBy("failure_type", "level").agg(*[_over(name, s) for name, s in windows.items()])
     rows = unpivot_windows(wide, ["failure_type", "level"], ["n_sid"], windows)
-    frame = scaffold(log.sparkSession, windows, level=[str(v) for v in LEVELS[factor]])
+    frame = scaffold(log.sparkSession, windows).crossJoin(F.broadcast(hardware_levels(inventory, factor)))
     out = fill(rows, frame, ["failure_type", "window", "level"], ["n_sid"])
     out = out.join(F.broadcast(failures), "failure_type", "left")
     return out.withColumn("fraction", F.try_divide("n_sid", "n_failures"))
 
 
-def _failed_servers(log, tickets, inventory, factor):
+def _failed_servers(log, tickets, inventory, factor, leads):
     """One row per failed server in the joined log: its level and its longest lead over all tickets."""
-    return lead_times(log, tickets, inventory, [factor]).groupBy("sid").agg(
-        F.min(F.col(factor).cast("string")).alias("level"), F.max("max_td").alias("max_td"))
+    return _factor_leads(log, tickets, inventory, factor, leads).groupBy("sid").agg(
+        F.min(_level(factor)).alias("level"), F.max("max_td").alias("max_td"))
 
 
-def failure_rate(log, tickets, inventory, factor, population=None) -> DataFrame:
+def failure_rate(log, tickets, inventory, factor, population=None, leads=None) -> DataFrame:
     """Failed servers per level, in percent of the level's population."""
-    failed = _failed_servers(log, tickets, inventory, factor).groupBy("level").agg(
+    failed = _failed_servers(log, tickets, inventory, factor, leads).groupBy("level").agg(
         F.count(F.lit(1)).alias("n_failed"))
     out = fill(failed, level_population(inventory, factor, population), ["level"], ["n_failed"])
     return out.withColumn("failure_rate", F.try_divide("n_failed", "population") * 100)
 
 
-def failure_numbers(log, tickets, inventory, factor, population=None, window=WINDOWS["5m"]) -> DataFrame:
+def failure_numbers(log, tickets, inventory, factor, population=None, window=WINDOWS["5m"], leads=None) -> DataFrame:
     """Per level: population, failed servers, and those without any error before the window."""
-    failed = _failed_servers(log, tickets, inventory, factor).groupBy("level").agg(
+    failed = _failed_servers(log, tickets, inventory, factor, leads).groupBy("level").agg(
         F.count(F.lit(1)).alias("n_failed"),
         F.count_if(F.col("max_td") <= window).alias("n_unpredictable"))
     return fill(failed, level_population(inventory, factor, population), ["level"], ["n_failed", "n_unpredictable"])

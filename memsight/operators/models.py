@@ -116,16 +116,29 @@ def _estimator(model, params, train):
 
 
 def _bags(train, n):
-    """``n`` samples of 1/n of the rows each. Rows are drawn by a hash of their key, so that a retried
-    or repeated job draws the same; bags without both classes are left out."""
-    def drawn(i):
-        return F.pmod(F.xxhash64("sid", "t_predict", F.lit(SEED + i)), F.lit(n)) == 0
+    """``n`` samples of 1/n of the rows of each class. Rows are drawn by a hash of their key, so that a retried or
+    repeated job draws the same. Of a class none of whose rows is drawn, the row of the smallest hash is in the bag:
+    there are always ``n`` bags of both classes. Training rows of one class only raise."""
+    kinds = {"p": F.col("class") == 1, "n": F.col("class") != 1}
+
+    def key(i):
+        return F.xxhash64("sid", "t_predict", F.lit(SEED + i))
 
-    positive = F.col("class") == 1
-    counts = train.agg(*[F.count_if(drawn(i) & kind).alias(f"{name}{i}")
-                         for i in range(n) for name, kind in (("p", positive), ("n", ~positive))]).first()
-    usable = [i for i in range(n) if counts[f"p{i}"] and counts[f"n{i}"]]
-    return [train.filter(drawn(i)) for i in usable] or [train]
+    def drawn(i):
+        return F.pmod(key(i), F.lit(n)) == 0
+
+    found = train.agg(*[f(i, kind).alias(f"{c}{name}{i}") for i in range(n) for name, kind in kinds.items() for c, f in (
+        ("count_", lambda i, kind: F.count_if(drawn(i) & kind)), ("least_", lambda i, kind: F.min(F.when(kind, key(i)))))]).first()
+    if any(found[f"least_{name}0"] is None for name in kinds):
+        raise ValueError("bags need rows of both classes")
+    bags = []
+    for i in range(n):
+        chosen = drawn(i)
+        for name, kind in kinds.items():
+            if not found[f"count_{name}{i}"]:
+                chosen = chosen | (kind & (key(i) == F.lit(found[f"least_{name}{i}"])))
+        bags.append(train.filter(chosen))
+    return bags
 
 
 def fit(model: str, params: dict, train: DataFrame):

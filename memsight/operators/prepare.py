@@ -51,6 +51,8 @@ def month_slice(log: DataFrame, month: int) -> DataFrame:
     """Rows of a month plus the previous month's rows of servers active in it."""
     last, start, end = month_bounds(month)
     t = F.col("t")
+    if "month" in log.columns:   # an ingested log is partitioned by month
+        log = log.filter(F.col("month").isin(sorted({max(month - 1, 1), month})))
     current = log.filter((t >= start) & (t < end))
     if last == start:
         return current

@@ -18,7 +18,7 @@ classes, a coarser fault overrides what was decided below it. The work is linear
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from memsight.constants import COMPONENTS, FREQUENCIES, LOOKBACK, MIN_ERRORS
+from memsight.constants import COMPONENTS, LOOKBACK, MIN_ERRORS
 from memsight.functions.calendar import month_start
 from memsight.functions.topology import BANK, channelid, dimmid, socketid
 from memsight.operators.features import PREFIX
@@ -48,11 +48,11 @@ def _flip(now, before):
     return now.cast("long") - before.cast("long")
 
 
-def _cell_changes(cells: DataFrame, lookback) -> DataFrame:
+def _cell_changes(cells: DataFrame, lookback, freq) -> DataFrame:
     """Each (cell, window) row, and a second one where its errors leave the lookback.
 
     live: change in the number of live cells; entered: errors of the window, 0 in the lookback.
-    Leaving rows after the month's last window are not needed.
+    Leaving rows after the month's last window are not needed; that window's bound follows from ``freq``.
     """
     rb, n = F.col("rb"), F.col("n")
     current = rb > month_start(F.col("month"))
@@ -62,8 +62,8 @@ def _cell_changes(cells: DataFrame, lookback) -> DataFrame:
                      _if(F.col("is_close"), recent).alias("close"))
     leave = F.struct((rb + lookback).alias("rb"), (-n).alias("n"), (-F.col("leaves").cast("long")).alias("live"),
                      _zero().alias("entered"), _zero().alias("recent"), _zero().alias("close"))
-    # the last window can end after its month
-    last = month_start(F.col("month") + 1) + max(FREQUENCIES.values())
+    # the last window begins in its month and can end after it
+    last = month_start(F.col("month") + 1) + freq
     changes = F.when(rb + lookback <= last, F.array(entry, leave)).otherwise(F.array(entry))
     return cells.select("sid", *BANK, "row_no", "col_no", "month", F.inline(changes))
 
@@ -146,9 +146,10 @@ def _level(parts: DataFrame, keys, counted, distinct, name, below, min_errors, c
     return per.withColumn("live", _flip(F.col("live_now") > 0, F.col("live_now") - F.col("live") > 0))
 
 
-def component_features(cells: DataFrame, lookback=LOOKBACK, min_errors=MIN_ERRORS) -> DataFrame:
-    """Recent errors of each class per (sid, month, rb), over the active windows of the months."""
-    lines = _lines(_rows(_cell_changes(cells, lookback)))
+def component_features(cells: DataFrame, freq: int, lookback=LOOKBACK, min_errors=MIN_ERRORS) -> DataFrame:
+    """Recent errors of each class per (sid, month, rb), over the active windows of the months. ``freq`` is the one
+    that ``cells`` were made with."""
+    lines = _lines(_rows(_cell_changes(cells, lookback, freq)))
     named = F.col("rankid").isNotNull() & F.col("bankid").isNotNull()
     banks = _level(lines, BANK, "n_rows", "live_rows", "bank", FINE, min_errors, named)
     slot = F.col("memoryid")
@@ -156,9 +157,8 @@ def component_features(cells: DataFrame, lookback=LOOKBACK, min_errors=MIN_ERROR
         "socketid": socketid(slot), "channelid": channelid(slot), "dimmid": dimmid(slot),
         "n_named": _if(named, F.col("n")), "live_named": _if(named, F.col("live")),
     })
-    # what is left of a server and month is at most a row per bank and grid point, whatever its
-    # errors: one shuffle serves the rest
-    banks = banks.repartition("sid", "month")
+    # what is left of a server and month is at most a row per bank and grid point, whatever its errors
+    banks = banks.repartition("sid", "month", "socketid", "channelid")
     channels = _level(banks, ["socketid", "channelid"], "n_named", "live_named", "channel",
                       ["bank", *FINE], min_errors)
     sockets = _level(channels, ["socketid"], "n", "live", "socket", ["channel", "bank", *FINE], min_errors)

@@ -159,30 +159,37 @@ def faults(log, tickets, inventory, component=None, min_errors=MIN_ERRORS, cell_
     return joined.groupBy("component", *SERVER, *masked).agg(F.sum("n_errors").alias("n_errors"))
 
 
-def failure_share(log, tickets, inventory, window="5m", predictable=None, **thresholds) -> DataFrame:
+def _parts(log, tickets, inventory, windows, parts, thresholds):
+    """Rows of ``component_breakdown`` for the windows; ``parts``: ready rows of all windows."""
+    if parts is None:
+        return component_breakdown(log, tickets, inventory, windows, **thresholds)
+    return parts.filter(F.col("window").isin(list(windows)))
+
+
+def failure_share(log, tickets, inventory, window="5m", predictable=None, parts=None, **thresholds) -> DataFrame:
     """Servers with each class before a window / predictable servers of the type.
 
     ``predictable``: (failure_type, window, n_sid), computed from the inputs by default."""
     windows = {window: WINDOWS[window]}
-    parts = component_breakdown(log, tickets, inventory, windows, **thresholds)
+    parts = _parts(log, tickets, inventory, windows, parts, thresholds)
     totals = predictable_counts(log, tickets, inventory, windows) if predictable is None else predictable
     totals = totals.select("failure_type", "window", F.col("n_sid").alias("n_predictable"))
     out = parts.drop("n_ce").join(F.broadcast(totals), ["failure_type", "window"], "left")
     return out.withColumn("fraction", F.try_divide("n_sid", "n_predictable"))
 
 
-def error_share(log, tickets, inventory, window="5m", **thresholds) -> DataFrame:
+def error_share(log, tickets, inventory, window="5m", parts=None, **thresholds) -> DataFrame:
     """Errors of each class before a window / errors of the seven classes."""
-    parts = component_breakdown(log, tickets, inventory, {window: WINDOWS[window]}, **thresholds)
+    parts = _parts(log, tickets, inventory, {window: WINDOWS[window]}, parts, thresholds)
     total = F.sum("n_ce").over(W.partitionBy("failure_type", "window"))
     return parts.drop("n_sid").withColumn("n_total", total).withColumn("fraction", F.try_divide("n_ce", "n_total"))
 
 
-def error_breakdown(log, tickets, inventory, windows=WINDOWS, errors=None, **thresholds) -> DataFrame:
+def error_breakdown(log, tickets, inventory, windows=WINDOWS, errors=None, parts=None, **thresholds) -> DataFrame:
     """Channel, bank, row and column errors before each window / all errors of the type.
 
     ``errors``: (failure_type, n_errors), by default all rows of the joined log."""
-    parts = component_breakdown(log, tickets, inventory, windows, **thresholds).drop("n_sid")
+    parts = _parts(log, tickets, inventory, windows, parts, thresholds).drop("n_sid")
     if errors is None:
         errors = failure_rows(log, tickets, inventory, []).groupBy("failure_type").agg(F.sum("n").alias("n_errors"))
     out = parts.filter(F.col("component").isin(COMPONENTS[1:5])).join(F.broadcast(errors), "failure_type", "left")

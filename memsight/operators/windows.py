@@ -37,6 +37,8 @@ def _within(months):
 
 def active_windows(log: DataFrame, freq: int, months) -> DataFrame:
     """(sid, month, rb) of windows with at least one error."""
+    if "month" in log.columns:   # an ingested log is partitioned by month
+        log = log.filter(F.col("month").isin(sorted(set(months))))
     rows = log.filter(_within(months)).select("sid", "t").withColumn("month", month_of(F.col("t")))
     rb = right_bound(F.col("t"), month_start(F.col("month")), freq)
     return rows.select("sid", "month", rb.alias("rb")).distinct()
@@ -68,9 +70,14 @@ def cell_windows(log: DataFrame, freq: int, months, recent=RECENT, lookback=LOOK
     outside the lookback, so are all earlier ones.
     enters, leaves: the lookback gains the cell with this window's errors, and loses it when they pass out.
 
+    ``recent`` may not exceed ``freq`` (recent errors are those of the window itself), and the lookback must be whole
+    windows (it moves along their grid); other values raise.
+
     Copies are counted per second first; a cell then has at most one row per second of the
     calendar, whatever share of the log it holds.
     """
+    if not 0 < recent <= freq or lookback % freq:
+        raise ValueError(f"recent ({recent}) must be at most freq ({freq}), and lookback ({lookback}) a multiple of it")
     seconds = relevant_rows(log, months).groupBy("sid", *CELL, "t").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("error_type") == 1).alias("reads"),

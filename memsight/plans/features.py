@@ -24,7 +24,7 @@ def feature_table(log: DataFrame, inventory: DataFrame, freq="5m", months=range(
         cells = stage(cells)
     table = (
         counter_features(cells)
-        .join(component_features(cells, lookback, min_errors), GRID)
+        .join(component_features(cells, FREQUENCIES[freq], lookback, min_errors), GRID)
         .join(statistical_features(cells, compat_swap), GRID)
     )
     table = with_one_hot(table, inventory)

@@ -3,6 +3,7 @@
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,9 +39,13 @@ def build_session(app="memsight", master=None, **conf):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder for staged data: ``spark.checkpoint.dir``, or a new temporary one where unset (tests)."""
+    """The shared folder for staged data: ``spark.checkpoint.dir``. Where unset, a new temporary one with a local master
+    (tests); executors of a cluster would not see each other's temporary folders, so there it raises."""
     path = spark.conf.get(CHECKPOINT_CONF, None)
     if not path:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that driver and executors share (master: {master})")
         path = getattr(shared_dir, "_local", None)
         if path is None:
             path = shared_dir._local = tempfile.mkdtemp(prefix="memsight-", dir=os.environ.get("TMPDIR", "/tmp"))
@@ -49,10 +54,29 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+_owners: list[list[str]] = []
+
+
+@contextmanager
+def staging(spark: SparkSession):
+    """Owner of what is staged inside: a run whose results are written within removes its staged folders at the end."""
+    _owners.append([])
+    try:
+        yield
+    finally:
+        jvm = spark._jvm
+        for path in _owners.pop():
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: several readers, and retries after a lost
-    executor, then start from columnar files instead of recomputing the whole lineage."""
+    executor, then start from columnar files instead of recomputing the whole lineage. The innermost ``staging``
+    owns the folder; without one it stays, as lazy results may still read it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
+    if _owners:
+        _owners[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

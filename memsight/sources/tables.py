@@ -30,12 +30,13 @@ def ticket_schema(sid=T.LongType()):
 
 
 def _read_csv(spark, path, schema):
-    """Columns are matched to the schema by header name, so their order in the file is free."""
+    """Columns are matched to the schema by header name, so their order is free, as long as all files of the path have
+    the same one: a file with another header raises instead of being read into the wrong columns."""
     names = spark.read.option("header", True).csv(path).columns
     by_name = {field.name: field for field in schema}
     in_file = T.StructType([by_name.get(n, T.StructField(n, T.StringType())) for n in names])
     return (
-        spark.read.schema(in_file).option("header", True).option("mode", "FAILFAST").csv(path)
+        spark.read.schema(in_file).option("header", True).option("enforceSchema", False).option("mode", "FAILFAST").csv(path)
         .select(*schema.names)
     )
 

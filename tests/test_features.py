@@ -3,6 +3,7 @@ import statistics
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from memsight.constants import COMPONENTS, FREQUENCIES
 from memsight.operators import features, labels, windows
@@ -58,7 +59,7 @@ def test_rolling_classes_and_hard_errors(spark, seed, n, freq, limit):
     expected = brute(rows, FREQUENCIES[freq], 6, limit)
     cells = windows.cell_windows(make_log(spark, rows), FREQUENCIES[freq], [6])
     found = {(r["sid"], r["rb"]): [r[f"5min_{c}_error"] for c in COMPONENTS]
-             for r in component_features(cells, min_errors=limit).collect()}
+             for r in component_features(cells, FREQUENCIES[freq], min_errors=limit).collect()}
     assert found == {k: v[0] for k, v in expected.items()}
     hard = {(r["sid"], r["rb"]): r["5min_hard"] for r in features.counter_features(cells).collect()}
     assert hard == {k: v[1] for k, v in expected.items()}
@@ -73,7 +74,7 @@ def test_all_months_at_once_equal_one_by_one(spark):
             expected[month, sid, rb] = value[0]
     cells = windows.cell_windows(log, 3600, range(1, 9))
     found = {(r["month"], r["sid"], r["rb"]): [r[f"5min_{c}_error"] for c in COMPONENTS]
-             for r in component_features(cells, min_errors=10).collect()}
+             for r in component_features(cells, 3600, min_errors=10).collect()}
     assert found == expected
 
 
@@ -131,3 +132,20 @@ def test_string_server_ids(spark):
     inventory = make_inventory(spark, [(1, "A1", 8, "M1")]).withColumn("sid", F.concat(F.lit("srv-"), F.col("sid").cast("string")))
     table = feature_table(log, inventory, "1h", [6], 10, staged=False)
     assert table.filter("sid = 'srv-1' and model_A1 = 1").count() > 0
+
+
+def test_last_window_of_a_step_without_a_name(spark):
+    """Ten-day windows: the month's last one ends nine days after it, and the first day's errors have left it."""
+    rows = [(1, 3, 0, 0, 5, c, 1, off(3, 1) + 60 * c) for c in range(30)] + [(1, 3, 0, 0, 5, 1, 1, off(3, 31))]
+    freq = 10 * 86400
+    cells = windows.cell_windows(make_log(spark, rows), freq, [3], recent=freq)
+    last = component_features(cells, freq, min_errors=10).orderBy(F.desc("rb")).first()
+    row = {k: v for k, v in last.asDict().items() if v and k not in ("sid", "month", "rb")}
+    assert list(row.values()) == [1] and next(iter(row)).endswith("random_error")
+
+
+def test_windows_that_the_grid_cannot_hold_are_refused(spark):
+    log = make_log(spark, [(1, 3, 0, 0, 5, 1, 1, off(3, 1))])
+    for options in ({"recent": 900}, {"lookback": 86400 + 1}):
+        with pytest.raises(ValueError):
+            windows.cell_windows(log, 300, [3], **options)

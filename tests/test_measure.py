@@ -137,3 +137,16 @@ def test_exact_median(spark, values):
     out = {r["k"]: r for r in selection.exact_median(df, ["k"], "v", n_cuts=7).collect()}
     assert out["g"]["median"] == statistics.median(values) and out["g"]["n"] == len(values)
     assert out["h"]["median"] == 3.0
+
+
+def test_levels_outside_the_list_are_reported(spark):
+    log = make_log(spark, [(s, 3, 0, 0, 1, 1, 1, off(3, 1)) for s in (1, 2)])
+    inventory = make_inventory(spark, [(1, "D9", 8, "M1"), (2, None, 8, "M1")])
+    tickets = make_tickets(spark, [(1, off(3, 9), 1), (2, off(3, 9), 1)])
+    inputs = (log, tickets, inventory, "DRAM_model")
+    rates = {r.level: (r.population, r.n_failed) for r in measure.failure_rate(*inputs).collect()}
+    assert rates["D9"] == (1, 1) and rates["unknown"] == (1, 1) and rates["A1"] == (0, 0)
+    numbers = {r.level: r.n_failed for r in measure.failure_numbers(*inputs).collect()}
+    assert numbers["D9"] == 1 and set(numbers) == set(rates)
+    impact = [r for r in measure.hardware_impact(*inputs).collect() if r.level == "D9" and r.window == "5m" and r.failure_type == 1]
+    assert [(r.n_sid, r.fraction) for r in impact] == [(1, .5)]

@@ -18,3 +18,15 @@ def test_findings_are_written_in_report_order(spark, tmp_path):
     assert [r[2:] for r in rows if r[:2] == ["ce", "5m"]] == [["1", "1", "1.0"]]
     assert lines(tmp_path / "overall_distribution")[3][0] == "0001-03"
     assert len(lines(tmp_path / "component_breakdown")) == 1 + 3 * 9 * 7
+
+
+def test_a_run_scans_the_log_five_times_at_most(spark, tmp_path):
+    from memsight.plans.measurement import findings
+    from memsight.sources.tables import store_log
+
+    log = store_log(make_log(spark, [(1, 3, 0, 0, r, 1, 1 + r % 2, off(3, 1) + 100 * r) for r in range(6)]), str(tmp_path / "log"))
+    inventory, tickets = make_inventory(spark, [(1, "A1", 8, "M1")]), make_tickets(spark, [(1, off(3, 9), 2)])
+    reports = findings(log, tickets, inventory, min_errors=3)
+    scans = {n: r._jdf.queryExecution().optimizedPlan().toString().count("/log") for n, r in reports.items()}
+    direct = [n for n, r in reports.items() if any(f.startswith(tuple(log.inputFiles())) for f in r.inputFiles())]
+    assert set(direct) == {"overall_distribution", "overall_distribution_total", "mtbe_analysis", "hard_soft_error_mean"}, (direct, scans)

@@ -60,3 +60,13 @@ def test_report_round_trip_keeps_order(spark, tmp_path):
 def test_model_paths():
     assert stores.model_path("m", 1, 2, 3, 4) == "m/exp1/exp1_month_2_types_3_features_4"
     assert stores.model_path("m", 4, 1, 2) == "m/exp4/exp4_month_1_types_2"
+
+
+def test_files_of_different_headers_are_refused(spark, tmp_path):
+    folder = tmp_path / "log"
+    folder.mkdir()
+    head = "error_time,sid,memoryid,rankid,bankid,{},error_type\n"
+    (folder / "a.csv").write_text(head.format("row,col") + "0001-05-29 10:00:00,7,3,0,1,5,6,1\n")
+    (folder / "b.csv").write_text(head.format("col,row") + "0001-05-29 10:00:00,7,3,0,1,5,6,1\n")
+    with pytest.raises(Exception):
+        tables.read_error_log(spark, str(folder)).collect()
