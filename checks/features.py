@@ -12,10 +12,10 @@ from memsight.operators.windows import GRID
 from memsight.operators.features import feature_columns
 from memsight.plans.features import feature_table
 
-MONTH = 6
+MONTHS = (6, 7, 8)   # the months that feature tables are published for
 
 
-def _cells(spark, d, freq, months=(MONTH,)):
+def _cells(spark, d, freq, months=MONTHS):
     return windows.cell_windows(fixture.log(spark, d), FREQUENCIES[freq], months)
 
 
@@ -42,10 +42,10 @@ def _f5(freq, swap=False):
 
 def _f6(spark, d):
     log, _, inventory = fixture.inputs(spark, d)
-    return features.with_one_hot(windows.active_windows(log, FREQUENCIES["30m"], [MONTH]), inventory).drop("month")
+    return features.with_one_hot(windows.active_windows(log, FREQUENCIES["30m"], MONTHS), inventory).drop("month")
 
 
-def _f7(freq, months=(MONTH,)):
+def _f7(freq, months=MONTHS):
     def run(spark, d):
         log, _, inventory = fixture.inputs(spark, d)
         return rounded(feature_table(log, inventory, freq, months, ROLLING_ERRORS).drop("t_predict"))
@@ -147,7 +147,7 @@ features AS (
     JOIN statistical USING (sid, month, rb)) f) f)"""
 
 
-def _sql(freq, result, columns="* EXCLUDE (month)", months=(MONTH,)):
+def _sql(freq, result, columns="* EXCLUDE (month)", months=MONTHS):
     extra = {"counter": HARD + "," + COUNTER, "component": ROLLING, "statistical": _statistical()}[result]
     return query(f"SELECT {columns} FROM {result}", _windows(freq, months) + "," + extra)
 
@@ -155,7 +155,7 @@ def _sql(freq, result, columns="* EXCLUDE (month)", months=(MONTH,)):
 ORACLE = {
     "f1_active_windows": query("SELECT sid, month, rb FROM active", _windows("5m", range(1, 9))),
     "f2_rolling_hard": query("SELECT sid, rb, memoryid, rankid, bankid, row_no, col_no, is_hard FROM hard WHERE here",
-                             _windows("5m", [MONTH]) + "," + HARD),
+                             _windows("5m", MONTHS) + "," + HARD),
     "f3_counter_5m": _sql("5m", "counter"),
     "f3_counter_5d": _sql("5d", "counter"),
     "f4_component_5m": _sql("5m", "component"),
@@ -164,9 +164,9 @@ ORACLE = {
     "f5_statistical_5m": _sql("5m", "statistical"),
     "f5_statistical_5d": _sql("5d", "statistical"),
     "f5_statistical_swapped": query("SELECT * EXCLUDE (month) FROM statistical",
-                                    _windows("1h", [MONTH]) + "," + _statistical(True)),
-    "f6_one_hot": query(f"SELECT sid, rb, {ONE_HOT} FROM active f", _windows("30m", [MONTH])),
-    "f7_features_5m": query("SELECT * EXCLUDE (t_predict) FROM features", features_cte("5m", [MONTH])),
-    "f7_features_1h": query("SELECT * EXCLUDE (t_predict) FROM features", features_cte("1h", [MONTH])),
+                                    _windows("1h", MONTHS) + "," + _statistical(True)),
+    "f6_one_hot": query(f"SELECT sid, rb, {ONE_HOT} FROM active f", _windows("30m", MONTHS)),
+    "f7_features_5m": query("SELECT * EXCLUDE (t_predict) FROM features", features_cte("5m", MONTHS)),
+    "f7_features_1h": query("SELECT * EXCLUDE (t_predict) FROM features", features_cte("1h", MONTHS)),
     "f7_features_5d_all_months": query("SELECT * EXCLUDE (t_predict) FROM features", features_cte("5d", range(1, 9))),
 }

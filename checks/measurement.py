@@ -121,6 +121,9 @@ QUERIES = {
         measure.failure_rate(*fixture.inputs(s, d), "DRAM_model"), "failure_rate"),
     "m11_failure_rate_dimm_number": lambda s, d: _rounded(
         measure.failure_rate(*fixture.inputs(s, d), "DIMM_number"), "failure_rate"),
+    "m11_failure_rate_manufacturer": lambda s, d: _rounded(
+        measure.failure_rate(*fixture.inputs(s, d), "server_manufacturer"), "failure_rate"),
+    "m12_failure_numbers_dimm_number": lambda s, d: measure.failure_numbers(*fixture.inputs(s, d), "DIMM_number"),
     "m12_failure_numbers": lambda s, d: measure.failure_numbers(*fixture.inputs(s, d), "DRAM_model"),
     "m12_failure_numbers_manufacturer": lambda s, d: measure.failure_numbers(
         *fixture.inputs(s, d), "server_manufacturer"),
@@ -277,6 +280,8 @@ ORACLE = {
     "m10_hardware_manufacturer": _m10_sql("server_manufacturer"),
     "m11_failure_rate": _m11_sql("DRAM_model"),
     "m11_failure_rate_dimm_number": _m11_sql("DIMM_number"),
+    "m11_failure_rate_manufacturer": _m11_sql("server_manufacturer"),
+    "m12_failure_numbers_dimm_number": query(_level_counts("DIMM_number"), JOINED),
     "m12_failure_numbers": query(_level_counts("DRAM_model"), JOINED),
     "m12_failure_numbers_manufacturer": query(_level_counts("server_manufacturer"), JOINED),
     "m13_read_scrub": query(_means({"read": "error_type = 1", "scrub": "error_type = 2"}), JOINED + "," + HARD),

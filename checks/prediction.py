@@ -26,32 +26,38 @@ def _rows(spark, d, months=range(1, 9)):
     return rows.select("sid", offset_to_text(F.col("rb")).alias("predict_time"), F.col("rb").alias("t_predict"), "month")
 
 
-def _train(spark, d, failure_type):
-    train, _ = labels.train_test(_rows(spark, d), 1)
-    return labels.train_labels(train, fixture.tickets(spark, d), failure_type)
+CASES = [(t, s) for t in (1, 2, 3) for s in labels.SPLITS]
+
+
+def _all_cases(spark, d, make):
+    """Rows of all failure types and splits; ``make`` gets (train rows, test rows, tickets, failure type)."""
+    rows, tickets = _rows(spark, d), fixture.tickets(spark, d)
+    return reduce(DataFrame.unionByName, [
+        make(*labels.train_test(rows, s), tickets, t).withColumns({"failure_type": F.lit(t), "split": F.lit(s)}) for t, s in CASES])
 
 
 def _l1(spark, d):
-    return _train(spark, d, 1)
+    return _all_cases(spark, d, lambda train, test, tickets, t: labels.train_labels(train, tickets, t))
 
 
 def _l2(spark, d):
-    _, test = labels.train_test(_rows(spark, d), 1)
-    return labels.test_labels(test, fixture.tickets(spark, d), 1)
+    return _all_cases(spark, d, lambda train, test, tickets, t: labels.test_labels(test, tickets, t))
 
 
 def _l4(spark, d):
-    return labels.under_sample(_train(spark, d, 1)).drop("month")
+    return _all_cases(spark, d, lambda train, test, tickets, t: labels.under_sample(labels.train_labels(train, tickets, t)).drop("month"))
 
 
-def _features(spark, d, freq="5d", months=(6,)):
+def _features(spark, d, freq="5d", months=TEST_MONTHS):
     log, _, inventory = fixture.inputs(spark, d)
     return feature_table(log, inventory, freq, months, ROLLING_ERRORS)
 
 
-def _l5(spark, d):
-    table = labels.test_labels(_features(spark, d), fixture.tickets(spark, d), 1)
-    return rounded(labels.select_features(table, 2).drop("t_predict"))
+def _l5(group):
+    def run(spark, d):
+        table = labels.test_labels(_features(spark, d), fixture.tickets(spark, d), 1)
+        return rounded(labels.select_features(table, group).drop("t_predict"))
+    return run
 
 
 def _l6(spark, d):
@@ -94,7 +100,10 @@ QUERIES = {
     "l2_test_labels": _l2,
     "l3_month_splits": lambda s, d: labels.with_splits(_rows(s, d)),
     "l4_under_sample": _l4,
-    "l5_feature_group": _l5,
+    "l5_feature_group": _l5(2),
+    "l5_feature_group_1": _l5(1),
+    "l5_feature_group_3": _l5(3),
+    "l5_feature_group_4": _l5(4),
     "l6_matrix": _l6,
     "e1_confusion": lambda s, d: evaluate.confusion(scored(s, d), 0.5, BY),
     "e2_metrics": lambda s, d: rounded(evaluate.with_metrics(evaluate.confusion(scored(s, d), 0.5, BY)), 8),
@@ -119,9 +128,9 @@ def _labelled(source, kind, test, horizon=86400):
         JOIN tickets k USING (sid) WHERE k.failure_type = {kind} AND t_predict <= failed_off{other if test else ''}"""
 
 
-TRAIN = ROWS + f""",
-train_rows AS (SELECT * FROM rows WHERE month <= 5),
-train AS ({_labelled('train_rows', 1, False)})"""
+TRAIN = ROWS + ",\ntrain AS (" + " UNION ALL ".join(
+    f"SELECT *, {t} AS failure_type, {s} AS split FROM ({_labelled(f'(SELECT * FROM rows WHERE month BETWEEN {s} AND {s + 4})', t, False)})"
+    for t, s in CASES) + ")"
 
 SCORE = "CAST((sid * 7919 + t_predict // 60) % 101 AS double) / 100.0"
 SCORED = ROWS + """,
@@ -147,7 +156,7 @@ confusion AS (SELECT failure_type, split, threshold, tp, predicted - tp AS fp, p
 
 def _metrics(fn="fn", low=False):
     bad = "fp / (fp + tn) > 0.01" + (" OR fp / (fp + tn) < 0.002" if low else "")
-    keep = f"tp = 0 OR {bad}"
+    keep = f"tp = 0 OR tp + {fn} = 0 OR {bad}"
     return f"""failure_type, split, threshold, tp, fp, {fn} AS fn, tn,
       CASE WHEN {keep} THEN 0 ELSE 2 * (tp / (tp + fp)) * (tp / (tp + {fn})) / (tp / (tp + fp) + tp / (tp + {fn})) END AS f1,
       CASE WHEN {keep} THEN 0 ELSE tp / (tp + fp) END AS precision,
@@ -174,21 +183,31 @@ FROM (SELECT DISTINCT failure_type, split FROM metrics) g LEFT JOIN (
   SELECT *, row_number() OVER (PARTITION BY failure_type, split ORDER BY f1 DESC, threshold) AS k FROM metrics WHERE f1 > 0) b
   ON b.failure_type = g.failure_type AND b.split = g.split AND k = 1"""
 
-GROUP_2 = ", ".join(f'"{c}"' for c in feature_columns(2))
-TABLE = features_cte("5d", [6]) + f""",
+def _group_sql(group):
+    columns = ", ".join(f'"{c}"' for c in feature_columns(group))
+    return query(f"SELECT sid, predict_time, {columns}, class FROM labelled", TABLE)
+
+
+TABLE = features_cte("5d", TEST_MONTHS) + f""",
 labelled AS ({_labelled('features', 1, True)})"""
 
 ORACLE = {
     "l1_train_labels": query("SELECT * FROM train", TRAIN),
-    "l2_test_labels": query(_labelled("(SELECT * FROM rows WHERE month = 6)", 1, True), ROWS),
+    "l2_test_labels": query(" UNION ALL ".join(
+        f"SELECT *, {t} AS failure_type, {s} AS split FROM ({_labelled(f'(SELECT * FROM rows WHERE month = {s + 5})', t, True)})"
+        for t, s in CASES), ROWS),
     "l3_month_splits": query("""
       SELECT r.*, split, CASE WHEN month = split + 5 THEN 'test' ELSE 'train' END AS role
       FROM rows r JOIN (VALUES (1), (2), (3)) s(split) ON month BETWEEN split AND split + 5""", ROWS),
     "l4_under_sample": query("""
-      SELECT sid, predict_time, t_predict, class FROM (
-        SELECT *, row_number() OVER (PARTITION BY class ORDER BY md5('42-' || CAST(sid AS varchar) || '-' || predict_time)) AS k
-        FROM train) WHERE class = 1 OR k <= (SELECT floor(count(*) / CAST(0.02 AS double)) FROM train WHERE class = 1)""", TRAIN),
-    "l5_feature_group": query(f"SELECT sid, predict_time, {GROUP_2}, class FROM labelled", TABLE),
+      SELECT sid, predict_time, t_predict, class, failure_type, split FROM (
+        SELECT *, row_number() OVER (PARTITION BY failure_type, split, class ORDER BY md5('42-' || CAST(sid AS varchar) || '-' || predict_time)) AS k,
+          count(*) FILTER (class = 1) OVER (PARTITION BY failure_type, split) AS positives
+        FROM train) WHERE class = 1 OR k <= floor(positives / CAST(0.02 AS double))""", TRAIN),
+    "l5_feature_group": _group_sql(2),
+    "l5_feature_group_1": _group_sql(1),
+    "l5_feature_group_3": _group_sql(3),
+    "l5_feature_group_4": _group_sql(4),
     "l6_matrix": query("SELECT sid, predict_time, CAST(class AS double) AS class, CAST(52 AS bigint) AS n_features, "
                        + " + ".join(f'floor("{c}" + 0.0001)' for c in feature_columns()) + " AS total FROM labelled", TABLE),
     "e1_confusion": query("SELECT * EXCLUDE (threshold) FROM confusion WHERE threshold = 0.5", SCORED + "," + CONFUSION),

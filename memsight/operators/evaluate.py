@@ -46,7 +46,7 @@ def confusion(scored: DataFrame, threshold: float, by=()) -> DataFrame:
 def with_metrics(cells: DataFrame, known=None) -> DataFrame:
     """Precision, recall, F1 and false-positive rate of tp, fp, fn, tn.
 
-    All zero if the rate is above 0.01; without true positives only the rate is given. ``known``:
+    All zero if the rate is above 0.01 or there are no positives to recall; without true positives only the rate is given. ``known``:
     a column of known positives; recall is then over these (fn = known - tp, tn unchanged) and a
     rate below 0.002 gives zeros too.
     """
@@ -56,11 +56,11 @@ def with_metrics(cells: DataFrame, known=None) -> DataFrame:
     fpr = F.try_divide(fp, fp + tn)
     bad = (fpr > MAX_FPR) if known is None else (fpr > MAX_FPR) | (fpr < MIN_FPR)
     precision, recall = F.try_divide(tp, tp + fp), F.try_divide(tp, tp + F.col("fn"))
-    none = tp == 0
+    none, undefined = tp == 0, tp + F.col("fn") == 0
     cells = cells.withColumns({"_p": precision, "_r": recall, "_fpr": fpr, "_bad": bad})
     f1 = F.try_divide(2 * F.col("_p") * F.col("_r"), F.col("_p") + F.col("_r"))
     def metric(value):
-        return F.when(none | F.col("_bad"), 0.0).otherwise(value)
+        return F.when(none | undefined | F.col("_bad"), 0.0).otherwise(value)
     return cells.withColumns({
         "f1": metric(f1), "precision": metric(F.col("_p")), "recall": metric(F.col("_r")),
         "fpr": F.when(none, F.col("_fpr")).when(F.col("_bad"), 0.0).otherwise(F.col("_fpr")),

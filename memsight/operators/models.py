@@ -32,9 +32,17 @@ GRIDS = {
 }
 
 
+def _depth(params):
+    """Depth of a boosted tree: there is no limit on leaves, but a tree of this depth has about as many."""
+    return min(params["depth"], math.ceil(math.log2(params["leaves"])))
+
+
 def candidates(model: str, split=1, failure_type=1, grid=None) -> list:
     """The parameter sets to try: the fixed grid, or ``grid``."""
     space = parameter_space(GRIDS[model] if grid is None else grid)
+    if model == "GBDT":  # depth and leaves both end up as a depth: each distinct fit once
+        distinct = {(p["trees"], _depth(p)): p for p in reversed(space)}
+        space = [p for p in space if distinct[p["trees"], _depth(p)] is p]
     if model == "MLP":
         space = [{"neurons": NEURONS[split][failure_type], **p} for p in space]
     return space
@@ -102,9 +110,7 @@ def _estimator(model, params, train):
             numTrees=params["trees"], maxDepth=min(params["depth"], MAX_DEPTH),
             minInstancesPerNode=max(1, params["min_split"] // 2), seed=SEED, **common)
     if model == "GBDT":
-        # no limit on leaves: a tree of this depth has about as many
-        depth = min(params["depth"], math.ceil(math.log2(params["leaves"])))
-        return GBTClassifier(maxIter=params["trees"], maxDepth=depth, stepSize=0.1, seed=SEED, **common)
+        return GBTClassifier(maxIter=params["trees"], maxDepth=_depth(params), stepSize=0.1, seed=SEED, **common)
     if model == "LR":
         return LogisticRegression(
             regParam=1 / (params["c"] * max(train.count(), 1)), elasticNetParam=0.0, standardization=False, **common)
