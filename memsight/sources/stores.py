@@ -38,6 +38,11 @@ def model_path(root: str, experiment: int, month: int, failure_type: int, varian
     return f"{root}/exp{experiment}/{name}"
 
 
+def model_exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def save_model(model: PipelineModel, path: str):
     model.write().overwrite().save(path)
 

@@ -185,3 +185,27 @@ def test_known_positives_by_ticket(spark):
     tickets = make_tickets(spark, [(1, FAIL, 1), (1, off(7, 9), 1)])
     found = {(r.failure_type, r.split): r.positives for r in evaluate.known_positives(log, tickets, inventory, labels.SPLITS).collect()}
     assert len(found) == 9 and {k for k, v in found.items() if v} == {(1, 2)}
+
+
+def test_experiments_stage_each_pair_once_and_share_fits(spark, tmp_path):
+    rows, tickets = [], []
+    for month in range(1, 7):
+        for s in range(12):
+            sid, fails = month * 100 + s, s < 3
+            rows += [(sid, f"p{k}", off(month, 10) - 600 * k, month, "5m", 40 if fails else 2) for k in range(1, 3)]
+            if fails:
+                tickets.append((sid, off(month, 10), 1))
+    df = spark.createDataFrame(rows, "sid long, predict_time string, t_predict long, month int, freq string, n int")
+    df = df.select("*", *[(F.col("n") if c == "5min_counter" else F.lit(0)).alias(c) for c in feature_columns()])
+    data = experiments.Data({"5m": df}, make_tickets(spark, tickets), models_dir=str(tmp_path))
+    grid = {"trees": [10], "depth": [5], "min_split": [5]}
+    groups = experiments.by_feature_group(data, [1, 4], [1], [1], grid)
+    lead = experiments.by_lead_time(data, [1], [1], grid)
+    assert len(data.staged) == 1 and data.fits == 2   # experiment 4 takes experiment 1's forest on all features
+    assert lead.first()["f1"] == {r["variant"]: r["f1"] for r in groups.collect()}["4"] == 1
+    again = experiments.replays(data, 4, types=[1, 2], splits=[1]).orderBy("failure_type").collect()
+    assert [r["f1"] for r in again] == [1, 0]
+
+
+def test_boosted_trees_are_fitted_once_a_depth():
+    assert len(models.candidates("GBDT")) == 6
