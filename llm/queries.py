@@ -5,6 +5,7 @@ import os
 
 from pyspark.sql import functions as F
 
+from llm import oracles
 from llm.licenses import scan_licenses
 from llm.mixing import mix
 from llm.near_duplicates import near_duplicates
@@ -90,4 +91,7 @@ QUERIES = {
     "op10_sentencepiece": op10_sentencepiece,
 }
 
-ORACLE = {}
+ORACLE = {
+    "op4_superminhash": oracles.NEAR_DUPLICATES,
+    "op7_lattice": oracles.NEAR_VECTORS,
+}
