@@ -53,6 +53,15 @@ def projected(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(f"WITH {CTES} SELECT * FROM {name}")
 
 
+def as_csv(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """An input as a folder of CSV files with the published header names, in another column order than the schema's."""
+    rows, path = projected(spark, sf_dir, name), f"{shared_dir(spark)}/csv-{name}-{uuid.uuid4().hex}"
+    names = {"row_no": "row", "col_no": "col"}
+    rows = rows.select(*[rows[c].alias(names.get(c, c)) for c in reversed(rows.columns)])
+    rows.repartition(3).write.option("header", True).csv(path)
+    return path
+
+
 # The projections are stored once per session, as a deployment ingests its files once; the queries
 # then scan columns, prune months and plan with real file sizes.
 

@@ -7,6 +7,7 @@ from checks.fixture import MIN_ERRORS
 from checks.sqltext import COMPONENT_ROWS, DAYS, JOINED, LOG, cascade, offset, query, text
 from memsight.constants import LEVELS
 from memsight.functions import calendar, topology
+from memsight.sources import tables
 from memsight.operators import measure, prepare, spatial
 
 CELL_COLS = "sid, memoryid, rankid, bankid, row_no, col_no"
@@ -78,9 +79,9 @@ def _p4(spark, d):
 
 
 QUERIES = {
-    "s1_error_log": lambda s, d: fixture.log(s, d).drop("month"),
-    "s2_inventory": lambda s, d: fixture.inventory(s, d),
-    "s3_tickets": lambda s, d: fixture.tickets(s, d),
+    "s1_error_log": lambda s, d: tables.read_error_log(s, fixture.as_csv(s, d, "mcelog")),
+    "s2_inventory": lambda s, d: tables.read_inventory(s, fixture.as_csv(s, d, "inventory")),
+    "s3_tickets": lambda s, d: tables.read_tickets(s, fixture.as_csv(s, d, "trouble_tickets")),
     "t1_offset": lambda s, d: fixture.log(s, d).select(
         "sid", "error_time", calendar.offset_all_time(F.col("error_time")).alias("t")),
     "t2_offset_to_text": _t2,
