@@ -2,7 +2,6 @@
 
 import numpy as np
 
-MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 BASE = 0xD1342543DE82EF95  # odd, so powers can be undone modulo 2^64
 BASE_INVERSE = pow(BASE, -1, 1 << 64)

@@ -4,7 +4,7 @@ import re
 from collections import Counter
 
 from awkward import AWKWARD, table
-from llm.personal_data import KINDS, base_spans, find_personal_data
+from llm.personal_data import KINDS, base_spans, find_personal_data, redact
 
 PATTERNS = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
             r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
@@ -55,3 +55,16 @@ def test_query_and_unseen_identifiers(spark):
     by = {r.doc_id: r for r in got}
     assert by[101].spans == "ip:22:29" and by[102].spans == spell(plain(rows[-1][1]))
     assert find_personal_data(table(spark, [])).count() == 0
+
+
+def test_contexts_discover_what_the_patterns_miss(spark):
+    """300 is no part of an address for the base, but it stands where twenty addresses stand."""
+    rows = [(i, f"yesterday the server 10.0.0.{i} responded late", "a") for i in range(20)]
+    rows += [(50, "yesterday the server 300.1.1.1 responded late", "a"), (51, "version 300.2.2.2 is out", "a"), (None, None, None)]
+    docs = table(spark, rows)
+    by = {r.doc_id: r for r in find_personal_data(docs).collect()}
+    assert by[50].n_ip == 0 and by[50].spans == "ip:21:30" and by[51].spans == ""
+    made = redact(docs)
+    assert made.columns == docs.columns
+    text = {r.doc_id: r.text for r in made.collect()}
+    assert text[50] == text[3] == "yesterday the server <IP> responded late" and text[51] == rows[21][1] and text[None] is None

@@ -4,7 +4,6 @@ from collections import Counter
 
 import numpy as np
 import sentencepiece
-from pyspark.sql import functions as F
 
 import corpus_pipeline
 from llm.personal_data import base_spans, mask
