@@ -178,25 +178,28 @@ joined_hard AS (SELECT j.*, is_hard FROM joined j JOIN hard h ON j.sid = h.sid A
   AND j.col_no IS NOT DISTINCT FROM h.col_no)"""
 
 
+def _level_rows(factor):
+    listed = " UNION ALL ".join(f"SELECT '{v}' AS level" for v in LEVELS[factor])
+    return f"(SELECT DISTINCT level FROM ({listed} UNION ALL SELECT coalesce(CAST({factor} AS varchar), 'unknown') FROM inventory)) v"
+
+
 def _m10_sql(factor):
-    values = ", ".join(f"('{v}')" for v in LEVELS[factor])
     return query(f"""
     SELECT f.failure_type, f.win_name AS "window", v.level, count(DISTINCT j.sid) AS n_sid, max(e.n_failures) AS n_failures,
       round(count(DISTINCT j.sid) / max(e.n_failures), 8) AS fraction
-    FROM frame f CROSS JOIN (VALUES {values}) v(level) LEFT JOIN failures e ON e.failure_type = f.failure_type
-    LEFT JOIN joined j ON j.failure_type = f.failure_type AND j.td > f.secs AND CAST(j.{factor} AS varchar) = v.level
+    FROM frame f CROSS JOIN {_level_rows(factor)} LEFT JOIN failures e ON e.failure_type = f.failure_type
+    LEFT JOIN joined j ON j.failure_type = f.failure_type AND j.td > f.secs AND coalesce(CAST(j.{factor} AS varchar), 'unknown') = v.level
     GROUP BY ALL""", JOINED + "," + PREDICTABLE)
 
 
 def _level_counts(factor):
-    levels = ", ".join(f"('{v}')" for v in LEVELS[factor])
-    here = f"CAST({factor} AS varchar) = v.level"
+    here = f"coalesce(CAST({factor} AS varchar), 'unknown') = v.level"
     return f"""
 SELECT v.level, (SELECT count(DISTINCT sid) FROM inventory WHERE {here}) AS population,
   (SELECT count(DISTINCT sid) FROM joined WHERE {here}) AS n_failed,
   (SELECT count(DISTINCT sid) FROM joined WHERE {here}
      AND sid NOT IN (SELECT sid FROM joined WHERE td > 300)) AS n_unpredictable
-FROM (VALUES {levels}) v(level)"""
+FROM {_level_rows(factor)}"""
 
 
 def _m11_sql(factor):
