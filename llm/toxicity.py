@@ -2,13 +2,14 @@
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from llm.common import columns, stage
 from llm.textops import NOT_ALPHANUMERIC, chunks, text_bytes, word_hashes, words
 
 SAMPLE = 8000      # labelled documents that the model is fitted on (on the driver)
+SAMPLE_BYTES = 1 << 26  # of their texts together
 CHAIN_DOCS = 3000  # of these, documents of the field itself
 SEGMENT = 64       # tokens that the two-level scan takes in a row
 STEPS = 40
@@ -236,7 +237,8 @@ def held_out(doc_id, folds=5):
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="toxic", sample=SAMPLE) -> DataFrame:
     """doc_id, held_out, score, predicted, spans of each row of ``docs``.
 
-    The model is fitted on at most ``sample`` labelled rows (the first by hash of the id) that are not held out: ids
+    The model is fitted on at most ``sample`` labelled rows (the first by hash of the id, as far as their texts stay within
+    ``SAMPLE_BYTES`` together; of rows that repeat an id, one) that are not held out: ids
     whose crc32 modulo 5 is 0 never teach. Spans are runs of tokens with a marginal of at least 0.5, as code points.
     Only the words of a text count for its score.
 
@@ -248,8 +250,13 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col
         F.max("label").cast("int").alias("label"))
     drawn = known.where(~held_out("id")).orderBy(F.xxhash64("id"), "id").limit(sample)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    taught = rows.join(F.broadcast(stage(drawn)), rows.doc_id == F.col("id")).select("doc_id", "label", "text").mapInArrow(
-        _hashes, f"doc_id {kind}, label int, hashes binary")
+    drawn = F.broadcast(stage(drawn))
+    sizes = rows.join(drawn, rows.doc_id == F.col("id")).groupBy("id", "label").agg(
+        F.max(F.coalesce(F.octet_length("text"), F.lit(0))).alias("bytes"))  # a row for each drawn id
+    first = Window.orderBy(F.xxhash64("id"), "id")
+    chosen = stage(sizes.withColumn("sum", F.sum("bytes").over(first)).where(F.col("sum") <= SAMPLE_BYTES).select("id", "label"))
+    taught = rows.join(F.broadcast(chosen), rows.doc_id == F.col("id")).select("doc_id", "label", "text").mapInArrow(
+        _hashes, f"doc_id {kind}, label int, hashes binary").groupBy("doc_id", "label").agg(F.min("hashes").alias("hashes"))
     taught = sorted((r.doc_id, bytes(r.hashes), r.label) for r in taught.collect())
     taught = [taught[i] for i in np.random.default_rng(1).permutation(len(taught))]
     tagger = fit([np.frombuffer(h, np.uint64) for _, h, _ in taught], [y for _, _, y in taught])
