@@ -22,7 +22,8 @@ from memsight.session import shared_dir, stage
 from memsight.sources import stores
 
 FREQ, TYPE, SPLIT = "5d", 1, 1
-# one point of the published grid for each model
+FREQS = ("30m", "1h", "5d")
+# one point of the published grid for each model, where the query is not about the grid
 SMALL = {"trees": [10], "depth": [5], "min_split": [10]}
 SMALL_GRIDS = {"GBDT": {"trees": [10], "depth": [5], "leaves": [5]}, "LR": {"c": [0.1]}, "SVM": {"members": [10]},
                "MLP": {"layers": [1]}}
@@ -42,12 +43,23 @@ def _data(spark, d):
     return experiments.Data({FREQ: table(spark, d)}, fixture.tickets(spark, d), positives, _folder(spark, "models"), 7 * 86400)
 
 
-def _replay(spark, d):
+def _intervals(spark, d):
+    data = _data(spark, d)
+    data.features.update({freq: table(spark, d, freq) for freq in FREQS})
+    return experiments.by_interval(data, freqs=FREQS, grid=SMALL)
+
+
+def _grid(model):
+    """All points of the published grid of one model, for each type and split; the best of a cell is its row."""
+    return lambda spark, d: experiments.by_model(_data(spark, d), names=[model], freq=FREQ)
+
+
+def _replay(spark, d, splits=(SPLIT,)):
     """The saved models of experiment 4 against the run that saved them."""
     data = _data(spark, d)
-    ran = experiments.by_lead_time(data, splits=[SPLIT], grid=SMALL, freq=FREQ)
+    ran = experiments.by_lead_time(data, splits=splits, grid=SMALL, freq=FREQ)
     names = ["failure_type", "split", "f1", "precision", "recall", "fpr", "n_useless", "n_useful"]
-    again = experiments.replays(data, 4, splits=[SPLIT], freq=FREQ).select(*names[:2], *[F.col(n).alias(f"again_{n}") for n in names[2:]])
+    again = experiments.replays(data, 4, splits=splits, freq=FREQ).select(*names[:2], *[F.col(n).alias(f"again_{n}") for n in names[2:]])
     same = [F.abs(F.col(n) - F.col(f"again_{n}")) < 1e-9 for n in names[2:]]
     return ran.join(again, names[:2]).select(*names[:2], reduce(and_, same).alias("agree"))
 
@@ -115,13 +127,18 @@ QUERIES = {
     "a3_logistic_regression": _model("LR", c=0.1),
     "a4_bagged_svm": _model("SVM", members=10),
     "a5_perceptron": _model("MLP", layers=1),
-    "x1_feature_groups": lambda s, d: experiments.by_feature_group(
-        _data(s, d), types=[TYPE], splits=[SPLIT], grid=SMALL, freq=FREQ),
-    "x2_models": lambda s, d: experiments.by_model(_data(s, d), types=[TYPE], splits=[SPLIT], grids=SMALL_GRIDS, freq=FREQ),
-    "x3_intervals": lambda s, d: experiments.by_interval(_data(s, d), freqs=[FREQ], types=[TYPE], splits=[SPLIT], grid=SMALL),
-    "x4_lead_times": lambda s, d: experiments.by_lead_time(_data(s, d), splits=[SPLIT], grid=SMALL, freq=FREQ),
-    "x4_averages": lambda s, d: experiments.averages(experiments.by_lead_time(_data(s, d), splits=[SPLIT], grid=SMALL, freq=FREQ)),
+    "x1_feature_groups": lambda s, d: experiments.by_feature_group(_data(s, d), grid=SMALL, freq=FREQ),
+    "x2_models": lambda s, d: experiments.by_model(_data(s, d), grids=SMALL_GRIDS, freq=FREQ),
+    "x2_grid_random_forest": _grid("RF"),
+    "x2_grid_gradient_boosting": _grid("GBDT"),
+    "x2_grid_logistic_regression": _grid("LR"),
+    "x2_grid_bagged_svm": _grid("SVM"),
+    "x2_grid_perceptron": _grid("MLP"),
+    "x3_intervals": _intervals,
+    "x4_lead_times": lambda s, d: experiments.by_lead_time(_data(s, d), grid=SMALL, freq=FREQ),
+    "x4_averages": lambda s, d: experiments.averages(experiments.by_lead_time(_data(s, d), grid=SMALL, freq=FREQ)),
     "x4_saved_models": _replay,
+    "x4_saved_models_all_splits": lambda s, d: _replay(s, d, experiments.SPLIT_IDS),
 }
 
 CONSTRUCTED = f"""SELECT sid, {text('f.rb')} AS predict_time, CAST("5min_counter" >= {HIGH} AS int) AS class FROM counter f
@@ -132,6 +149,8 @@ LEARNED = query(f"SELECT *, class AS predicted FROM ({CONSTRUCTED})", COUNTED)
 ORACLE = {
     "x4_saved_models": f"""SELECT t.failure_type, {SPLIT} AS split, true AS agree
       FROM (VALUES (1), (2), (3)) t(failure_type)""",
+    "x4_saved_models_all_splits": """SELECT t.failure_type, s.split, true AS agree
+      FROM (VALUES (1), (2), (3)) t(failure_type), (VALUES (1), (2), (3)) s(split)""",
     "s6_saved_model": query(f"SELECT sid, predict_time, true AS agree FROM ({CONSTRUCTED})", COUNTED),
     **{name: LEARNED for name in ("a1_random_forest", "a2_gradient_boosting", "a3_logistic_regression", "a4_bagged_svm", "a5_perceptron")},
     "s4_feature_store": query(
