@@ -23,6 +23,11 @@ NOT_DIGIT = re.compile(r"[^0-9]")
 TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 LOOKS_ODD = re.compile(r"[0-9@]")
 TRIM = ".,;:!?()[]{}<>\"'=|#*&$%"
+PUNCTUATION = TRIM.replace("(", "").replace(")", "")
+NUMERIC = re.compile(r"[\x20\x090-9()+./-]+")
+GROUPS = re.compile(r"[0-9A-Fa-f]+(?:[.:][0-9A-Fa-f]*){3,}")
+QUAD = re.compile(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}")
+LINE = re.compile(r"[\x0A-\x0D]")
 CONTEXT = 32  # characters of a context word that a pattern keeps
 
 ROUNDS = 4
@@ -74,48 +79,105 @@ def base_spans(text):
     return sorted(out)
 
 
-def shape(token):
-    """Runs of digits, letters and other characters: 9, a, and the characters themselves."""
-    return re.sub(r"[0-9]+", "9", re.sub(r"[^\W\d_]+", "a", token))[:CONTEXT]
+def kinds_of(token):
+    """Kinds that a token, or a run of tokens, may be of by its characters alone: an at sign; four or more groups split by
+    dots or colons; digits and separators, at least 7 for a phone and 12 for a card."""
+    if "@" in token:
+        return [0]
+    out = [1] if GROUPS.fullmatch(token) else []
+    if NUMERIC.fullmatch(token) and not QUAD.fullmatch(token):
+        digits = len(NOT_DIGIT.sub("", token))
+        out += [k for k, least in ((2, 12), (3, 7)) if digits >= least]
+    return out
 
 
 def _context(word):
     return re.sub(r"[0-9]+", "9", word.strip(TRIM).lower()[:CONTEXT])
 
 
+def _inner(text, start, end, more=""):
+    """(start, end) without punctuation around, signs of ``more`` included, and without parentheses that have no partner inside."""
+    while start < end and (text[start] in PUNCTUATION or text[start] == ")" or text[start] in more):
+        start += 1
+    while end > start and (text[end - 1] in PUNCTUATION or text[end - 1] == "(" or text[end - 1] in more or more and text[end - 1] == "+"):
+        end -= 1
+    opened, closed = text.count("(", start, end), text.count(")", start, end)
+    if start < end and text[end - 1] == ")" and closed > opened:
+        end, closed = end - 1, closed - 1
+    if start < end and text[start] == "(" and (opened > closed or text[end - 1] == ")" and opened == closed == 1):
+        start, opened = start + 1, opened - 1
+        if start < end and text[end - 1] == ")" and closed > opened:
+            end -= 1
+    return start, end
+
+
+def runs(text, words):
+    """Maximal runs of neighbouring words of digits and separators on a line, as lists of words. Punctuation ends a run."""
+    out, current = [], []
+    for start, end in words:
+        first, last = start, end
+        while first < last and text[first] in PUNCTUATION:
+            first += 1
+        while last > first and text[last - 1] in PUNCTUATION:
+            last -= 1
+        if first == last or not NUMERIC.fullmatch(text, first, last):
+            current = []
+            continue
+        if not current or first > start or LINE.search(text, current[-1][1], start):
+            current = []
+            out.append(current)
+        current.append((start, end))
+        if last < end:
+            current = []
+    return out
+
+
 def candidates(text, spans):
-    """(start, end, kind or -1, instance, left word, right word, shape) of the spans and of all other tokens that hold
-    a digit or an at sign."""
+    """(start, end, kind or -1, instance, left word, right word, kinds it may be of, start of its run, whether it is a run)
+    of the spans, of all other words that hold a digit or an at sign, and of the runs of such words of digits and separators.
+    What lies inside a run is a candidate of its own if it is long enough for a base pattern."""
     if not spans and not LOOKS_ODD.search(text):
         return []
     taken = sorted((s, e) for s, _, e in spans)
-    odd = [(s, e, k) for s, k, e in spans]
+    odd = [(s, e, k, s, False) for s, k, e in spans]
     words = [(m.start(), m.end()) for m in TOKEN.finditer(text)]
-    position = 0
+    free, breaks, position = [], [[]], 0
     for start, end in words:
-        token = text[start:end]
-        if LOOKS_ODD.search(token):
-            inner = token.strip(TRIM)
-            if len(inner) < 5 or len(inner) > 128:
-                continue
-            first = start + token.index(inner)
-            last = first + len(inner)
-            while position < len(taken) and taken[position][1] <= first:
-                position += 1
-            if any(s < last and first < e for s, e in taken[max(0, position - 4):position + 4]):
-                continue
-            odd.append((first, last, -1))
+        first, last = _inner(text, start, end)
+        while position < len(taken) and taken[position][1] <= first:
+            position += 1
+        if any(s < last and first < e for s, e in taken[max(0, position - 4):position + 4]):
+            breaks.append([])
+            continue
+        breaks[-1].append((start, end))
+        if LOOKS_ODD.search(text, first, last):
+            free.append((start, first, last))
+    run_of = {}
+    for part in breaks:
+        for run in runs(text, part):
+            first, last = _inner(text, run[0][0], run[-1][1], " \t-/")
+            if len(run) > 1 and len(TOKEN.findall(text, first, last)) > 1:
+                run_of.update((start, first) for start, _ in run)
+                odd.append((first, last, -1, first, True))
+    for start, first, last in free:
+        if start not in run_of or GROUPS.fullmatch(text, first, last) or len(NOT_DIGIT.sub("", text[first:last])) >= 10:
+            odd.append((first, last, -1, run_of.get(start, first), False))
     starts = [s for s, _ in words]
     out = []
-    for start, end, kind in odd:
+    for start, end, kind, whole, run in odd:
+        token = text[start:end]
+        may = kinds_of(token)
+        if kind >= 0 and kind not in may:
+            may.append(kind)
+        if not may:
+            continue
         left = bisect.bisect_right(starts, start) - 1
         right = bisect.bisect_left(starts, end)
         if left >= 0 and words[left][0] >= start - len(TRIM) and words[left][1] > start:
             left -= 1
         before = _context(text[words[left][0]:words[left][1]]) if left >= 0 else "^"
         after = _context(text[words[right][0]:words[right][1]]) if right < len(words) else "$"
-        token = text[start:end]
-        out.append((start, end, kind, hashlib.blake2b(token.lower().encode(), digest_size=16).hexdigest(), before, after, shape(token)))
+        out.append((start, end, kind, hashlib.blake2b(token.lower().encode(), digest_size=16).hexdigest(), before, after, may, whole, run))
     return out
 
 
@@ -124,9 +186,9 @@ def spell(spans):
 
 
 CANDIDATE = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.int32()), ("instance", pa.string()),
-                       ("left", pa.string()), ("right", pa.string()), ("shape", pa.string())])
+                       ("left", pa.string()), ("right", pa.string()), ("may", pa.list_(pa.int32())), ("whole", pa.int32()), ("run", pa.bool_())])
 SCHEMA = ("doc_id {}, hash long, n_email long, n_ip long, n_card long, n_phone long, base string, "
-          "found array<struct<start:int,end:int,kind:int,instance:string,left:string,right:string,shape:string>>")
+          "found array<struct<start:int,end:int,kind:int,instance:string,left:string,right:string,may:array<int>,whole:int,run:boolean>>")
 
 
 def _scan(batches):
@@ -148,34 +210,33 @@ def _scan(batches):
 
 
 def learn_patterns(spots: DataFrame, rounds=ROUNDS, min_seeds=MIN_SEEDS, least=MIN_CONFIDENCE) -> DataFrame:
-    """spots (kind or -1, instance, left, right, shape) -> (instance, to, score): identifiers that are no seeds, with
+    """spots (kind or -1, instance, left, right, may) -> (instance, to, score): identifiers that are no seeds, with
     the kind that their contexts say.
 
-    A pattern is a word to the left with the shape, or a word to the right with the shape. Its score for a kind is the
-    mean score of the different instances it stands at (seeds: 1 for their kind); an instance's score is the mean over
-    its patterns, weighted by how often it stands there. Patterns with too few seeds have no say. A few rounds let
+    A pattern is a word to the left or to the right, with a kind; it stands at the instances that may be of the kind. Its
+    score is their mean score (seeds: 1 for their kind); an instance's score for a kind is the mean over its patterns, weighted by how often it stands there. Patterns with too few seeds have no say. A few rounds let
     discovered instances speak for their other patterns. Edges are counted before they are shuffled; hot patterns and
     instances are aggregated map-side, and adaptive execution can split the joins."""
-    sides = F.array(F.concat_ws("\x01", F.lit("l"), "left", "shape"), F.concat_ws("\x01", F.lit("r"), "right", "shape"))
-    edges = stage(spots.select("kind", "instance", F.explode(sides).alias("pattern")).groupBy("kind", "instance", "pattern").agg(
-        F.count("*").alias("n")))
-    seeds = edges.where("kind >= 0").groupBy("pattern", "kind").agg(F.count("*").alias("seeds"))
+    sides = F.array(F.concat_ws("\x01", F.lit("l"), "left", "to"), F.concat_ws("\x01", F.lit("r"), "right", "to"))
+    edges = stage(spots.select("*", F.explode("may").alias("to")).select("kind", "instance", "to", F.explode(sides).alias("pattern")).groupBy(
+        "kind", "instance", "to", "pattern").agg(F.count("*").alias("n")))
+    seeds = edges.where("kind = to").groupBy("pattern").agg(F.count("*").alias("seeds"))
     heard = small(stage(seeds.where(F.col("seeds") >= min_seeds).select("pattern").distinct()))
     known = stage(edges.join(heard, "pattern", "left_semi"))
-    fixed = known.where("kind >= 0").select("pattern", "instance", "n", F.col("kind").alias("to"), F.lit(1.0).alias("score"))
-    open_ = known.where("kind < 0").select("pattern", "instance", "n")
+    fixed = known.where("kind = to").select("pattern", "instance", "to", F.lit(1.0).alias("score"))
+    open_ = known.where("kind < 0").select("pattern", "instance", "to", "n")
     size = stage(known.groupBy("pattern").agg(F.count("*").alias("size")))
     scores = None
     for _ in range(rounds):
         said = fixed.select("pattern", "to", "score")
         if scores is not None:
-            said = said.unionByName(open_.join(small(scores), "instance").select("pattern", "to", "score"))
+            said = said.unionByName(open_.join(small(scores), ["instance", "to"]).select("pattern", "to", "score"))
         patterns = said.groupBy("pattern", "to").agg(F.sum("score").alias("total")).join(small(size), "pattern").select(
             "pattern", "to", (F.col("total") / F.col("size")).alias("weight"))
         weights = small(stage(patterns.where("weight > 0")))
-        every = open_.groupBy("instance").agg(F.sum("n").alias("all"))
-        fresh = open_.join(weights, "pattern").groupBy("instance", "to").agg(
-            F.sum(F.col("n") * F.col("weight")).alias("total")).join(every, "instance").select(
+        every = open_.groupBy("instance", "to").agg(F.sum("n").alias("all"))
+        fresh = open_.join(weights, ["pattern", "to"]).groupBy("instance", "to").agg(
+            F.sum(F.col("n") * F.col("weight")).alias("total")).join(every, ["instance", "to"]).select(
             "instance", "to", (F.col("total") / F.col("all")).alias("score"))
         scores = stage(fresh)
         if not scores.limit(1).count():
@@ -194,8 +255,8 @@ def find_personal_data(docs: DataFrame, id_col="doc_id", text_col="text", rounds
     """doc_id, hash, n_email, n_ip, n_card, n_phone, base_sha256, spans, added for each row of ``docs``.
 
     The base patterns are searched in whole texts, in time in proportion to the text. Their finds are the seeds of
-    ``learn_patterns``; tokens with a digit or an at sign that are no seeds and reach the confidence ``least`` are added
-    as spans of the kind learned. ``spans`` lists all, ``added`` the learned ones alone; the counts are those of the base.
+    ``learn_patterns``; words with a digit or an at sign, and runs of words of digits and separators on a line, that are no
+    seeds and reach the confidence ``least`` are added as spans of the kind learned. ``spans`` lists all, ``added`` the learned ones alone; the counts are those of the base.
 
     A null text is an empty one. Ids may be null or repeated; rows that repeat an id and a text get the same result.
     An empty table gives no rows."""
@@ -205,8 +266,12 @@ def find_personal_data(docs: DataFrame, id_col="doc_id", text_col="text", rounds
     spots = stage(scanned.where("size(found) > 0").select("doc_id", "hash", F.inline("found")))
     learned = stage(learn_patterns(spots, rounds, min_seeds, least))
     more = spots.where("kind < 0").join(small(learned), "instance").select(
-        "doc_id", "hash", F.struct(F.col("start"), F.col("to"), F.col("end")).alias("span"))
-    added = stage(more.groupBy("doc_id", "hash").agg(F.sort_array(F.collect_set("span")).alias("added")))
+        "doc_id", "hash", "whole", "run", F.struct(F.col("start"), F.col("to"), F.col("end")).alias("span"))
+    # a run that is found stands for what lies inside it
+    parts = more.groupBy("doc_id", "hash", "whole").agg(F.max("run").alias("run"), F.max_by("span", "run").alias("longest"),
+                                                        F.collect_set("span").alias("all"))
+    spans = F.when(F.col("run"), F.array("longest")).otherwise(F.col("all"))
+    added = stage(parts.groupBy("doc_id", "hash").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_set(spans)))).alias("added")))
     names = F.array(*map(F.lit, KINDS))
     key = lambda x: F.struct(x["start"], x["to"], x["end"])
     base = F.transform(F.filter(F.split("base", ","), lambda x: x != ""), lambda x: F.struct(

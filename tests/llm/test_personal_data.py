@@ -4,7 +4,7 @@ import re
 from collections import Counter
 
 from awkward import AWKWARD, table
-from llm.personal_data import KINDS, base_spans, find_personal_data, redact
+from llm.personal_data import KINDS, base_spans, candidates, find_personal_data, redact
 
 PATTERNS = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
             r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
@@ -68,3 +68,27 @@ def test_contexts_discover_what_the_patterns_miss(spark):
     assert made.columns == docs.columns
     text = {r.doc_id: r.text for r in made.collect()}
     assert text[50] == text[3] == "yesterday the server <IP> responded late" and text[51] == rows[21][1] and text[None] is None
+
+
+def test_contexts_discover_runs_of_several_words(spark):
+    """A phone without a plus sign and a spaced card that fails the check digit are several words long."""
+    rows = [(i, f"please call +1 (555) 010-99{i:02d} before noon", "a") for i in range(20)]
+    rows += [(100 + i, f"paid with card 4111 1111 1111 {d:04d} last week", "a") for i, d in enumerate(
+        d for d in range(1000, 1400) if luhn(f"411111111111{d}"))]
+    rows += [(50, "please call (555) 010-7777 before noon", "b"), (51, "paid with card 4111 1111 1111 1112 last week", "b"),
+             (52, "rows 12 13 14 15 of table 7", "b"), (53, "please call (555) 010-7777, before", "b"),
+             (54, "please call 300.1.1.1 before noon", "b")]
+    docs = table(spark, rows)
+    by = {r.doc_id: r for r in find_personal_data(docs).collect()}
+    assert by[50].n_phone == 0 and by[50].spans == "phone:12:26" and by[53].spans == "phone:12:26"
+    assert by[51].n_card == 0 and by[51].spans == "card:15:34"
+    assert by[52].spans == "" and by[54].spans == ""
+    text = {r.doc_id: r.text for r in redact(docs).collect()}
+    assert text[50] == text[3] == "please call <PHONE> before noon" and text[51] == "paid with card <CARD> last week"
+
+
+def test_runs_have_no_length_cut():
+    long = " ".join(["1234"] * 100)
+    found = {text[s:e] for text in [f"number {long}, and 12 34"] for s, e, *_ in candidates(text, [])}
+    assert found == {long}
+    assert [(t[0], t[1]) for t in candidates("at (555) 010-7777) or", [])] == [(3, 17)]
