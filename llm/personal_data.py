@@ -31,7 +31,7 @@ LINE = re.compile(r"[\x0A-\x0D]")
 CONTEXT = 32  # characters of a context word that a pattern keeps
 
 ROUNDS = 4
-MIN_SEEDS = 5         # different seeds that a pattern must stand at
+MIN_SEEDS = 5         # different seeds or found identifiers that a pattern must stand at
 MIN_CONFIDENCE = 0.8  # of a pattern, and of a found identifier
 
 
@@ -214,30 +214,30 @@ def learn_patterns(spots: DataFrame, rounds=ROUNDS, min_seeds=MIN_SEEDS, least=M
     the kind that their contexts say.
 
     A pattern is a word to the left or to the right, with a kind; it stands at the instances that may be of the kind. Its
-    score is their mean score (seeds: 1 for their kind); an instance's score for a kind is the mean over its patterns, weighted by how often it stands there. Patterns with too few seeds have no say. A few rounds let
-    discovered instances speak for their other patterns. Edges are counted before they are shuffled; hot patterns and
+    score is their mean score (seeds: 1 for their kind); an instance's score for a kind is the mean over its patterns,
+    weighted by how often it stands there. A pattern speaks from a score of ``least`` on, if it stands at ``min_seeds`` different seeds or identifiers found in the
+    round before, so that found ones make further patterns heard. One that does not speak counts as 0 if it stands at
+    ``min_seeds`` seeds, else not at all. Edges are counted before they are shuffled; hot patterns and
     instances are aggregated map-side, and adaptive execution can split the joins."""
     sides = F.array(F.concat_ws("\x01", F.lit("l"), "left", "to"), F.concat_ws("\x01", F.lit("r"), "right", "to"))
     edges = stage(spots.select("*", F.explode("may").alias("to")).select("kind", "instance", "to", F.explode(sides).alias("pattern")).groupBy(
         "kind", "instance", "to", "pattern").agg(F.count("*").alias("n")))
-    seeds = edges.where("kind = to").groupBy("pattern").agg(F.count("*").alias("seeds"))
-    heard = small(stage(seeds.where(F.col("seeds") >= min_seeds).select("pattern").distinct()))
-    known = stage(edges.join(heard, "pattern", "left_semi"))
-    fixed = known.where("kind = to").select("pattern", "instance", "to", F.lit(1.0).alias("score"))
-    open_ = known.where("kind < 0").select("pattern", "instance", "to", "n")
-    size = stage(known.groupBy("pattern").agg(F.count("*").alias("size")))
+    # a pattern that stands at too few instances of any kind can never be heard
+    sized = small(stage(edges.groupBy("pattern").agg(F.count("*").alias("size"), F.count_if(F.col("kind") == F.col("to")).alias("seeds")).where(
+        F.col("size") >= min_seeds)))
+    open_ = stage(edges.where("kind < 0").join(sized.select("pattern"), "pattern", "left_semi").select("pattern", "instance", "to", "n"))
     scores = None
     for _ in range(rounds):
-        said = fixed.select("pattern", "to", "score")
+        known = sized.withColumns({"more": F.lit(0.0), "firm": F.lit(0)})
         if scores is not None:
-            said = said.unionByName(open_.join(small(scores), ["instance", "to"]).select("pattern", "to", "score"))
-        patterns = said.groupBy("pattern", "to").agg(F.sum("score").alias("total")).join(small(size), "pattern").select(
-            "pattern", "to", (F.col("total") / F.col("size")).alias("weight"))
-        weights = small(stage(patterns.where("weight > 0")))
-        every = open_.groupBy("instance", "to").agg(F.sum("n").alias("all"))
-        fresh = open_.join(weights, ["pattern", "to"]).groupBy("instance", "to").agg(
-            F.sum(F.col("n") * F.col("weight")).alias("total")).join(every, ["instance", "to"]).select(
-            "instance", "to", (F.col("total") / F.col("all")).alias("score"))
+            told = open_.join(small(scores), ["instance", "to"]).groupBy("pattern").agg(
+                F.sum("score").alias("more"), F.count_if(F.col("score") >= least).alias("firm"))
+            known = sized.join(small(stage(told)), "pattern", "left").fillna(0, ["more", "firm"])
+        weight = (F.col("seeds") + F.col("more")) / F.col("size")
+        speaks = (F.col("seeds") + F.col("firm") >= min_seeds) & (weight >= least)
+        voices = known.where(speaks | (F.col("seeds") >= min_seeds)).select("pattern", F.when(speaks, weight).otherwise(0.0).alias("weight"))
+        fresh = open_.join(small(stage(voices)), "pattern").groupBy("instance", "to").agg(
+            (F.sum(F.col("n") * F.col("weight")) / F.sum("n")).alias("score")).where("score > 0")
         scores = stage(fresh)
         if not scores.limit(1).count():
             break

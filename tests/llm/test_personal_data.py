@@ -92,3 +92,14 @@ def test_runs_have_no_length_cut():
     found = {text[s:e] for text in [f"number {long}, and 12 34"] for s, e, *_ in candidates(text, [])}
     assert found == {long}
     assert [(t[0], t[1]) for t in candidates("at (555) 010-7777) or", [])] == [(3, 17)]
+
+
+def test_found_identifiers_make_further_patterns_heard(spark):
+    """No seed stands at a gateway: only the addresses that were found at servers say what does. At a node, seeds are few."""
+    rows = [(i, f"the server 10.0.0.{i} responded late", "a") for i in range(60)]
+    rows += [(100 + i, f"server 300.1.1.{i} responded, then gateway 300.1.1.{i} stopped", "a") for i in range(6)]
+    rows += [(200, "then gateway 301.1.1.1 broke", "b"), (201, "my bridge 302.1.1.1 broke", "b")]
+    rows += [(300 + i, f"some node 10.1.0.{i} {i}x", "b") for i in range(6)] + [(400 + i, f"a{i} node 400.1.1.{i} y{i}", "b") for i in range(4)]
+    by = {r.doc_id: r.spans for r in find_personal_data(table(spark, rows)).collect()}
+    assert by[200] == "ip:13:22" and by[201] == ""
+    assert all(by[400 + i] == "" for i in range(4))  # 6 of 10 are too few for the pattern
