@@ -94,6 +94,24 @@ def _model(name, **point):
     return run
 
 
+@lru_cache(maxsize=4)
+def _whole(spark, d):
+    """All rows of the feature table with all features; class 1 from ``HIGH`` errors on."""
+    rows = table(spark, d).withColumn("class", (F.col("5min_counter") >= HIGH).cast("double"))
+    return stage(labels.matrix(rows, 4))
+
+
+def _whole_model(name, **point):
+    """A model fitted on and scoring every row and feature. SQL cannot say what it predicts: ``scored`` is that each row has a
+    probability, and the predictions are tested in ``tests/test_registered.py``."""
+    def run(spark, d):
+        rows = _whole(spark, d)
+        params, = [p for p in models.candidates(name, SPLIT, TYPE) if all(p[k] == v for k, v in point.items())]
+        scored = models.fit(name, params, rows).score(rows)
+        return scored.select("sid", "predict_time", F.col("class").cast("int").alias("class"), F.col("pred").between(0, 1).alias("scored"))
+    return run
+
+
 def _s4(spark, d):
     path = _folder(spark, "features")
     stores.write_features(table(spark, d), path)
@@ -127,6 +145,11 @@ QUERIES = {
     "a3_logistic_regression": _model("LR", c=0.1),
     "a4_bagged_svm": _model("SVM", members=10),
     "a5_perceptron": _model("MLP", layers=1),
+    "a1_random_forest_whole": _whole_model("RF", trees=10, depth=5, min_split=5),
+    "a2_gradient_boosting_whole": _whole_model("GBDT", trees=10, depth=5, leaves=5),
+    "a3_logistic_regression_whole": _whole_model("LR", c=0.1),
+    "a4_bagged_svm_whole": _whole_model("SVM", members=10),
+    "a5_perceptron_whole": _whole_model("MLP", layers=1),
     "x1_feature_groups": lambda s, d: experiments.by_feature_group(_data(s, d), grid=SMALL, freq=FREQ),
     "x2_models": lambda s, d: experiments.by_model(_data(s, d), grids=SMALL_GRIDS, freq=FREQ),
     "x2_grid_random_forest": _grid("RF"),
@@ -144,6 +167,8 @@ QUERIES = {
 CONSTRUCTED = f"""SELECT sid, {text('f.rb')} AS predict_time, CAST("5min_counter" >= {HIGH} AS int) AS class FROM counter f
   WHERE "5min_counter" <= {LOW} OR "5min_counter" >= {HIGH}"""
 COUNTED = _windows(FREQ, range(1, 9)) + "," + HARD + "," + COUNTER
+WHOLE = query(f"""SELECT sid, {text('f.rb')} AS predict_time, CAST("5min_counter" >= {HIGH} AS int) AS class, true AS scored
+  FROM counter f""", COUNTED)
 LEARNED = query(f"SELECT *, class AS predicted FROM ({CONSTRUCTED})", COUNTED)
 
 ORACLE = {
@@ -153,6 +178,7 @@ ORACLE = {
       FROM (VALUES (1), (2), (3)) t(failure_type), (VALUES (1), (2), (3)) s(split)""",
     "s6_saved_model": query(f"SELECT sid, predict_time, true AS agree FROM ({CONSTRUCTED})", COUNTED),
     **{name: LEARNED for name in ("a1_random_forest", "a2_gradient_boosting", "a3_logistic_regression", "a4_bagged_svm", "a5_perceptron")},
+    **{f"{name}_whole": WHOLE for name in ("a1_random_forest", "a2_gradient_boosting", "a3_logistic_regression", "a4_bagged_svm", "a5_perceptron")},
     "s4_feature_store": query(
         f"""SELECT sid, {text('f.rb')} AS predict_time, month, "5min_counter" AS counter, "5min_mtbe" AS mtbe
         FROM counter f WHERE month IN (6, 7)""", _windows(FREQ, range(1, 9)) + "," + HARD + "," + COUNTER),

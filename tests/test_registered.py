@@ -36,3 +36,26 @@ def test_each_model_runs_over_its_whole_grid(spark, monkeypatch):
                         ("perceptron", "MLP")):
         cells, grids = covered(spark, monkeypatch, f"x2_grid_{name}")
         assert cells == {(model, t, s, model) for t, s in product((1, 2, 3), (1, 2, 3))} and set(grids) == {None}
+
+
+def test_whole_models_take_every_row_and_feature(spark, monkeypatch):
+    """Rows of 3 to 11 errors are scored too, and the learner finds the class among 52 features."""
+    from pyspark.sql import functions as F
+
+    from memsight.operators import models
+    from memsight.operators.features import feature_columns
+
+    names = feature_columns(4)
+    rows = spark.range(400).select(
+        F.col("id").alias("sid"), F.lit("0001-05-01 00:00:00").alias("predict_time"), F.col("id").alias("t_predict"),
+        *[(F.col("id") % 20 if c == "5min_counter" else F.xxhash64("id", F.lit(c)) % 5).cast("double").alias(c) for c in names])
+    monkeypatch.setattr(learning, "table", lambda *_: rows)
+    learning._whole.cache_clear()
+    whole = learning._whole(spark, "a")
+    assert whole.count() == 400 and len(whole.first()["features"]) == len(names) == 52
+    got = learning.QUERIES["a1_random_forest_whole"](spark, "a").collect()
+    assert len(got) == 400 and sum(r["class"] for r in got) == 160 and all(r.scored for r in got)
+    params, = [p for p in models.candidates("RF") if (p["trees"], p["depth"], p["min_split"]) == (10, 5, 5)]
+    scored = models.fit("RF", params, whole).score(whole)
+    assert scored.where((F.col("pred") > 0.5) == (F.col("class") == 1)).count() >= 380
+    learning._whole.cache_clear()
