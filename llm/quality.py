@@ -147,7 +147,7 @@ def classify_quality(docs: DataFrame, labels: DataFrame, host, path, id_col="doc
     """doc_id, hash, evidence, host_rate, path_rate, score, keep of each row of ``docs``; ``host`` and ``path`` are
     column expressions of ``docs`` (a site, and a part of it).
 
-    The classifier is fitted on at most ``sample`` labelled documents, the first by hash of the id. ``score`` is the
+    The classifier is fitted on at most ``sample`` labelled documents, the first by hash of the id (of rows that repeat an id, one). ``score`` is the
     posterior: the evidence of the text, with the path's posterior rate in place of the global one.
 
     Null or empty texts have the features of no words. A null host or path is a site of its own. Rows with a null id are
@@ -161,7 +161,8 @@ def classify_quality(docs: DataFrame, labels: DataFrame, host, path, id_col="doc
     known = columns(labels, id=id_col, label=label_col).where("id IS NOT NULL AND label IS NOT NULL").groupBy("id").agg(
         F.min("label").cast("int").alias("label"))
     drawn = stage(known.orderBy(F.xxhash64("id"), "id").limit(sample))
-    taught = measured.join(F.broadcast(drawn), F.col("doc_id") == F.col("id")).select("doc_id", "label", "x").collect()
+    taught = measured.join(F.broadcast(drawn), F.col("doc_id") == F.col("id")).groupBy("doc_id", "label").agg(
+        F.min("x").alias("x")).collect()  # of rows that repeat an id, one
     taught.sort()
     y = np.array([r.label for r in taught])
     if not len(y) or y.min() == y.max():
