@@ -141,7 +141,8 @@ def fit(texts, toxic):
     half = np.arange(len(texts)) % 2 == 0
     rate = (toxic.sum() + 0.5) / (len(toxic) + 1)
     flat = np.array([np.log(rate / (1 - rate)), 0, 0])
-    bare = Tagger(np.zeros(0, np.uint64), np.zeros(0), -20.0, np.zeros((2, 2)), flat)
+    clean = np.array([flat[0] or -1e-6, 0, 0])  # no labels, or as many of each, say of no text that it is toxic
+    bare = Tagger(np.zeros(0, np.uint64), np.zeros(0), -20.0, np.zeros((2, 2)), clean)
     if not toxic[half].any() or toxic[half].all():
         return bare
     own = [np.unique(texts[i]) for i in np.flatnonzero(half)]
@@ -237,14 +238,14 @@ def held_out(doc_id, folds=5):
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="toxic", sample=SAMPLE) -> DataFrame:
     """doc_id, held_out, score, predicted, spans of each row of ``docs``.
 
-    The model is fitted on at most ``sample`` labelled rows (the first by hash of the id, as far as their texts stay within
-    ``SAMPLE_BYTES`` together; of rows that repeat an id, one) that are not held out: ids
+    The model is fitted on at most ``sample`` labelled rows (the first by hash of the id; of these, the shortest as far as their texts stay
+    within ``SAMPLE_BYTES`` together; of rows that repeat an id, one) that are not held out: ids
     whose crc32 modulo 5 is 0 never teach. Spans are runs of tokens with a marginal of at least 0.5, as code points.
     Only the words of a text count for its score.
 
     A null or empty text has no tokens and gets the score of none. Rows with a null id are scored, never learned from;
     null labels and labels of unknown ids are left out, of repeated labels the largest counts. Without any toxic label
-    all scores are the smoothed base rate. Repeated rows are scored alike; an empty table gives no rows."""
+    all scores are the smoothed base rate; without labels they are just below 0.5. Repeated rows are scored alike; an empty table gives no rows."""
     rows = columns(docs, doc_id=id_col, text=text_col).withColumn("text", F.col("text").cast("string"))
     known = columns(labels, id=id_col, label=label_col).where("id IS NOT NULL AND label IS NOT NULL").groupBy("id").agg(
         F.max("label").cast("int").alias("label"))
@@ -253,7 +254,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col
     drawn = F.broadcast(stage(drawn))
     sizes = rows.join(drawn, rows.doc_id == F.col("id")).groupBy("id", "label").agg(
         F.max(F.coalesce(F.octet_length("text"), F.lit(0))).alias("bytes"))  # a row for each drawn id
-    first = Window.orderBy(F.xxhash64("id"), "id")
+    first = Window.orderBy("bytes", F.xxhash64("id"), "id")  # a text that does not fit leaves out longer ones only
     chosen = stage(sizes.withColumn("sum", F.sum("bytes").over(first)).where(F.col("sum") <= SAMPLE_BYTES).select("id", "label"))
     taught = rows.join(F.broadcast(chosen), rows.doc_id == F.col("id")).select("doc_id", "label", "text").mapInArrow(
         _hashes, f"doc_id {kind}, label int, hashes binary").groupBy("doc_id", "label").agg(F.min("hashes").alias("hashes"))
