@@ -94,7 +94,7 @@ def predictable_counts(log, tickets, inventory, windows=WINDOWS, leads=None) ->
     wide = leads.groupBy("failure_type").agg(
         *[_over(name, seconds) for name, seconds in windows.items()])
     rows = unpivot_windows(wide, ["failure_type"], ["n_sid"], windows)
-    return fill(rows, scaffold(log.sparkSession, windows), ["failure_type", "window"], ["n_sid"])
+    return fill(rows, scaffold(log.sparkSession, windows, typed(tickets)), ["failure_type", "window"], ["n_sid"])
 
 
 def predictable_fraction(log, tickets, inventory, windows=WINDOWS, failures=None, leads=None) -> DataFrame:
@@ -111,12 +111,12 @@ def _mean_positive(prefix, name):
             F.count_if(column > 0).alias(f"servers_{prefix}_{name}")]
 
 
-def _server_means(per_server: DataFrame, prefixes, windows) -> DataFrame:
+def _server_means(per_server: DataFrame, tickets, prefixes, windows) -> DataFrame:
     wide = per_server.groupBy("failure_type").agg(
         *[agg for p in prefixes for name in windows for agg in _mean_positive(p, name)])
     names = [f"{kind}_{p}" for p in prefixes for kind in ("mean", "servers")]
     rows = unpivot_windows(wide, ["failure_type"], names, windows)
-    return fill(rows, scaffold(per_server.sparkSession, windows), ["failure_type", "window"],
+    return fill(rows, scaffold(per_server.sparkSession, windows, typed(tickets)), ["failure_type", "window"],
                 [n for n in names if n.startswith("servers")])
 
 
@@ -136,13 +136,13 @@ def mean_errors(log, tickets, inventory, windows=WINDOWS, counts=None) -> DataFr
     if counts is None:
         rows = failure_rows(log, tickets, inventory, [])
         counts = rows.groupBy("failure_type", "sid").agg(*per_window(F.col("n"), "errors", windows))
-    return _server_means(counts, ["errors"], windows)
+    return _server_means(counts, tickets, ["errors"], windows)
 
 
 def mean_read_scrub(log, tickets, inventory, windows=WINDOWS, counts=None) -> DataFrame:
     """Mean read and mean scrub errors per failed server before each window."""
     counts = server_errors(log, tickets, inventory, windows) if counts is None else counts
-    return _server_means(counts, ["read", "scrub"], windows)
+    return _server_means(counts, tickets, ["read", "scrub"], windows)
 
 
 def server_mtbe(log, tickets, inventory, windows=WINDOWS) -> DataFrame:
@@ -170,7 +170,7 @@ def median_mtbe(log, tickets, inventory, windows=WINDOWS) -> DataFrame:
     medians = exact_median(server_mtbe(log, tickets, inventory, windows), ["failure_type", "window"], "mtbe")
     rows = medians.select("failure_type", "window", F.col("n").alias("n_sid"),
                           (F.col("median") / 60).alias("mtbe_minutes"))
-    return fill(rows, scaffold(log.sparkSession, windows), ["failure_type", "window"], ["n_sid"])
+    return fill(rows, scaffold(log.sparkSession, windows, typed(tickets)), ["failure_type", "window"], ["n_sid"])
 
 
 UNKNOWN = "unknown"
@@ -210,7 +210,7 @@ def hardware_impact(log, tickets, inventory, factor, windows=WINDOWS, failures=N
     leads = _factor_leads(log, tickets, inventory, factor, leads).withColumn("level", _level(factor))
     wide = leads.groupBy("failure_type", "level").agg(*[_over(name, s) for name, s in windows.items()])
     rows = unpivot_windows(wide, ["failure_type", "level"], ["n_sid"], windows)
-    frame = scaffold(log.sparkSession, windows).crossJoin(F.broadcast(hardware_levels(inventory, factor)))
+    frame = scaffold(log.sparkSession, windows, typed(tickets)).crossJoin(F.broadcast(hardware_levels(inventory, factor)))
     out = fill(rows, frame, ["failure_type", "window", "level"], ["n_sid"])
     out = out.join(F.broadcast(failures), "failure_type", "left")
     return out.withColumn("fraction", F.try_divide("n_sid", "n_failures"))

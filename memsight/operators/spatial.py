@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from memsight.constants import CELL_GAP, COMPONENTS, HARD_SPAN, MIN_ERRORS, WINDOWS
 from memsight.functions.topology import BANK, CELL, channelid, dimmid, socketid
 from memsight.operators.measure import _server_means, predictable_counts
-from memsight.operators.prepare import failure_rows
+from memsight.operators.prepare import failure_rows, typed
 from memsight.operators.reports import fill, per_window, scaffold, unpivot_windows
 
 SERVER = ["failure_type", "sid"]
@@ -127,7 +127,7 @@ def component_breakdown(log, tickets, inventory, windows=WINDOWS, min_errors=MIN
         *_sums("n_ce", windows, "n"), *[F.count_if(F.col(f"n_{w}") > 0).alias(f"n_sid_{w}") for w in windows])
     keys = ["failure_type", "component"]
     rows = unpivot_windows(wide, keys, ["n_ce", "n_sid"], windows)
-    frame = scaffold(log.sparkSession, windows, component=COMPONENTS)
+    frame = scaffold(log.sparkSession, windows, typed(tickets), component=COMPONENTS)
     return fill(rows, frame, [*keys, "window"], ["n_ce", "n_sid"])
 
 
@@ -214,4 +214,4 @@ def mean_hard_soft(log, tickets, inventory, windows=WINDOWS, hard_span=HARD_SPAN
     cells = _hard_cells(log, tickets, inventory, windows, hard_span)
     per_server = cells.groupBy(*SERVER).agg(
         *_sums("hard", windows, "n", F.col("is_hard")), *_sums("soft", windows, "n", ~F.col("is_hard")))
-    return _server_means(per_server, ["hard", "soft"], windows)
+    return _server_means(per_server, tickets, ["hard", "soft"], windows)

@@ -54,6 +54,6 @@ def write_findings(log, tickets, inventory, path, **thresholds):
             order += [c for c in ("component", "level", "month") if c in report.columns]
             if "failure_type" in report.columns:
                 names = F.get(F.array(*[F.lit(n) for n in FAILURE_TYPES.values()]), F.col("failure_type").cast("int") - 1)
-                report = report.orderBy(*order).withColumn("failure_type", names)
+                report = report.orderBy(*order).withColumn("failure_type", F.coalesce(names, F.col("failure_type").cast("string")))
                 order = []
             write_report(report, f"{path}/{name}", order)
