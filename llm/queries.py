@@ -6,6 +6,7 @@ import os
 from pyspark.sql import functions as F
 
 from llm import oracles
+from llm.centroids import cluster
 from llm.licenses import scan_licenses
 from llm.mixing import mix
 from llm.near_duplicates import near_duplicates
@@ -13,9 +14,11 @@ from llm.near_vectors import near_vectors
 from llm.neighbours import neighbours
 from llm.personal_data import find_personal_data
 from llm.quality import classify_quality
+from llm.ranked_search import ranked_search
 from llm.sentencepiece_bpe import tokenize
 from llm.sharding import shard_documents
 from llm.toxicity import score_toxicity
+from llm.url_rules import filter_urls
 
 
 def documents(spark, sf_dir):
@@ -78,6 +81,23 @@ def op10_sentencepiece(spark, sf_dir):
     return tokenize(documents(spark, sf_dir), model_path(), ("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"),
+         ("com", "/de/", "block")]
+
+
+def op11_url_rules(spark, sf_dir):
+    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    return filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), rules)
+
+
+def op12_presence_masks(spark, sf_dir):
+    return ranked_search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op13_threshold_centroids(spark, sf_dir):
+    return cluster(embeddings(spark, sf_dir))
+
+
 QUERIES = {
     "op1_empirical_bayes": op1_empirical_bayes,
     "op2_label_propagation": op2_label_propagation,
@@ -89,9 +109,15 @@ QUERIES = {
     "op7_lattice": op7_lattice,
     "op9_learned_partitions": op9_learned_partitions,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_url_rules": op11_url_rules,
+    "op12_presence_masks": op12_presence_masks,
+    "op13_threshold_centroids": op13_threshold_centroids,
 }
 
 ORACLE = {
     "op4_superminhash": oracles.NEAR_DUPLICATES,
     "op7_lattice": oracles.NEAR_VECTORS,
+    "op11_url_rules": oracles.url_rules(RULES),
+    "op12_presence_masks": oracles.RANKED_SEARCH,
+    "op13_threshold_centroids": oracles.centroid_clusters(),
 }
