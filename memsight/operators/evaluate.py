@@ -67,20 +67,26 @@ def with_metrics(cells: DataFrame, known=None) -> DataFrame:
     }).drop("_p", "_r", "_fpr", "_bad")
 
 
-def sweep(scored: DataFrame, by=()) -> DataFrame:
-    """tp, fp, fn, tn at the thresholds 0.00 .. 0.99.
-
-    A server passes the first k thresholds; a histogram of k (at most 101 bars per group), summed
-    from the top, gives all hundred rows."""
-    by = list(by)
-    steps = F.array(*[F.lit(t) for t in THRESHOLDS])
+def passed(column):
+    """How many of the thresholds a score is above: a score passes the first so many."""
+    return F.size(F.filter(F.array(*[F.lit(t) for t in THRESHOLDS]), lambda t: column > t))
 
-    def passed(column):
-        return F.size(F.filter(steps, lambda t: F.col(column) > t))
 
+def sweep(scored: DataFrame, by=()) -> DataFrame:
+    """tp, fp, fn, tn at the thresholds 0.00 .. 0.99."""
     servers = server_scores(scored, by).select(
-        *by, passed("best").alias("k"), F.coalesce(passed("best_true"), F.lit(-1)).alias("k_true"),
+        *by, passed(F.col("best")).alias("k"), F.coalesce(passed(F.col("best_true")), F.lit(-1)).alias("k_true"),
         (F.col("last_class") > 0).cast("long").alias("positive"))
+    return sweep_servers(servers, by)
+
+
+def sweep_servers(servers: DataFrame, by=()) -> DataFrame:
+    """As ``sweep``, from a row a server: ``k``, the thresholds its best score passes, ``k_true``, those that its best
+    positive row passes (-1 without one), and ``positive``, 1 if its last row is.
+
+    A histogram of k (at most 102 bars a group), summed from the top, gives all hundred rows."""
+    by = list(by)
+
     def bar(k, servers, hits, positive):
         return F.struct(k.cast("int").alias("k"), servers.cast("long").alias("servers"),
                         hits.cast("long").alias("hits"), positive.cast("long").alias("positive"))
@@ -91,7 +97,7 @@ def sweep(scored: DataFrame, by=()) -> DataFrame:
         *[F.sum(c).alias(c) for c in ("servers", "hits", "positive")])
     totals = bars.groupBy(*by).agg(F.sum("servers").alias("all_servers"), F.sum("positive").alias("positives"))
     frame = totals.select("*", F.explode(F.sequence(F.lit(1), F.lit(len(THRESHOLDS)))).alias("k"))
-    full = frame.join(bars, [*by, "k"], "left").fillna(0, ["servers", "hits"])
+    full = frame.join(bars.drop("positive"), [*by, "k"], "left").fillna(0, ["servers", "hits"])
     from_top = W.partitionBy(*by).orderBy(F.desc("k")).rowsBetween(W.unboundedPreceding, 0)
     summed = full.withColumns({"predicted": F.sum("servers").over(from_top), "true": F.sum("hits").over(from_top)})
     cells = _cells(*[F.col(c) for c in ("predicted", "true", "positives", "all_servers")])
@@ -104,8 +110,12 @@ def best_threshold(scored: DataFrame, by=(), positives=None) -> DataFrame:
     ``positives``: a table (``by`` columns .., positives) of known positives for the second metric.
     Without any F1 above 0 the threshold and the metrics are 0 and the counts NULL.
     """
+    return best_cells(sweep(scored, by), by, positives)
+
+
+def best_cells(cells: DataFrame, by=(), positives=None) -> DataFrame:
+    """As ``best_threshold``, from the rows of a sweep."""
     by = list(by)
-    cells = sweep(scored, by)
     if positives is None:
         rows = with_metrics(cells)
     else:
@@ -150,3 +160,24 @@ def lead_time(scored: DataFrame, tickets: DataFrame, threshold, by=()) -> DataFr
     if not by:
         return counts
     return fill(counts, scored.select(*by).distinct(), by, ["n_useless", "n_useful"])
+
+
+def lead_sweep(scored: DataFrame, tickets: DataFrame, by=()) -> DataFrame:
+    """``lead_time`` for all hundred thresholds: by, threshold, n_useless, n_useful; a row for each group and threshold at which
+    a server is rightly predicted. ``scored``: by, sid, t_predict, class, and ``pred`` or ``k``, the thresholds it passes.
+
+    A server's first right prediction at a threshold is the earliest row that passes at least so many: a running minimum
+    from the top over at most a hundred values of k a server. It changes only at these, so every step counts for a
+    range of thresholds; a histogram of the ranges is expanded at the end."""
+    by = list(by)
+    rows = scored if "k" in scored.columns else scored.withColumn("k", passed(F.col("pred")))
+    steps = rows.filter((F.col("class") == 1) & (F.col("k") > 0)).groupBy(*by, "sid", "k").agg(F.min("t_predict").alias("t"))
+    down = W.partitionBy(*by, "sid").orderBy(F.desc("k"))
+    steps = steps.withColumns({"first_predict": F.min("t").over(down.rowsBetween(W.unboundedPreceding, 0)),
+                               "low": F.coalesce(F.lead("k").over(down), F.lit(0))})
+    hits = steps.join(tickets.select("sid", "failed_off"), "sid")
+    kind = lead_class(F.col("failed_off") - F.col("first_predict"))
+    ranges = hits.groupBy(*by, "low", "k").agg(F.count_if(kind == 1).alias("n_useless"), F.count_if(kind == 2).alias("n_useful"))
+    each = ranges.select(*by, F.explode(F.sequence(F.col("low"), F.col("k") - 1)).alias("_step"), "n_useless", "n_useful")
+    return each.groupBy(*by, (F.col("_step") / 100).alias("threshold")).agg(
+        F.sum("n_useless").alias("n_useless"), F.sum("n_useful").alias("n_useful"))

@@ -15,17 +15,46 @@ SAMPLE_RATIO = 0.02
 SEED = 42
 
 
-def _labelled(features, tickets, failure_type, horizon, keep_others):
-    # features hold at most a row per server and window of the calendar, so no server is heavy here
-    facts = tickets.select("sid", F.col("failed_off"), F.col("failure_type").alias("_type"))
-    rows = features.join(facts, "sid", "left")
-    kind, ahead = F.coalesce("_type", F.lit(0)), F.col("failed_off") - F.col("t_predict")
+def _class(kind, failure_type, ahead, horizon, keep_others):
+    """(whether a row is kept, its class) for a failure type; ``kind``: the type of the row's ticket, 0 without one."""
     own = kind == failure_type
     keep = (kind == 0) | (own & (ahead >= 0))
     if keep_others:
         keep = keep | ((kind > 0) & ~own)
-    positive = own & (ahead >= 0) & (ahead <= horizon)
-    return rows.filter(keep).withColumn("class", F.when(positive, 1).otherwise(0)).drop("failed_off", "_type")
+    return keep, F.when(own & (ahead >= 0) & (ahead <= horizon), 1).otherwise(0)
+
+
+def _with_tickets(features, tickets):
+    # features hold at most a row per server and window of the calendar, so no server is heavy here
+    facts = tickets.select("sid", F.col("failed_off").alias("_off"), F.col("failure_type").alias("_type"))
+    return features.join(facts, "sid", "left"), F.coalesce("_type", F.lit(0)), F.col("_off") - F.col("t_predict")
+
+
+def _labelled(features, tickets, failure_type, horizon, keep_others):
+    rows, kind, ahead = _with_tickets(features, tickets)
+    keep, label = _class(kind, failure_type, ahead, horizon, keep_others)
+    return rows.filter(keep).withColumn("class", label).drop("_off", "_type")
+
+
+def cell_labels(features: DataFrame, tickets: DataFrame, role: str, types=(1, 2, 3), splits=(1, 2, 3), horizon=DAY,
+                exploded=True) -> DataFrame:
+    """``features`` once for each cell (``failure_type``, ``split``) that uses the row in its ``role``, train or test, with its
+    ``class``: the rows of ``train_labels`` or ``test_labels`` of all types and splits, from one scan and one join.
+
+    ``exploded=False`` keeps one row for a feature row and ticket, with an array ``uses`` of (failure_type, split, class);
+    rows without a use are dropped."""
+    rows, kind, ahead = _with_tickets(features, tickets)
+    entries = []
+    for split in splits:
+        months = SPLITS[split][0] if role == "train" else [SPLITS[split][1]]
+        for failure_type in types:
+            keep, label = _class(kind, failure_type, ahead, horizon, role == "test")
+            entries.append(F.when(F.col("month").isin(months) & keep, F.struct(
+                F.lit(failure_type).alias("failure_type"), F.lit(split).alias("split"), label.alias("class"))))
+    uses = F.array_compact(F.array(*entries))
+    if exploded:
+        return rows.select(*features.columns, F.inline(uses))
+    return rows.select(*features.columns, uses.alias("uses")).filter(F.size("uses") > 0)
 
 
 def train_labels(features: DataFrame, tickets: DataFrame, failure_type: int, horizon=DAY) -> DataFrame:
@@ -54,32 +83,48 @@ def train_test(features: DataFrame, split: int):
     return features.filter(F.col("month").isin(train)), features.filter(F.col("month") == test)
 
 
-def under_sample(labelled: DataFrame, ratio=SAMPLE_RATIO, seed=SEED, keys=("sid", "predict_time")) -> DataFrame:
-    """All rows of class 1 and a random floor(positives / ratio) rows of class 0; ratio 0 keeps all.
-
-    Random order is the MD5 text of seed and key, the same on every run and engine. A histogram of
-    its first four digits (65,536 at most) shows which prefixes are taken whole; only the rows of
-    the one prefix at the boundary are ranked.
+def _cuts(rows: DataFrame, ratio, by) -> DataFrame:
+    """A row for each group ``by``: ``_cut``, the hash up to which rows of class 0 are taken, and ``_ties``, how many of those
+    with just this hash. ``rows``: by, _h, _positive.
+
+    A histogram of the first four digits (65,536 bars a group at most) gives the bar that holds the cut; only the
+    hashes of that bar are ranked."""
+    bar = F.substring("_h", 1, 4).alias("_p")
+    histogram = rows.groupBy(*by, bar).agg(F.count_if("_positive").alias("_pos"), F.count_if(~F.col("_positive")).alias("_n"))
+    group = W.partitionBy(*by)
+    wanted = F.floor(F.sum("_pos").over(group) / F.lit(ratio))
+    bars = histogram.withColumns({"_wanted": wanted, "_total": F.sum("_n").over(group), "_upto": F.sum("_n").over(group.orderBy("_p"))})
+    take = F.col("_wanted") - (F.col("_upto") - F.col("_n"))
+    edge = bars.withColumn("_take", take).filter((F.col("_take") > 0) & (F.col("_take") <= F.col("_n"))).select(*by, "_p", "_take")
+    order = W.partitionBy(*by).orderBy("_h")
+    ranked = rows.filter(~F.col("_positive")).withColumn("_p", bar).join(F.broadcast(edge), [*by, "_p"]).withColumns(
+        {"_row": F.row_number().over(order), "_rank": F.rank().over(order)})
+    exact = ranked.filter(F.col("_row") == F.col("_take")).select(
+        *by, F.col("_h").alias("_at"), (F.col("_take") - F.col("_rank") + 1).alias("_some"))
+    groups = bars.groupBy(*by).agg(F.max("_wanted").alias("_wanted"), F.max("_total").alias("_total"))
+    everything = F.when(F.col("_wanted") > F.col("_total"), "g").otherwise("")   # hashes are hexadecimal
+    return groups.join(exact, list(by), "left").select(
+        *by, F.coalesce("_at", everything).alias("_cut"), F.coalesce("_some", F.lit(0)).alias("_ties"))
+
+
+def under_sample(labelled: DataFrame, ratio=SAMPLE_RATIO, seed=SEED, keys=("sid", "predict_time"), by=()) -> DataFrame:
+    """All rows of class 1 and a random floor(positives / ratio) rows of class 0; ratio 0 keeps all. ``by``: columns of
+    groups that are sampled each on its own, in the same passes.
+
+    Random order is the MD5 text of seed and key, the same on every run and engine. Two passes over the keys find the
+    hash at which each group's sample ends (a row a group), the third keeps what is below it; only rows that are kept
+    are shuffled.
     """
     if ratio == 0:
         return labelled
-    digest = F.md5(F.concat_ws("-", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
-    hashed = labelled.withColumn("_h", digest).withColumn("_p", F.substring("_h", 1, 4))
-    positive = F.col("class") == 1
-    histogram = hashed.groupBy("_p").agg(
-        F.count_if(positive).alias("_pos"), F.count_if(~positive).alias("_n")).withColumn("_all", F.lit(1))
-    everything = W.partitionBy("_all")
-    wanted = F.floor(F.sum("_pos").over(everything) / F.lit(ratio))
-    before = F.sum("_n").over(everything.orderBy("_p")) - F.col("_n")
-    prefixes = histogram.select(
-        "_p", F.greatest(wanted - before, F.lit(0)).alias("_take"), "_n").select(
-        "_p", "_take", (F.col("_n") <= F.col("_take")).alias("_whole"))
-    placed = hashed.join(F.broadcast(prefixes), "_p")
-    sure = placed.filter(positive | F.col("_whole"))
-    rank = F.row_number().over(W.partitionBy("_p").orderBy("_h"))
-    boundary = placed.filter(~positive & ~F.col("_whole") & (F.col("_take") > 0))
-    boundary = boundary.withColumn("_rank", rank).filter(F.col("_rank") <= F.col("_take"))
-    return sure.select(*labelled.columns).unionByName(boundary.select(*labelled.columns))
+    groups = list(by) or ["_all"]
+    hashed = labelled.withColumns({"_h": F.md5(F.concat_ws("-", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys])),
+                                   "_positive": F.col("class") == 1, **({} if by else {"_all": F.lit(1)})})
+    cuts = _cuts(hashed.select(*groups, "_h", "_positive"), ratio, groups)
+    near = hashed.join(F.broadcast(cuts), groups).filter(F.col("_positive") | (F.col("_h") <= F.col("_cut")))
+    tie = F.row_number().over(W.partitionBy(*groups, "_h", "_positive").orderBy(F.lit(0)))
+    kept = near.withColumn("_tie", tie).filter(F.col("_positive") | (F.col("_h") < F.col("_cut")) | (F.col("_tie") <= F.col("_ties")))
+    return kept.select(*labelled.columns)
 
 
 def select_features(labelled: DataFrame, group=4) -> DataFrame:
@@ -87,6 +132,11 @@ def select_features(labelled: DataFrame, group=4) -> DataFrame:
     return labelled.select("sid", "predict_time", "t_predict", *feature_columns(group), "class")
 
 
+def values(group=4):
+    """The features of a group as one array column of doubles; a smaller group's are the first of a larger one's."""
+    return F.array(*[F.col(c).cast("double") for c in feature_columns(group)])
+
+
 def matrix(labelled: DataFrame, group=4) -> DataFrame:
     """sid, predict_time, t_predict, class and the vector ``features``; keys stay out of the vector."""
     assembler = VectorAssembler(inputCols=feature_columns(group), outputCol="features")

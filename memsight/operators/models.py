@@ -1,23 +1,36 @@
-"""The classifiers, on Spark ML: each is trained on ``class`` and ``features`` and adds a column ``pred``."""
+"""The classifiers: a grid of parameter sets of a model is fitted with few fits, and scores a row for all its points at once.
+
+* Forests: the first n trees of a forest are a forest of n trees, and a tree grown deep and to small nodes holds every
+  shallower one, and every one that splits larger nodes only. So one forest of the largest point serves the whole grid.
+* Boosted trees: the first n rounds are those of n rounds, so there is one fit for each depth.
+* Bagged machines: all bags of all points and cells are fitted in joint passes (``bags``).
+* Others: a fit for each point.
+
+Fits are Spark ML's (but for the bags); fitted trees and weights are read back as arrays (``kernels``).
+"""
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
-    GBTClassifier, LinearSVC, LinearSVCModel, LogisticRegression, MultilayerPerceptronClassifier,
-    RandomForestClassifier,
+    GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier,
 )
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
+from memsight.operators import kernels
+from memsight.operators.bags import fit_bags
 from memsight.operators.labels import parameter_space
+from memsight.session import staged_path
 from memsight.sources.stores import load_model, save_model
 
 SEED = 42
 MAX_DEPTH = 30   # the deepest trees Spark ML grows
+THREADS = 8      # fits that share the cluster at a time
+ROWS = 50_000    # of a partition of a training matrix
 
 # Hidden neurons of the perceptron by split and failure type.
 NEURONS = {1: {1: 50, 2: 50, 3: 10}, 2: {1: 50, 2: 10, 3: 10}, 3: {1: 10, 2: 10, 3: 50}}
@@ -49,108 +62,156 @@ def candidates(model: str, split=1, failure_type=1, grid=None) -> list:
 
 
 class Scorer:
-    """A fitted pipeline whose probability of class 1 is the score."""
-
-    def __init__(self, fitted: PipelineModel):
-        self.fitted = fitted
-
-    def score(self, rows: DataFrame) -> DataFrame:
-        kept = [c for c in rows.columns if c != "features"]
-        return self.fitted.transform(rows).select(*kept, vector_to_array("probability")[1].alias("pred"))
-
-    def save(self, path):
-        save_model(self.fitted, path)
-
-    @classmethod
-    def load(cls, path):
-        return cls(load_model(path))
+    """A fitted grid of one model: ``points`` (parameter sets), ``kernel`` (scores rows for all of them), and what it is saved as:
+    Spark ML models, or weights by point."""
 
+    def __init__(self, model, points, kernel, fitted=(), weights=None):
+        self.model, self.points, self.kernel, self.fitted, self.weights = model, points, kernel, list(fitted), weights
 
-class BagScorer:
-    """Linear machines fitted on small bags; the score is the mean of their squashed margins."""
+    @property
+    def members(self):
+        return self.weights[0]
 
-    def __init__(self, members):
-        self.members = members
+    def point(self, i):
+        """The scorer of one point."""
+        if self.model in ("RF", "GBDT"):   # a point is cut out of the fitted trees again when it is loaded
+            fitted = [m for m in self.fitted if self.model == "RF" or m.getMaxDepth() == _depth(self.points[i])]
+        else:
+            fitted = self.fitted[i:i + 1]
+        return Scorer(self.model, [self.points[i]], kernels.pick(self.kernel, i), fitted, self.weights and [self.weights[i]])
 
     def score(self, rows: DataFrame) -> DataFrame:
-        weights = np.array([m.coefficients.toArray() for m in self.members])
-        offsets = np.array([m.intercept for m in self.members])
+        """``rows`` (with a vector ``features``) and ``pred``, the score of the first point."""
+        kernel = kernels.pick(self.kernel, 0)
 
         @pandas_udf("double")
-        def mean_score(features: pd.Series) -> pd.Series:
+        def first(features: pd.Series) -> pd.Series:
             if features.empty:
                 return pd.Series([], dtype="float64")
-            margins = np.clip(np.stack(features.to_numpy()) @ weights.T + offsets, -500, 500)
-            return pd.Series((1 / (1 + np.exp(-margins))).mean(axis=1))
+            return pd.Series(kernel.probabilities(np.stack(features.to_numpy()))[:, 0])
 
         kept = [c for c in rows.columns if c != "features"]
-        return rows.select(*kept, mean_score(vector_to_array("features")).alias("pred"))
-
-    def save(self, path):
-        save_model(PipelineModel(self.members), path)
-
-    @classmethod
-    def load(cls, path):
-        return cls(load_model(path).stages)
-
-
-def load_scorer(path):
-    """A saved model of either kind."""
-    fitted = load_model(path)
-    if all(isinstance(stage, LinearSVCModel) for stage in fitted.stages):
-        return BagScorer(fitted.stages)
-    return Scorer(fitted)
+        return rows.select(*kept, first(vector_to_array("features")).alias("pred"))
+
+    def save(self, spark, path):
+        save_model(spark, path, self.model, self.points[0], self.fitted, self.weights and self.weights[0])
+
+
+def load_scorer(spark, path):
+    """A saved scorer of one point."""
+    model, params, fitted, weights = load_model(spark, path)
+    if weights is not None:
+        return Scorer(model, [params], kernels.Linear([np.array(weights)]), weights=[np.array(weights)])
+    return _scorer(spark, model, [params], fitted)
+
+
+def _nodes(spark, fitted):
+    """The nodes of fitted trees, as arrays with parents before children, and the trees' roots. They come from the saved form;
+    there are at most two a training row and tree."""
+    path = staged_path(spark, "model")
+    fitted.write().save(path)
+    node = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*").select(
+        "treeID", "id", "prediction", "impurityStats", "rawCount", "leftChild", "rightChild",
+        F.col("split.featureIndex").alias("feature"), F.get("split.leftCategoriesOrThreshold", F.lit(0)).alias("limit"))
+    table = node.toPandas().sort_values(["treeID", "id"], kind="stable")
+    first = np.flatnonzero(np.diff(table["treeID"].to_numpy(), prepend=-1))   # ids count from 0 in each tree
+    base = np.repeat(first, np.diff(first, append=len(table)))
+    inner = table["leftChild"].to_numpy() >= 0
+    feature = np.where(inner, table["feature"].to_numpy(), -1)
+    left, right = (np.where(inner, table[c].to_numpy() + base, -1) for c in ("leftChild", "rightChild"))
+    limit = np.where(inner, table["limit"].to_numpy(float), 0.0)
+    return table, (feature, limit, left, right), table["rawCount"].to_numpy(), first
+
+
+def _forest(spark, fitted, points):
+    table, shape, rows, roots = _nodes(spark, fitted)
+    stats = np.stack(table["impurityStats"].to_numpy())
+    value = stats[:, 1] / stats.sum(1)
+    shapes = sorted({(min(p["depth"], MAX_DEPTH), p["min_split"]) for p in points})
+    trees = kernels.Trees.cut((*shape, value, rows), roots, shapes)
+    return kernels.Forest(trees, [(p["trees"], shapes.index((min(p["depth"], MAX_DEPTH), p["min_split"]))) for p in points])
+
+
+def _boosted(spark, fits, points):
+    depths = [f.getMaxDepth() for f in fits]
+    series = []
+    for f in fits:
+        table, shape, rows, roots = _nodes(spark, f)
+        series.append((kernels.Trees.cut((*shape, table["prediction"].to_numpy(), rows), roots, [(None, None)]), np.array(f.treeWeights)))
+    return kernels.Boosted(series, [(p["trees"], depths.index(_depth(p))) for p in points])
+
+
+def _network(fitted):
+    sizes, flat, at, layers = fitted.getLayers(), fitted.weights.toArray(), 0, []
+    for a, b in zip(sizes, sizes[1:]):
+        layers.append((flat[at:at + a * b].reshape(a, b).T, flat[at + a * b:at + a * b + b]))
+        at += a * b + b
+    return layers
+
+
+def _scorer(spark, model, points, fitted):
+    """A scorer from Spark ML models: those of ``_fits``, in its order."""
+    if model == "RF":
+        return Scorer(model, points, _forest(spark, fitted[0], points), fitted)
+    if model == "GBDT":
+        return Scorer(model, points, _boosted(spark, fitted, points), fitted)
+    if model == "LR":
+        return Scorer(model, points, kernels.Linear([np.r_[f.coefficients.toArray(), f.intercept] for f in fitted]), fitted)
+    return Scorer(model, points, kernels.Networks([_network(f) for f in fitted]), fitted)
 
 
-def _estimator(model, params, train):
+def _fits(model, points, rows, width):
+    """The estimators that serve all ``points``."""
     common = {"labelCol": "class", "featuresCol": "features"}
     if model == "RF":
-        # a split needs min_split rows; here every side of it gets at least half of these
-        return RandomForestClassifier(
-            numTrees=params["trees"], maxDepth=min(params["depth"], MAX_DEPTH),
-            minInstancesPerNode=max(1, params["min_split"] // 2), seed=SEED, **common)
+        return [RandomForestClassifier(
+            numTrees=max(p["trees"] for p in points), maxDepth=min(max(p["depth"] for p in points), MAX_DEPTH), seed=SEED, **common)]
     if model == "GBDT":
-        return GBTClassifier(maxIter=params["trees"], maxDepth=_depth(params), stepSize=0.1, seed=SEED, **common)
+        return [GBTClassifier(maxIter=max(p["trees"] for p in points if _depth(p) == depth), maxDepth=depth, stepSize=0.1, seed=SEED, **common)
+                for depth in sorted({_depth(p) for p in points})]
     if model == "LR":
-        return LogisticRegression(
-            regParam=1 / (params["c"] * max(train.count(), 1)), elasticNetParam=0.0, standardization=False, **common)
+        return [LogisticRegression(regParam=1 / (p["c"] * max(rows, 1)), elasticNetParam=0.0, standardization=False, **common) for p in points]
     if model == "MLP":
-        width = len(train.select("features").first()["features"])
-        layers = [width] + [params["neurons"]] * params["layers"] + [2]
-        return MultilayerPerceptronClassifier(layers=layers, seed=SEED, **common)
+        return [MultilayerPerceptronClassifier(layers=[width] + [p["neurons"]] * p["layers"] + [2], seed=SEED, **common) for p in points]
     raise ValueError(f"unknown model {model}; one of {', '.join(GRIDS)}")
 
 
-def _bags(train, n):
-    """``n`` samples of 1/n of the rows of each class. Rows are drawn by a hash of their key, so that a retried or
-    repeated job draws the same. Of a class none of whose rows is drawn, the row of the smallest hash is in the bag:
-    there are always ``n`` bags of both classes. Training rows of one class only raise."""
-    kinds = {"p": F.col("class") == 1, "n": F.col("class") != 1}
-
-    def key(i):
-        return F.xxhash64("sid", "t_predict", F.lit(SEED + i))
-
-    def drawn(i):
-        return F.pmod(key(i), F.lit(n)) == 0
-
-    found = train.agg(*[f(i, kind).alias(f"{c}{name}{i}") for i in range(n) for name, kind in kinds.items() for c, f in (
-        ("count_", lambda i, kind: F.count_if(drawn(i) & kind)), ("least_", lambda i, kind: F.min(F.when(kind, key(i)))))]).first()
-    if any(found[f"least_{name}0"] is None for name in kinds):
-        raise ValueError("bags need rows of both classes")
-    bags = []
-    for i in range(n):
-        chosen = drawn(i)
-        for name, kind in kinds.items():
-            if not found[f"count_{name}{i}"]:
-                chosen = chosen | (kind & (key(i) == F.lit(found[f"least_{name}{i}"])))
-        bags.append(train.filter(chosen))
-    return bags
-
-
-def fit(model: str, params: dict, train: DataFrame):
-    """A scorer for RF, GBDT, LR, SVM or MLP. ``train`` is an under-sampled matrix: Spark ML passes
-    over it many times, so hand in a staged or cached one."""
+def fit_cells(model: str, points: dict, train: DataFrame, by=()) -> dict:
+    """cell -> scorer of its parameter sets ``points[cell]``, for each cell in ``points``: values of the columns ``by`` of
+    ``train`` (``by``, sid, t_predict, class, values). Training rows are under-sampled ones; hand in a staged table, as fits read it many times. Fits
+    run from a pool of driver threads, on as few partitions as the rows need."""
+    cells, by = list(points), list(by)
+    if not cells:
+        return {}
     if model == "SVM":
-        machine = LinearSVC(labelCol="class", featuresCol="features", maxIter=20)
-        return BagScorer([machine.fit(bag) for bag in _bags(train, params["members"])])
-    return Scorer(Pipeline(stages=[_estimator(model, params, train)]).fit(train))
+        members = sorted({p["members"] for own in points.values() for p in own})
+        chosen = train.join(F.broadcast(train.sparkSession.createDataFrame(cells, by)), by) if by else train
+        found = fit_bags(chosen, members, by)
+        weights = {c: [found[c][p["members"]] for p in points[c]] for c in cells}
+        return {c: Scorer(model, points[c], kernels.Linear(weights[c]), weights=weights[c]) for c in cells}
+    facts = train.groupBy(*by).agg(F.count("*").alias("n"), F.max(F.size("values")).alias("width")).collect()
+    facts = {tuple(r[c] for c in by): r for r in facts}
+
+    def one(job):
+        cell, estimator = job
+        rows = train
+        for c, v in zip(by, cell):
+            rows = rows.filter(F.col(c) == v)
+        rows = rows.select("sid", "t_predict", "class", array_to_vector("values").alias("features"))
+        return estimator.fit(rows.coalesce(max(1, facts[cell].n // ROWS)))
+
+    estimators = {c: _fits(model, points[c], facts[c].n, facts[c].width) for c in cells}
+    jobs = [(c, e) for c in cells for e in estimators[c]]
+    with ThreadPoolExecutor(THREADS) as pool:
+        fitted = iter(list(pool.map(one, jobs)))
+    parts = [(c, [next(fitted) for _ in estimators[c]]) for c in cells]
+    with ThreadPoolExecutor(THREADS) as pool:
+        return dict(zip(cells, pool.map(lambda part: _scorer(train.sparkSession, model, points[part[0]], part[1]), parts)))
+
+
+def fit(model: str, params: dict, train: DataFrame) -> Scorer:
+    """A scorer for RF, GBDT, LR, SVM or MLP of one parameter set; ``train``: sid, t_predict, class, and a vector ``features``."""
+    if model not in GRIDS:
+        raise ValueError(f"unknown model {model}; one of {', '.join(GRIDS)}")
+    rows = train.select("sid", "t_predict", "class", vector_to_array("features").alias("values"))
+    return fit_cells(model, {(): [params]}, rows)[()]

@@ -70,13 +70,19 @@ def staging(spark: SparkSession):
             at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: several readers, and retries after a lost
-    executor, then start from columnar files instead of recomputing the whole lineage. The innermost ``staging``
-    owns the folder; without one it stays, as lazy results may still read it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
+def staged_path(spark: SparkSession, kind="stage") -> str:
+    """A new folder below the shared one. The innermost ``staging`` owns it; without one it stays, as lazy results may still
+    read it."""
+    path = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
     if _owners:
         _owners[-1].append(path)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def stage(df: DataFrame, by=()) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: several readers, and retries after a lost
+    executor, then start from columnar files instead of recomputing the whole lineage. ``by``: columns with a folder for
+    each value, of which readers then take only those they filter by."""
+    path = staged_path(df.sparkSession)
+    df.write.partitionBy(*by).parquet(path) if by else df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

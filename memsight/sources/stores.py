@@ -1,5 +1,7 @@
 """Derived tables: the feature store, reports, experiment results and models."""
 
+import json
+
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -29,23 +31,33 @@ def read_report(spark: SparkSession, path: str, schema, sep="\t") -> DataFrame:
     return spark.read.schema(schema).option("header", True).option("sep", sep).csv(path)
 
 
-def model_path(root: str, experiment: int, month: int, failure_type: int, variant=None) -> str:
-    """``root/exp1/exp1_month_1_types_2_features_4``: one model per cell of an experiment's grid."""
-    keyed = {1: "features", 2: "predictors", 3: "interval"}.get(experiment)
-    name = f"exp{experiment}_month_{month}_types_{failure_type}"
-    if keyed and variant is not None:
-        name += f"_{keyed}_{variant}"
-    return f"{root}/exp{experiment}/{name}"
+def model_path(root: str, experiment: int, split: int, failure_type: int, variant=None) -> str:
+    """``root/experiment-1/type-2/split-1/4``: a folder for each cell of an experiment."""
+    cell = f"{root}/experiment-{experiment}/type-{failure_type}/split-{split}"
+    return cell if variant is None else f"{cell}/{variant}"
 
 
-def model_exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
-def save_model(model: PipelineModel, path: str):
-    model.write().overwrite().save(path)
-
-
-def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def save_model(spark: SparkSession, path: str, kind: str, params: dict, fitted=(), weights=None):
+    """``path``: ``about`` (the kind of model and its parameters), and ``fitted`` (the Spark ML models) or ``weights``."""
+    about = spark.createDataFrame([(kind, json.dumps(params))], "model string, params string")
+    about.coalesce(1).write.mode("overwrite").json(f"{path}/about")
+    if fitted:
+        PipelineModel(list(fitted)).write().overwrite().save(f"{path}/fitted")
+    if weights is not None:
+        rows = [(i, [float(x) for x in w]) for i, w in enumerate(weights)]
+        spark.createDataFrame(rows, "member int, weights array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/weights")
+
+
+def load_model(spark: SparkSession, path: str):
+    """(kind, parameters, Spark ML models, weights), the last two as far as there are any."""
+    about = spark.read.schema("model string, params string").json(f"{path}/about").first()
+    fitted = PipelineModel.load(f"{path}/fitted").stages if exists(spark, f"{path}/fitted") else []
+    weights = None
+    if exists(spark, f"{path}/weights"):
+        weights = [r.weights for r in spark.read.parquet(f"{path}/weights").orderBy("member").collect()]
+    return about.model, json.loads(about.params), fitted, weights

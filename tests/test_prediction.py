@@ -1,11 +1,14 @@
 import hashlib
 import random
+from collections import Counter
 
+import numpy as np
 import pytest
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from memsight.operators import evaluate, labels, models
+from memsight.operators import bags, evaluate, kernels, labels, models
 from memsight.operators.features import feature_columns
 from memsight.plans import experiments
 from tests.helpers import make_inventory, make_log, make_tickets, off
@@ -45,7 +48,7 @@ def test_under_sampling_takes_the_smallest_hashes(spark, positives, negatives, r
 
 def test_parameter_space():
     assert labels.parameter_space({"a": [1, 2], "b": [3]}) == [{"a": 1, "b": 3}, {"a": 2, "b": 3}]
-    assert [len(models.candidates(m)) for m in ("RF", "GBDT", "LR", "SVM", "MLP")] == [27, 12, 2, 3, 5]
+    assert [len(models.candidates(m)) for m in ("RF", "GBDT", "LR", "SVM", "MLP")] == [27, 6, 2, 3, 5]
     assert models.candidates("MLP", 3, 3)[0]["neurons"] == 50
 
 
@@ -122,14 +125,15 @@ def separable(spark):
 @pytest.mark.parametrize("name,params", [
     ("RF", {"trees": 10, "depth": 5, "min_split": 5}), ("GBDT", {"trees": 5, "depth": 5, "leaves": 5}), ("LR", {"c": 10}),
     ("SVM", {"members": 3}), ("MLP", {"layers": 1, "neurons": 5})])
-def test_models_separate(separable, name, params, tmp_path):
+def test_models_separate(spark, separable, name, params, tmp_path):
     scorer = models.fit(name, params, separable)
     out = scorer.score(separable)
     assert out.count() == separable.count() and out.filter("pred < 0 or pred > 1 or pred is null").count() == 0
     assert evaluate.best_threshold(out).first()["f1"] > .9
-    scorer.save(str(tmp_path / name))
-    again = models.load_scorer(str(tmp_path / name)).score(separable)
-    assert type(models.load_scorer(str(tmp_path / name))) is type(scorer)
+    scorer.save(spark, str(tmp_path / name))
+    loaded = models.load_scorer(spark, str(tmp_path / name))
+    assert type(loaded.kernel) is type(scorer.kernel) and loaded.points == [params]
+    again = loaded.score(separable)
     both = out.join(again.select("sid", F.col("pred").alias("pred2")), "sid")
     assert both.filter("abs(pred - pred2) > 1e-9").count() == 0
 
@@ -157,7 +161,8 @@ def test_experiment_four_and_replay(spark, tmp_path):
     report = experiments.by_lead_time(data, types=[1], splits=[1], grid=grid)
     r = report.first()
     assert (r["f1"], r["n_useful"], r["n_useless"], r["selected_on"]) == (1, 4, 0, "test")
-    assert experiments.replay(data, df, 4, 1, 1).first()["f1"] == 1
+    again = experiments.replays(data, 4, ["5m"], types=[1], splits=[1]).first()
+    assert again.asDict() == r.asDict()
     assert experiments.averages(report).first()["f1"] == 1
     assert experiments.by_feature_group(data, [1], [2], [1], grid).first()["f1"] == 0
 
@@ -170,12 +175,15 @@ def test_every_machine_is_fitted_with_few_positives(separable):
 
 
 def test_bags_are_as_many_as_asked_and_of_both_classes(spark):
-    rows = [(i, 1, float(i < 2)) for i in range(50)]
-    bags = models._bags(spark.createDataFrame(rows, "sid long, t_predict long, class double"), 20)
-    assert len(bags) == 20
-    assert all({r["class"] for r in bag.collect()} == {0.0, 1.0} for bag in bags)
+    rows = [(0, i, 1, float(i < 2), [float(i)]) for i in range(50)]
+    train = spark.createDataFrame(rows, "cell int, sid long, t_predict long, class double, values array<double>")
+    held = {}
+    for r in bags.draw(train, [20, 3]).collect():
+        for b in r.bags:
+            held.setdefault(b, []).append(r.positive)
+    assert sorted(held) == list(range(23)) and all(len(set(v)) == 2 for v in held.values())
     with pytest.raises(ValueError):
-        models._bags(spark.createDataFrame(rows[2:], "sid long, t_predict long, class double"), 3)
+        bags.fit_bags(train.filter("class = 0"), [3])
 
 
 def test_known_positives_by_ticket(spark):
@@ -203,9 +211,170 @@ def test_experiments_stage_each_pair_once_and_share_fits(spark, tmp_path):
     lead = experiments.by_lead_time(data, [1], [1], grid)
     assert len(data.staged) == 1 and data.fits == 2   # experiment 4 takes experiment 1's forest on all features
     assert lead.first()["f1"] == {r["variant"]: r["f1"] for r in groups.collect()}["4"] == 1
-    again = experiments.replays(data, 4, types=[1, 2], splits=[1]).orderBy("failure_type").collect()
+    again = experiments.replays(data, 4, ["5m"], types=[1, 2], splits=[1]).orderBy("failure_type").collect()
     assert [r["f1"] for r in again] == [1, 0]
 
 
 def test_boosted_trees_are_fitted_once_a_depth():
     assert len(models.candidates("GBDT")) == 6
+
+
+@pytest.fixture(scope="module")
+def noisy(spark):
+    """Two cells that no model separates."""
+    pick = random.Random(5)
+    rows = []
+    for i in range(600):
+        label = float(pick.random() < .3)
+        rows.append((1 + i % 2, 1, i, FAIL - 10 * (i % 70), label, [pick.gauss(label, 1), pick.gauss(-label, 2) * 1000, pick.random(), float(i % 3)]))
+    return spark.createDataFrame(rows, "failure_type int, split int, sid long, t_predict long, class double, values array<double>").cache()
+
+
+def in_cell(noisy, t):
+    return noisy.filter(F.col("failure_type") == t).select("sid", "t_predict", "class", array_to_vector("values").alias("features"))
+
+
+@pytest.mark.parametrize("name", ["RF", "GBDT", "LR", "MLP"])
+def test_kernels_score_as_the_fitted_models_do(noisy, name):
+    params = {"RF": {"trees": 12, "depth": 30, "min_split": 2}, "GBDT": {"trees": 8, "depth": 3, "leaves": 99}, "LR": {"c": .1},
+              "MLP": {"layers": 2, "neurons": 4}}[name]
+    rows = in_cell(noisy, 1)
+    scorer = models.fit(name, params, rows)
+    theirs = scorer.fitted[0].transform(rows).select("sid", vector_to_array("probability")[1].alias("p"))
+    both = scorer.score(rows).join(theirs, "sid")
+    assert both.count() == 300 and both.filter("abs(pred - p) > 1e-9").count() == 0
+
+
+def test_points_of_a_forest_are_its_cut_trees(noisy):
+    """Each point of a grid scores as a plain walk does that stops at its depth, or before it splits a small node."""
+    points = models.parameter_space({"trees": [3, 9], "depth": [2, 6], "min_split": [2, 40]})
+    scorer = models.fit_cells("RF", {(1, 1): points}, noisy, ["failure_type", "split"])[1, 1]
+    model = scorer.fitted[0]
+    rows = in_cell(noisy, 1).collect()
+    got = scorer.kernel.probabilities(np.array([r.features.toArray() for r in rows]))
+
+    def walk(node, x, depth, params):
+        java = node
+        if java.subtreeDepth() == 0 or depth >= params["depth"] or java.impurityStats().rawCount() < params["min_split"]:
+            stats = list(java.impurityStats().stats())
+            return stats[1] / sum(stats)
+        left = java.split().threshold() >= x[java.split().featureIndex()]
+        return walk(java.leftChild() if left else java.rightChild(), x, depth + 1, params)
+    trees = list(model._java_obj.trees())
+    for i in range(0, len(rows), 29):
+        x = rows[i].features.toArray()
+        for j, p in enumerate(points):
+            want = np.mean([walk(t.rootNode(), x, 0, p) for t in trees[:p["trees"]]])
+            assert got[i, j] == pytest.approx(want, abs=1e-12)
+    assert len({tuple(got[:, j].round(6)) for j in range(len(points))}) > 4
+    picked = kernels.pick(scorer.kernel, 5).probabilities(np.array([r.features.toArray() for r in rows]))
+    assert (picked[:, 0] == got[:, 5]).all()
+
+
+def test_rounds_of_boosting_are_prefixes(noisy):
+    rows = in_cell(noisy, 2)
+    both = models.fit_cells("GBDT", {(2, 1): [{"trees": n, "depth": 3, "leaves": 8} for n in (4, 9)]}, noisy, ["failure_type", "split"])[2, 1]
+    assert len(both.fitted) == 1
+    few = models.fit("GBDT", {"trees": 4, "depth": 3, "leaves": 8}, rows)
+    x = np.array([r.features.toArray() for r in rows.collect()])
+    assert np.allclose(both.kernel.probabilities(x)[:, 0], few.kernel.probabilities(x)[:, 0])
+
+
+def test_bags_of_all_cells_are_fitted_together(spark, noisy, monkeypatch):
+    """As each cell alone, with as many jobs whatever the number of bags; near the least loss."""
+    by = ["failure_type", "split"]
+    together = bags.fit_bags(noisy, [4, 2], by, passes=40)
+    assert set(together) == {(1, 1), (2, 1)} and {n: w.shape for n, w in together[1, 1].items()} == {4: (4, 5), 2: (2, 5)}
+    alone = bags.fit_bags(noisy.filter("failure_type = 2").drop("failure_type", "split"), [4, 2], passes=40)[()]
+    for n in (4, 2):
+        assert np.allclose(together[2, 1][n], alone[n], rtol=1e-3, atol=1e-3)
+    passes = []
+    run = bags._pass
+    monkeypatch.setattr(bags, "_pass", lambda *a: passes.append(1) or run(*a))
+    bags.fit_bags(noisy, [30], by, passes=5)
+    assert len(passes) <= 6
+    whole = bags.fit_bags(noisy.filter("failure_type = 1").drop("failure_type", "split"), [1])[()][1][0]
+    data = noisy.filter("failure_type = 1").collect()
+    x, y = np.array([r["values"] for r in data]), np.array([2 * r["class"] - 1 for r in data])
+    deviations = x.std(0)
+
+    def loss(w):
+        return np.mean(np.maximum(0, 1 - y * (x @ w[:-1] + w[-1])) ** 2) + bags.PENALTY / len(x) * ((w[:-1] * deviations) ** 2).sum() / 2
+    rng = np.random.default_rng(1)
+    assert all(loss(whole) <= loss(whole + np.r_[rng.normal(size=4) / deviations, rng.normal()] * e) + 1e-6 for e in (.5, .1, .02) for _ in range(40))
+
+
+def test_weights_must_be_finite(spark):
+    rows = [(i, 1, float(i % 2), [float("nan") if i == 3 else float(i)]) for i in range(20)]
+    with pytest.raises(ArithmeticError):
+        bags.fit_bags(spark.createDataFrame(rows, "sid long, t_predict long, class double, values array<double>"), [2])
+
+
+def test_all_cells_in_one_pass_equal_each_alone(spark):
+    pick = random.Random(9)
+    rows = spark.createDataFrame([(s, f"p{m}-{k}", off(m, 1 + 3 * k), m) for s in range(1, 25) for m in range(1, 9) for k in range(6)],
+                                 "sid long, predict_time string, t_predict long, month int").cache()
+    tickets = make_tickets(spark, [(s, off(pick.randrange(1, 9), pick.randrange(1, 28)), pick.randrange(4)) for s in range(1, 20) for _ in range(1 + s % 2)])
+    for role, make in (("train", labels.train_labels), ("test", labels.test_labels)):
+        together = labels.cell_labels(rows, tickets, role, horizon=9 * 86400)
+        plan = together._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Join") == 1 and plan.count("InMemoryRelation") == 1
+        found, wanted = Counter(tuple(r) for r in together.collect()), Counter()
+        for t in (1, 2, 3):
+            for s, (train, test) in labels.SPLITS.items():
+                own = make(rows.filter(F.col("month").isin(train if role == "train" else [test])), tickets, t, 9 * 86400)
+                wanted.update((*r[:-1], t, s, r[-1]) for r in own.collect())
+        assert found == wanted
+        if role == "train":
+            sampled = Counter(tuple(r) for r in labels.under_sample(together, .5, by=["failure_type", "split"]).collect())
+            wanted = Counter()
+            for t in (1, 2, 3):
+                for s in (1, 2, 3):
+                    own = together.filter((F.col("failure_type") == t) & (F.col("split") == s))
+                    wanted.update(tuple(r) for r in labels.under_sample(own, .5).collect())
+                    positives = own.filter("class = 1").count()
+                    assert sum(v for k, v in wanted.items() if k[4:6] == (t, s) and k[6] == 0) == min(2 * positives, own.filter("class = 0").count())
+            assert sampled == wanted
+        listed = labels.cell_labels(rows, tickets, role, horizon=9 * 86400, exploded=False)
+        assert Counter(tuple(r) for r in listed.select("sid", "predict_time", "t_predict", "month", F.inline("uses")).collect()) == found
+
+
+def test_lead_times_of_all_thresholds_equal_one_by_one(spark):
+    pick = random.Random(11)
+    rows = [(1 + i % 2, pick.randrange(12), FAIL - 60 * pick.randrange(40), int(pick.random() < .6), pick.choice([pick.random(), .3, 1.0, 0.0]))
+            for i in range(300)]
+    df = spark.createDataFrame(rows, "g int, sid long, t_predict long, class int, pred double").cache()
+    tickets = make_tickets(spark, [(s, FAIL + 60 * (s % 5), 1) for s in range(10)] + [(2, FAIL - 600, 2)])
+    found = {(r.g, round(100 * r.threshold)): (r.n_useless, r.n_useful) for r in evaluate.lead_sweep(df, tickets, ["g"]).collect()}
+    for i in (0, 5, 29, 30, 31, 60, 95, 99):
+        for r in evaluate.lead_time(df, tickets, i / 100, ["g"]).collect():
+            assert found.get((r.g, i), (0, 0)) == (r.n_useless, r.n_useful)
+
+
+def test_a_grid_is_one_scan_and_equals_each_point_alone(spark, noisy):
+    """Metrics of all points of a grid against scoring and evaluating each point by itself."""
+    by = ["failure_type", "split"]
+    points = models.parameter_space({"trees": [2, 7], "depth": [2, 8], "min_split": [2, 30]})
+    scorers = models.fit_cells("RF", {(1, 1): points, (2, 1): points}, noisy, by)
+    use = F.struct("failure_type", "split", F.col("class").cast("int").alias("class"))
+    test = noisy.select((F.col("sid") % 90).alias("sid"), "t_predict", F.array(use).alias("uses"), "values")
+    scored = experiments.score_grid(test, scorers)
+    found = {(r.failure_type, r.candidate): r for r in experiments.evaluate_grid(scored, len(points)).collect()}
+    assert len(found) == 2 * len(points)
+    leads = {(r.failure_type, r.candidate, r.threshold): (r.n_useless, r.n_useful) for r in experiments.lead_times(
+        scored, make_tickets(spark, [(s, FAIL + 600 * (s % 4 - 1), 1) for s in range(0, 90, 2)])).collect()}
+    for t in (1, 2):
+        for i in (0, 3, 7):
+            rows = in_cell(noisy, t).withColumn("sid", F.col("sid") % 90)
+            alone = scorers[t, 1].point(i).score(rows)
+            want = evaluate.best_threshold(alone).first()
+            assert all(found[t, i][c] == pytest.approx(want[c]) if want[c] is not None else found[t, i][c] is None for c in want.asDict())
+            lead = evaluate.lead_time(alone, make_tickets(spark, [(s, FAIL + 600 * (s % 4 - 1), 1) for s in range(0, 90, 2)]), .25).first()
+            assert leads.get((t, i, .25), (0, 0)) == (lead.n_useless, lead.n_useful)
+
+
+def test_a_score_that_is_not_finite_raises(spark, noisy):
+    scorer = models.Scorer("SVM", [{"members": 1}], kernels.Linear([np.array([[float("nan")] * 5])]))
+    test = noisy.select("sid", "t_predict", F.array(F.struct("failure_type", "split", F.col("class").cast("int").alias("class"))).alias("uses"), "values")
+    with pytest.raises(Exception, match="not finite"):
+        experiments.score_grid(test, {(1, 1): scorer})

@@ -8,41 +8,39 @@ from memsight.plans import experiments
 
 def covered(spark, monkeypatch, name):
     """(model, type, split, variant) of each cell that a query runs, and the grids it is given."""
-    cells, grids = set(), []
+    seen, grids = set(), []
 
-    def run(data, experiment, model, freq, failure_type, split, variant=None, group=4, grid=None, known=False, with_lead=False):
-        cells.add((model, failure_type, split, variant))
+    def run(data, experiment, model, freq, cells, variant, group=4, grid=None, known=False, with_lead=False):
+        seen.update((model, *cell, variant, freq, data.horizon) for cell in cells)
         grids.append(grid)
-        return experiments._result(data, failure_type, split, None, None, False)
+        return experiments._rows(cells, {}, variant)
 
     monkeypatch.setattr(experiments, "_run", run)
     monkeypatch.setattr(learning, "_data", lambda *_: experiments.Data({}, spark.range(1)))
-    monkeypatch.setattr(learning, "table", lambda *_: None)
     learning.QUERIES[name](spark, None).collect()
-    return cells, grids
+    return seen, grids
 
 
-def test_experiments_run_over_all_types_splits_and_variants(spark, monkeypatch):
-    every = list(product((1, 2, 3), (1, 2, 3)))
-    for name, models, variants in (
-            ("x1_feature_groups", ["RF"], (1, 2, 3, 4)), ("x3_intervals", ["RF"], ("30m", "1h", "5d")),
-            ("x4_lead_times", ["RF"], (None,)), ("x4_averages", ["RF"], (None,))):
-        assert covered(spark, monkeypatch, name)[0] == {(m, t, s, v) for m in models for t, s in every for v in variants}, name
-    assert covered(spark, monkeypatch, "x2_models")[0] == {(m, t, s, m) for m in ("GBDT", "LR", "SVM", "MLP") for t, s in every}
+def test_experiments_run_over_all_types_splits_variants_and_grids(spark, monkeypatch):
+    every, day = list(product((1, 2, 3), (1, 2, 3))), 86400
+    for name, variants, freq in (("x1_feature_groups", (1, 2, 3, 4), "5m"), ("x3_intervals", ("30m", "1h", "5d"), None),
+                                 ("x4_lead_times", ("5m",), "5m"), ("x4_averages", ("5m",), "5m")):
+        seen, grids = covered(spark, monkeypatch, name)
+        assert seen == {("RF", t, s, v, freq or v, day) for t, s in every for v in variants} and set(grids) == {None}, name
+    assert covered(spark, monkeypatch, "x2_models")[0] == {(m, t, s, m, "5m", day) for m in ("GBDT", "LR", "SVM", "MLP") for t, s in every}
 
 
 def test_each_model_runs_over_its_whole_grid(spark, monkeypatch):
     for name, model in (("random_forest", "RF"), ("gradient_boosting", "GBDT"), ("logistic_regression", "LR"), ("bagged_svm", "SVM"),
                         ("perceptron", "MLP")):
-        cells, grids = covered(spark, monkeypatch, f"x2_grid_{name}")
-        assert cells == {(model, t, s, model) for t, s in product((1, 2, 3), (1, 2, 3))} and set(grids) == {None}
+        seen, grids = covered(spark, monkeypatch, f"x2_grid_{name}")
+        assert seen == {(model, t, s, model, "5m", 86400) for t, s in product((1, 2, 3), (1, 2, 3))} and set(grids) == {None}
 
 
 def test_whole_models_take_every_row_and_feature(spark, monkeypatch):
     """Rows of 3 to 11 errors are scored too, and the learner finds the class among 52 features."""
     from pyspark.sql import functions as F
 
-    from memsight.operators import models
     from memsight.operators.features import feature_columns
 
     names = feature_columns(4)
@@ -55,7 +53,8 @@ def test_whole_models_take_every_row_and_feature(spark, monkeypatch):
     assert whole.count() == 400 and len(whole.first()["features"]) == len(names) == 52
     got = learning.QUERIES["a1_random_forest_whole"](spark, "a").collect()
     assert len(got) == 400 and sum(r["class"] for r in got) == 160 and all(r.scored for r in got)
-    params, = [p for p in models.candidates("RF") if (p["trees"], p["depth"], p["min_split"]) == (10, 5, 5)]
-    scored = models.fit("RF", params, whole).score(whole)
-    assert scored.where((F.col("pred") > 0.5) == (F.col("class") == 1)).count() >= 380
+    assert sum(r.held_out for r in got) == 80 and all(r.learned for r in got)
+    for value in (0.1, 0.9):   # a constant predictor turns the rows of a class red
+        constant = learning._learned(whole.drop("features").withColumn("pred", F.lit(value))).collect()
+        assert {r["class"]: r.learned for r in constant} == {0: value < .5, 1: value > .5}
     learning._whole.cache_clear()

@@ -58,8 +58,8 @@ def test_report_round_trip_keeps_order(spark, tmp_path):
 
 
 def test_model_paths():
-    assert stores.model_path("m", 1, 2, 3, 4) == "m/exp1/exp1_month_2_types_3_features_4"
-    assert stores.model_path("m", 4, 1, 2) == "m/exp4/exp4_month_1_types_2"
+    assert stores.model_path("m", 1, 2, 3, 4) == "m/experiment-1/type-3/split-2/4"
+    assert stores.model_path("m", 4, 1, 2) == "m/experiment-4/type-2/split-1"
 
 
 def test_files_of_different_headers_are_refused(spark, tmp_path):
