@@ -1,20 +1,59 @@
 """Helpers of the operators: size-checked broadcasts, staged tables, row keys and connected components."""
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from memsight.operators.joins import estimated_bytes
 from memsight.session import stage
 
-BROADCAST_ROWS = 1_000_000  # of at most 32 bytes a row; larger tables are joined by a shuffle
+BATCH_BYTES = 4 << 20
+BROADCAST_BYTES = 1 << 20  # of a table's files, a few times that in memory; larger tables are joined by a shuffle
+
+__all__ = ["stage", "small", "fresh", "bounded_batches", "tidy", "columns", "components", "union_find"]
+
+
+def small(df: DataFrame, limit=BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if the optimizer bounds its size by ``limit`` bytes (for a staged table: its files), else as
+    it is."""
+    return F.broadcast(df) if estimated_bytes(df) <= limit else df
+
+
+def fresh(df: DataFrame, *names):
+    """Names that ``df`` has no columns of, for columns of a table that it is joined with."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
 
-__all__ = ["stage", "small", "columns", "components", "union_find"]
+def bounded_batches(spark, limit=BATCH_BYTES):
+    """Arrow batches of this session hold at most ``limit`` bytes from here on, if its own bound is not lower: a task and its
+    Python worker hold a few batches of whole texts at a time, and workers are reused with what memory they took."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    own = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key, str(limit)))
+    if own <= 0 or own > limit:
+        spark.conf.set(key, str(limit))
 
 
-def small(df: DataFrame, rows=BROADCAST_ROWS) -> DataFrame:
-    """``df`` (narrow and staged) with a broadcast hint if it has at most ``rows`` rows, else as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def tidy(run):
+    """``run``, a function for mapInArrow, that gives freed memory back to the system at the end of a task: its Python worker
+    is reused by the tasks of later stages, and what it keeps adds up."""
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)   # where the C library has it
+            if trim:
+                trim(0)
+    return tidied
 
 
 def columns(df: DataFrame, **named) -> DataFrame:
@@ -89,10 +128,10 @@ def components(edges: DataFrame, batch=EDGE_BATCH) -> DataFrame:
                   .where("a <> b"))
     contract = _contract(batch)
     if edges.limit(batch + 1).count() <= batch:
-        united = stage(edges.coalesce(1).mapInArrow(contract, "a long, b long"))
+        united = stage(edges.coalesce(1).mapInArrow(tidy(contract), "a long, b long"))
         return united.select(F.col("a").alias("node"), F.col("b").alias("component"))
     while True:
-        stars = edges.mapInArrow(contract, "a long, b long")
+        stars = edges.mapInArrow(tidy(contract), "a long, b long")
         # a task gives a node one root for each batch, so the set is small
         roots = stage(stars.groupBy("a").agg(F.collect_set("b").alias("roots")).withColumn("m", F.array_min("roots")))
         upper = small(roots.select(F.col("a").alias("m"), F.col("m").alias("up")))

@@ -4,6 +4,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from llm.oracles import LOWER, UPPER
+
 WORD = r"([^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+)"
 K = 2
 LONGEST_GAP = 3   # words by which neighbouring diagonals of one span may differ
@@ -32,8 +34,7 @@ NOTICES = {
 
 
 def words_of(text):
-    # lower-casing keeps the words' bounds, and no other letter becomes one of a phrase alone
-    return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(1))
+    return F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(WORD), F.lit(1))
 
 
 def _grams(words):

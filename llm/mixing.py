@@ -78,7 +78,10 @@ def mix(docs: DataFrame, seed=0, id_col="doc_id", text_col="text", source_col="s
 
 def mixed_documents(docs: DataFrame, seed=0, text_col="text", **options) -> DataFrame:
     """The mix itself: rows of ``docs``, as often as whole epochs take them; the row at a source's budget is cut after
-    its words taken (with the white space between them as it is)."""
+    its words taken (with the white space between them as it is). All columns stay, whatever their names.
+
+    Null and empty texts have no words and are in no mix. Null sources, null ids, ties and repeated rows are taken as
+    ``mix`` says. An empty table gives no rows."""
     made = mix(docs, seed, text_col=text_col, keep=docs.columns, **options)
     copies = made.where("taken > 0").withColumn("words", F.explode(F.expr(
         "transform(sequence(0L, (taken - 1) DIV greatest(size, 1L)), x -> least(size, taken - x * size))")))

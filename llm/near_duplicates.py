@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import UnionFind, columns, components, small, stage
+from llm.common import UnionFind, columns, components, fresh, small, stage, tidy
 from llm.superminhash import band_keys, signatures
 from llm.textops import SPACES, shingle_sets
 
@@ -104,7 +104,7 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", shingle=5
     rows = columns(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     rows = rows.withColumn("text_hash", F.xxhash64("text"))
     sketch = stage(rows.mapInArrow(
-        _sketch(shingle, slots, band_rows),
+        tidy(_sketch(shingle, slots, band_rows)),
         "doc_id long, text_hash long, n_shingles long, print binary, bands array<long>"))
     classes = stage(sketch.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("print")
                     .agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("x"))
@@ -116,7 +116,7 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", shingle=5
     members = stage(keyed.join(small(buckets), "key").where("node <> leader").select("leader", "node", "n").distinct())
     linked = members.select("node").union(members.select("leader")).distinct()
     wanted = small(stage(linked.withColumnRenamed("node", "doc_id")))
-    sets = stage(rows.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(shingle), "node long, members binary"))
+    sets = stage(rows.join(wanted, "doc_id", "left_semi").mapInArrow(tidy(_sets(shingle)), "node long, members binary"))
 
     # leaders with their members
     blocks = members.groupBy("leader").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
@@ -165,16 +165,18 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", shingle=5
 
 def keep_one(docs: DataFrame, id_col="doc_id", text_col="text", **options) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest id (of repeated rows, one). Rows without id,
-    and texts without words under different ids, all stay."""
+    and null texts and texts without words under different ids, all stay. All columns stay, whatever their names. An empty table
+    gives no rows."""
     found = stage(near_duplicates(docs, id_col, text_col, **options).where("doc_id IS NOT NULL"))
     counts = stage(found.groupBy("doc_id", "text_hash").agg(F.count("*").alias("copies"), F.min("component_id").alias("c")))
     chosen = counts.groupBy("c").agg(F.min(F.struct("doc_id", "text_hash")).alias("x"))
     judged = counts.join(chosen, "c").select(
         "doc_id", "text_hash", "copies",
         ((F.col("doc_id") == F.col("x.doc_id")) & F.col("text_hash").eqNullSafe(F.col("x.text_hash"))).alias("stays"))
-    judged = stage(judged.where("copies > 1 OR NOT stays").select(
-        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "stays"))
-    same = (docs[id_col] == F.col("_id")) & (F.xxhash64(docs[text_col]) == F.col("_hash"))
-    single = docs.join(small(judged), same, "left_anti")
-    again = docs.join(small(judged.where("stays")), same, "left_semi")
+    of, print_ = fresh(docs, "_id", "_hash")
+    judged = stage(judged.where("copies > 1 OR NOT stays").select(F.col("doc_id").alias(of), F.col("text_hash").alias(print_), "stays"))
+    same = lambda some: (docs[id_col] == some[of]) & (F.xxhash64(docs[text_col]) == some[print_])
+    repeated = judged.where("stays")
+    single = docs.join(small(judged), same(judged), "left_anti")
+    again = docs.join(small(repeated), same(repeated), "left_semi")
     return single.unionByName(again.dropDuplicates([id_col, text_col]))

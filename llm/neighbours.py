@@ -9,9 +9,10 @@ from llm.common import columns, stage
 from llm.vectors import matrix
 
 SAMPLE = 4096      # vectors that the partitions and the classifier are learned from
-PARTITIONS = 16
-MASS = 0.996       # a query visits its most probable partitions up to this probability
-BASE_ROWS, QUERY_ROWS = 4096, 1024  # of a block of comparisons
+PART_ROWS = 16384  # rows of a partition: their number grows with the table, up to an eighth of the sample
+MASSES = (0.3, 0.5, 0.7, 0.8, 0.9, 0.95, 0.98, 0.99, 0.995, 0.998, 0.999)  # tried for how far a query goes
+RECALL = 0.96      # of the mass that is taken, on vectors that nothing was learned from
+BASE_ROWS = 16384  # of a block: 8 MB of 64 components
 
 
 def neighbour_graph(x, near=16):
@@ -78,7 +79,7 @@ class Router:
         return z / z.sum(1, keepdims=True)
 
 
-def learn(x, parts=PARTITIONS, hidden=64, steps=400, seed=3):
+def learn(x, parts, hidden=64, steps=400, seed=3):
     """The router for sample ``x``: its targets are the partitions of each vector and of its neighbours."""
     n, d = x.shape
     parts = max(1, min(parts, n // 8))
@@ -117,6 +118,22 @@ def learn(x, parts=PARTITIONS, hidden=64, steps=400, seed=3):
     return Router(weights, scale)
 
 
+def choose_mass(router, x, k, masses=MASSES, recall=RECALL, queries=512):
+    """The least of ``masses`` at which queries find ``recall`` of their nearest rows, measured on ``x``, vectors that the router was
+    not fitted on; 1, which leaves out nothing, if none does."""
+    if len(x) <= k + 1:
+        return 1.0
+    p = router.probabilities(x)
+    home = p.argmax(1)
+    near = neighbour_graph(x / max(float(np.abs(x).max()), 1e-300), k)[:queries]
+    order = np.argsort(-p[:queries], axis=1, kind="stable")
+    sorted_ = np.take_along_axis(p[:queries], order, 1)
+    before = np.empty_like(sorted_)
+    np.put_along_axis(before, order, np.cumsum(sorted_, axis=1) - sorted_, 1)   # the probability of those visited earlier
+    at = np.take_along_axis(before, home[near], 1)
+    return next((m for m in masses if (at < m).mean() >= recall), 1.0)
+
+
 def _clean(batches):
     """Usable vectors as bytes of doubles, with their length."""
     for batch in batches:
@@ -126,69 +143,96 @@ def _clean(batches):
                 pa.array([v.tobytes() for v in x], pa.binary())], ["vec_id", "size", "vector"])
 
 
-def _route(routers, mass):
-    """Partitions of each vector: the most probable one (mass 0), or as many as reach ``mass``."""
+def _route(routers, masses=None, rows=None, k=0):
+    """Partitions of each vector: the most probable one, or, with ``masses`` (by length), as many as reach the length's mass and
+    hold more than ``k`` rows (``rows``: those of each partition, by length)."""
     def run(batches):
         for batch in batches:
             sizes = batch.column("size").to_numpy()
             vectors = batch.column("vector").to_pylist()
             for size in np.unique(sizes).tolist():
-                rows = np.flatnonzero(sizes == size)
+                at = np.flatnonzero(sizes == size)
                 if size not in routers:  # no vector of this length was in the sample
-                    visits, which = np.arange(len(rows)), np.zeros(len(rows), np.int64)
+                    visits, which = np.arange(len(at)), np.zeros(len(at), np.int64)
                 else:
-                    p = routers[size].probabilities(np.stack([np.frombuffer(vectors[i]) for i in rows]))
+                    p = routers[size].probabilities(np.stack([np.frombuffer(vectors[i]) for i in at]))
                     order = np.argsort(-p, axis=1, kind="stable")
-                    before = np.cumsum(np.take_along_axis(p, order, 1), axis=1) - np.take_along_axis(p, order, 1)
-                    chosen = before < mass
+                    chosen = np.zeros(p.shape, bool)
+                    if masses is not None:
+                        sorted_, held = np.take_along_axis(p, order, 1), rows[size][order]
+                        chosen = (np.cumsum(sorted_, axis=1) - sorted_ < masses[size]) | (np.cumsum(held, axis=1) - held <= k)
                     chosen[:, 0] = True
-                    visits, at = np.nonzero(chosen)
-                    which = order[visits, at]
-                take = pa.array(rows[visits])
+                    visits, place = np.nonzero(chosen)
+                    which = order[visits, place]
+                take = pa.array(at[visits])
                 yield pa.RecordBatch.from_arrays([
                     batch.column("vec_id").take(take), batch.column("size").take(take), pa.array(which.astype(np.int32)),
                     batch.column("vector").take(take)], ["vec_id", "size", "part", "vector"])
     return run
 
 
+def _nearest(asked, ids, x, k):
+    """(query ids, row ids, scores) of the ``k`` best of the rows (ids in order, vectors) for each query, itself excepted."""
+    q, v, s = [], [], []
+    for at in range(0, len(asked[0]), 256):
+        own = asked[0][at:at + 256]
+        with np.errstate(over="ignore", invalid="ignore"):
+            scores = asked[1][at:at + 256] @ x.T
+        scores[own[:, None] == ids[None, :]] = -np.inf
+        few = min(k, len(ids))
+        floor = -np.partition(-scores, few - 1, axis=1)[:, few - 1]
+        for i, one in enumerate(own):
+            best = np.flatnonzero((scores[i] >= floor[i]) & (ids != one))
+            best = best[np.argsort(-scores[i][best], kind="stable")][:k]   # ties by id, as the rows are in that order
+            q.append(np.full(len(best), one))
+            v.append(ids[best])
+            s.append(scores[i][best])
+    return [np.concatenate(c) if c else np.zeros(0, kind) for c, kind in ((q, np.int64), (v, np.int64), (s, float))]
+
+
 def _best(k):
-    """The k best rows of one block of rows for each query of one block of queries."""
-    def run(_, table):
-        query = table.column("query").to_numpy(zero_copy_only=False)
-        ids = table.column("vec_id").to_numpy()
-        x = np.stack([np.frombuffer(v) for v in table.column("vector").to_pylist()])
-        base, asked = np.flatnonzero(~query), np.flatnonzero(query)
-        base = base[np.argsort(ids[base], kind="stable")]  # then a stable order by score has ties by id
-        q, v, s = [], [], []
-        if len(base):
-            for at in range(0, len(asked), 256):
-                rows = asked[at:at + 256]
-                with np.errstate(over="ignore", invalid="ignore"):
-                    scores = x[rows] @ x[base].T
-                scores[ids[rows][:, None] == ids[base][None, :]] = -np.inf
-                few = min(k, len(base))
-                floor = -np.partition(-scores, few - 1, axis=1)[:, few - 1]
-                for i, row in enumerate(rows):
-                    own = np.flatnonzero((scores[i] >= floor[i]) & (ids[base] != ids[row]))
-                    own = own[np.argsort(-scores[i][own], kind="stable")][:k]
-                    q.append(np.full(len(own), ids[row]))
-                    v.append(ids[base[own]])
-                    s.append(scores[i][own])
-        whole = [np.concatenate(c) if c else np.zeros(0, kind) for c, kind in ((q, np.int64), (v, np.int64), (s, float))]
-        return pa.table(whole, ["query_id", "vec_id", "score"])
+    """Rows in order of block, a block's own rows before its queries -> the ``k`` best rows of the block for each query. A task holds
+    one block's rows at a time; its queries stream by."""
+    def run(batches):
+        block, ids, x = None, None, None
+        held_ids, held = [], []
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy() for c in ("size", "part", "block")], axis=1)
+            query, vec = batch.column("query").to_numpy(zero_copy_only=False), batch.column("vec_id").to_numpy()
+            vectors = batch.column("vector")
+            starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(1)])
+            for first, last in zip(starts, np.r_[starts[1:], len(keys)]):
+                if block != (key := tuple(keys[first].tolist())):
+                    block, ids, held_ids, held = key, None, [], []
+                ends = first + int(np.count_nonzero(~query[first:last]))
+                data = np.frombuffer(b"".join(vectors.slice(first, last - first).to_pylist())).reshape(last - first, -1)
+                if ends > first:
+                    held_ids.append(vec[first:ends])
+                    held.append(data[:ends - first])
+                if ends == last or not held:
+                    continue
+                if ids is None:
+                    order = np.argsort(np.concatenate(held_ids), kind="stable")
+                    ids, x = np.concatenate(held_ids)[order], np.concatenate(held)[order]
+                    held_ids, held = [ids], [x]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c) for c in _nearest((vec[ends:last], data[ends - first:]), ids, x, k)], ["query_id", "vec_id", "score"])
     return run
 
 
-def neighbours(vectors: DataFrame, queries, k=20, id_col="vec_id", vector_col="embedding",
-               parts=PARTITIONS, mass=MASS, sample=SAMPLE) -> DataFrame:
+def neighbours(vectors: DataFrame, queries, k=20, id_col="vec_id", vector_col="embedding", part_rows=PART_ROWS, sample=SAMPLE) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` rows of largest inner product found for each row that the condition
     ``queries`` (on the id) selects, the row itself excepted; ties go to the smaller id.
 
     1. A sample of ``sample`` vectors, the first by hash of the id, gives a neighbour graph, its balanced partitioning,
-       and a small classifier of partitions (fitted on the driver: the sample is bounded).
+       and a small classifier of partitions (fitted on the driver: the sample is bounded). There are as many partitions as
+       ``part_rows`` asks for, up to an eighth of the sample. As many further vectors, nothing of which was learned, measure
+       how much probability a query must visit to find its neighbours (``choose_mass``): where vectors are clustered that is
+       little, where they lie evenly most partitions.
     2. The classifier puts every row into its most probable partition; nothing is left out.
-    3. A query goes to its most probable partitions up to a probability of ``mass``. Partitions are compared in blocks
-       of bounded size, so a partition that holds most rows is split; the best of all blocks are merged.
+    3. A query goes to its most probable partitions up to that mass, and on until these hold more than ``k`` rows. A partition
+       is dealt into blocks of about ``BASE_ROWS`` rows, each shipped once; a task holds one block while its queries stream
+       by. The best of all blocks are merged.
 
     Rows with a null id, or vectors that are null, empty, zero or hold a null or non-finite component take no part.
     Vectors are compared with those of their own length. Of queries that repeat an id, the smallest vector asks;
@@ -196,26 +240,36 @@ def neighbours(vectors: DataFrame, queries, k=20, id_col="vec_id", vector_col="e
     rows = columns(vectors, vec_id=id_col, vector=vector_col).where("vec_id IS NOT NULL").select(
         F.col("vec_id").cast("long").alias("vec_id"), F.col("vector").cast("array<double>").alias("vector"))
     base = stage(rows.mapInArrow(_clean, "vec_id long, size int, vector binary"))
-    drawn = base.orderBy(F.xxhash64("vec_id"), "vec_id", "vector").limit(sample).collect()
-    routers = {}
+    drawn = base.orderBy(F.xxhash64("vec_id"), "vec_id", "vector").limit(2 * sample).collect()
+    total = dict(base.groupBy("size").count().collect())   # a row for each length of vectors
+    routers, masses = {}, {}
     for size in {r["size"] for r in drawn}:
         own = np.stack([np.frombuffer(bytes(r["vector"])) for r in drawn if r["size"] == size])
-        if len(own) >= 16:
-            routers[size] = learn(own, parts)
+        half = own[:sample] if len(own) > sample else own[:-(-len(own) // 2)]
+        if len(half) >= 16:
+            parts = min(1 << max(0, int(total[size] - 1) // part_rows).bit_length(), len(half) // 8)
+            routers[size] = learn(half, parts)
+            masses[size] = choose_mass(routers[size], own[len(half):], k)
     schema = "vec_id long, size int, part int, vector binary"
-    indexed = stage(base.mapInArrow(_route(routers, 0.0), schema))
+    indexed = stage(base.mapInArrow(_route(routers), schema))
+    counts = indexed.groupBy("size", "part").count().collect()   # partitions: bounded by the sample
+    held = {size: np.zeros(router.weights[3].shape[0], np.int64) for size, router in routers.items()}
+    for r in counts:
+        if r["size"] in held:
+            held[r["size"]][r["part"]] = r["count"]
     asked = base.where(queries).groupBy("vec_id", "size").agg(F.min("vector").alias("vector"))
-    asked = stage(asked.mapInArrow(_route(routers, mass), schema))
-    count = lambda df, name, rows: df.groupBy("size", "part").agg(F.ceil(F.count("*") / rows).cast("int").alias(name))
-    blocks = count(indexed, "m", BASE_ROWS).join(count(asked, "n", QUERY_ROWS), ["size", "part"])
-    blocks = F.broadcast(stage(blocks))  # a row for each partition and vector length
-    here = "CAST(pmod(xxhash64(vec_id, vector), {}) AS int)"
-    placed = indexed.join(blocks, ["size", "part"]).withColumn("b", F.expr(here.format("m"))).withColumn(
-        "q", F.explode(F.expr("sequence(0, n - 1)"))).withColumn("query", F.lit(False)).unionByName(
-        asked.join(blocks, ["size", "part"]).withColumn("q", F.expr(here.format("n"))).withColumn(
-            "b", F.explode(F.expr("sequence(0, m - 1)"))).withColumn("query", F.lit(True)))
-    found = placed.select("size", "part", "b", "q", "query", "vec_id", "vector").groupBy("size", "part", "b", "q").applyInArrow(
-        _best(k), "query_id long, vec_id long, score double")
+    asked = asked.mapInArrow(_route(routers, masses, held, k), schema)
+    if not counts:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    blocks = F.broadcast(vectors.sparkSession.createDataFrame(
+        [(r["size"], r["part"], -(-r["count"] // BASE_ROWS)) for r in counts], "size int, part int, blocks int"))
+    placed = indexed.join(blocks, ["size", "part"]).select(
+        "size", "part", F.expr("CAST(pmod(xxhash64(vec_id, vector), blocks) AS int)").alias("block"), F.lit(False).alias("query"), "vec_id", "vector")
+    visits = asked.join(blocks, ["size", "part"]).select(
+        "size", "part", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), F.lit(True).alias("query"), "vec_id", "vector")
+    key = ["size", "part", "block"]
+    sorted_ = placed.unionByName(visits).repartition(*key).sortWithinPartitions(*key, "query")
+    found = sorted_.mapInArrow(_best(k), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score")

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import columns, small, stage
+from llm.common import columns, fresh, small, stage, tidy
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -262,7 +262,7 @@ def find_personal_data(docs: DataFrame, id_col="doc_id", text_col="text", rounds
     An empty table gives no rows."""
     rows = _keyed(docs, id_col, text_col)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    scanned = stage(rows.mapInArrow(_scan, SCHEMA.format(kind)))
+    scanned = stage(rows.mapInArrow(tidy(_scan), SCHEMA.format(kind)))
     spots = stage(scanned.where("size(found) > 0").select("doc_id", "hash", F.inline("found")))
     learned = stage(learn_patterns(spots, rounds, min_seeds, least))
     more = spots.where("kind < 0").join(small(learned), "instance").select(
@@ -317,11 +317,11 @@ def _redact(text_col):
 
 
 def redact(docs: DataFrame, id_col="doc_id", text_col="text", **options) -> DataFrame:
-    """``docs`` with the spans of ``find_personal_data`` masked in their texts; rows and other columns stay. Null texts
-    stay null."""
+    """``docs`` with the spans of ``find_personal_data`` masked in their texts; rows and other columns stay, whatever their
+    names. Null and empty texts stay as they are, rows without id are masked too, repeated rows alike. An empty table gives no rows."""
+    of, print_, more = fresh(docs, "_id", "_hash", "_added")
     found = find_personal_data(docs, id_col, text_col, **options).where("added IS NOT NULL").select(
-        F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"), "added").dropDuplicates(["_id", "_hash"])
-    found = small(stage(found))
-    same = docs[id_col].eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text_col].cast("string")) == F.col("_hash"))
-    return docs.join(found, same, "left").select(*[docs[c] for c in docs.columns], F.col("added").alias("_added")) \
-        .mapInArrow(_redact(text_col), docs.schema)
+        F.col("doc_id").alias(of), F.col("hash").alias(print_), F.col("added").alias(more)).dropDuplicates([of, print_])
+    found = stage(found)
+    same = docs[id_col].eqNullSafe(found[of]) & (F.xxhash64(docs[text_col].cast("string")) == found[print_])
+    return docs.join(small(found), same, "left").select(*[docs[c] for c in docs.columns], found[more]).mapInArrow(tidy(_redact(text_col)), docs.schema)

@@ -5,7 +5,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import columns, small, stage
+from llm.common import columns, fresh, small, stage, tidy
 from llm.textops import SPACES, chunks, mix, text_bytes, word_hashes, words
 from llm.toxicity import logistic
 
@@ -157,7 +157,7 @@ def classify_quality(docs: DataFrame, labels: DataFrame, host, path, id_col="doc
                        path.cast("string").alias("path"), F.xxhash64(docs[text_col].cast("string")).alias("hash"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     base = f"doc_id {kind}, hash long, host string, path string"
-    measured = stage(rows.select("doc_id", "hash", "host", "path", "text").mapInArrow(_measure, base + ", x array<float>"))
+    measured = stage(rows.select("doc_id", "hash", "host", "path", "text").mapInArrow(tidy(_measure), base + ", x array<float>"))
     known = columns(labels, id=id_col, label=label_col).where("id IS NOT NULL AND label IS NOT NULL").groupBy("id").agg(
         F.min("label").cast("int").alias("label"))
     drawn = stage(known.orderBy(F.xxhash64("id"), "id").limit(sample))
@@ -169,7 +169,7 @@ def classify_quality(docs: DataFrame, labels: DataFrame, host, path, id_col="doc
         judged = measured.drop("x").withColumn("evidence", F.lit(0.0))
     else:
         classifier = Classifier.fit(np.array([r.x for r in taught], float), y)
-        judged = measured.mapInArrow(_judge(classifier), base + ", evidence double")
+        judged = measured.mapInArrow(tidy(_judge(classifier)), base + ", evidence double")
     judged = stage(judged)
     paths, rate = site_posteriors(judged)
     if paths is None:
@@ -181,8 +181,12 @@ def classify_quality(docs: DataFrame, labels: DataFrame, host, path, id_col="doc
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, host, path, id_col="doc_id", text_col="text", **options) -> DataFrame:
-    """``docs`` without the rows that the classifier rejects."""
+    """``docs`` without the rows that the classifier rejects; all its columns stay, whatever their names.
+
+    Null and empty texts, null ids, ties and labels of one class or none are judged as ``classify_quality`` says; repeated
+    rows go or stay together. An empty table gives no rows."""
     judged = classify_quality(docs, labels, host, path, id_col, text_col, **options)
-    rejected = stage(judged.where("NOT keep").select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash")).distinct())
-    same = docs[id_col].eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text_col].cast("string")) == F.col("_hash"))
+    of, print_ = fresh(docs, "_id", "_hash")
+    rejected = stage(judged.where("NOT keep").select(F.col("doc_id").alias(of), F.col("hash").alias(print_)).distinct())
+    same = docs[id_col].eqNullSafe(rejected[of]) & (F.xxhash64(docs[text_col].cast("string")) == rejected[print_])
     return docs.join(small(rejected), same, "left_anti")

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from llm.common import columns, stage
+from llm.common import columns, stage, tidy
 from llm.oracles import LOWER as LOW, UPPER
 from llm.textops import LOWER, NOT_ALPHANUMERIC, chunks, text_bytes, word_hashes, words
 
@@ -174,7 +174,7 @@ def _answer(documents: DataFrame, asked, k):
     hashes = _hash(distinct)
     order = np.argsort(hashes)
     vocabulary, number = hashes[order], {distinct[i]: n for n, i in enumerate(order.tolist())}
-    held = stage(documents.mapInArrow(_count(vocabulary), "doc_id long, n long, terms array<int>, often array<long>"))
+    held = stage(documents.mapInArrow(tidy(_count(vocabulary)), "doc_id long, n long, terms array<int>, often array<long>"))
     facts = held.agg(F.count("*").alias("documents"), F.sum("n").alias("terms")).first()
     if not facts.documents:
         return None

@@ -11,10 +11,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from llm.common import columns
+from llm.common import columns, tidy
 from llm.textops import chunks, mix, text_bytes
 
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 NONE = np.int32(2**31 - 1)
 EMPTY = np.uint64(2**64 - 1)
 MARK = "▁"  # stands for a space
@@ -327,7 +327,7 @@ def tokenize(docs: DataFrame, model_path: str, outputs=("n_tokens", "ids"), id_c
     rows = columns(docs, doc_id=id_col, text=text_col)
     kind = rows.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, " + ", ".join(f"{x} {TYPES[x]}" for x in outputs)
-    return rows.mapInArrow(_tokenize(read_model(model_path), tuple(outputs)), schema)
+    return rows.mapInArrow(tidy(_tokenize(read_model(model_path), tuple(outputs))), schema)
 
 
 def _detokenize(data):
@@ -346,4 +346,4 @@ def detokenize(rows: DataFrame, model_path: str, id_col="doc_id", ids_col="ids")
     """doc_id and text of rows of ids (array<int>); null ids give an empty text."""
     rows = columns(rows, doc_id=id_col, ids=ids_col)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(_detokenize(read_model(model_path)), f"doc_id {kind}, text string")
+    return rows.mapInArrow(tidy(_detokenize(read_model(model_path))), f"doc_id {kind}, text string")

@@ -5,7 +5,7 @@ import numpy as np
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 BASE = 0xD1342543DE82EF95  # odd, so powers can be undone modulo 2^64
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
-CHUNK_BYTES = 1 << 20      # bytes of text handled at once; a longer text is a chunk of its own
+CHUNK_BYTES = 1 << 18      # bytes of text handled at once; a longer text is a chunk of its own
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A"):ord("Z") + 1] += 32

@@ -5,13 +5,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from llm.common import columns, stage
+from llm.common import columns, stage, tidy
 from llm.textops import NOT_ALPHANUMERIC, chunks, text_bytes, word_hashes, words
 
 SAMPLE = 8000      # labelled documents that the model is fitted on (on the driver)
 SAMPLE_BYTES = 1 << 26  # of their texts together
 CHAIN_DOCS = 3000  # of these, documents of the field itself
 SEGMENT = 64       # tokens that the two-level scan takes in a row
+SLICE = 1 << 17    # tokens that are scanned together
 STEPS = 40
 
 
@@ -27,10 +28,22 @@ def _segments(bounds):
 
 
 def forward_backward(emission, bounds, moves):
-    """Marginals of state 1 for each token, and the expected number of transitions (2, 2).
+    """Marginals of state 1 for each token, and the expected number of transitions (2, 2), in slices of about SLICE tokens, at
+    least one text each.
 
     ``emission`` is the log-odds of state 1 at a token, ``moves`` the log-weights of transitions; a text starts from
-    state 0. Each row of SEGMENT tokens becomes one 2x2 matrix, texts are scanned over their rows, and then all rows
+    state 0."""
+    parts, expected = [np.zeros(0)], np.zeros((2, 2))
+    for first, last in chunks(bounds, SLICE):
+        low, high = bounds[first], bounds[last]
+        marginal, moved = _scan(emission[low:high], bounds[first:last + 1] - low, moves)
+        parts.append(marginal)
+        expected += moved
+    return np.concatenate(parts), expected
+
+
+def _scan(emission, bounds, moves):
+    """Each row of SEGMENT tokens becomes one 2x2 matrix, texts are scanned over their rows, and then all rows
     at once: a long text takes no more steps than rows plus tokens of a row."""
     index, first = _segments(bounds)
     n = len(index)
@@ -257,9 +270,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col
     first = Window.orderBy("bytes", F.xxhash64("id"), "id")  # a text that does not fit leaves out longer ones only
     chosen = stage(sizes.withColumn("sum", F.sum("bytes").over(first)).where(F.col("sum") <= SAMPLE_BYTES).select("id", "label"))
     taught = rows.join(F.broadcast(chosen), rows.doc_id == F.col("id")).select("doc_id", "label", "text").mapInArrow(
-        _hashes, f"doc_id {kind}, label int, hashes binary").groupBy("doc_id", "label").agg(F.min("hashes").alias("hashes"))
+        tidy(_hashes), f"doc_id {kind}, label int, hashes binary").groupBy("doc_id", "label").agg(F.min("hashes").alias("hashes"))
     taught = sorted((r.doc_id, bytes(r.hashes), r.label) for r in taught.collect())
     taught = [taught[i] for i in np.random.default_rng(1).permutation(len(taught))]
     tagger = fit([np.frombuffer(h, np.uint64) for _, h, _ in taught], [y for _, _, y in taught])
     schema = f"doc_id {kind}, held_out boolean, score double, predicted int, spans array<struct<start:int,end:int,marginal:double>>"
-    return rows.withColumn("held_out", held_out("doc_id")).select("doc_id", "held_out", "text").mapInArrow(_tag(tagger), schema)
+    return rows.withColumn("held_out", held_out("doc_id")).select("doc_id", "held_out", "text").mapInArrow(tidy(_tag(tagger)), schema)

@@ -9,12 +9,12 @@ DOCUMENT = T.StructType([
     T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType())])
 # columns whose names the operators use themselves
 EXTRA = T.StructType(DOCUMENT.fields + [T.StructField(n, T.StringType()) for n in (
-    "size", "key", "shard", "score", "node", "words", "h", "hash", "print", "target", "range", "row", "copies", "label")])
+    "size", "key", "shard", "score", "node", "words", "h", "hash", "print", "target", "range", "row", "copies", "label", "_id", "_hash", "added", "_added", "stays")])
 
 
 def table(spark, rows, extra=True):
     """rows: (doc_id, text, source)"""
-    full = [(i, t, "en", s, None if t is None else len(t)) + (("x",) * 14 if extra else ()) for i, t, s in rows]
+    full = [(i, t, "en", s, None if t is None else len(t)) + (("x",) * 19 if extra else ()) for i, t, s in rows]
     return spark.createDataFrame(full, EXTRA if extra else DOCUMENT).repartition(3)
 
 

@@ -74,9 +74,24 @@ def test_stages_against_plain_counterparts(spark, tmp_path):
 def test_stages_take_awkward_rows(spark):
     from awkward import AWKWARD, table
 
-    docs = table(spark, AWKWARD, extra=False)
-    for empty in (False, True):
-        rows = docs.where("false") if empty else docs
-        for name, function in corpus_pipeline.STAGES:
-            out = function(spark, rows, SF).collect()
-            assert bool(out) != empty, name
+    for extra in (False, True):   # also columns whose names the stages use themselves
+        docs = table(spark, AWKWARD, extra=extra)
+        for empty in (False, True):
+            rows = docs.where("false") if empty else docs
+            for name, function in corpus_pipeline.STAGES:
+                out = function(spark, rows, SF)
+                if name != "tokens":
+                    assert out.columns == docs.columns, name
+                assert bool(out.collect()) != empty, name
+
+
+def test_large_lists_of_rows_are_shuffled(spark, monkeypatch):
+    """The stages give the same without broadcasts."""
+    from awkward import AWKWARD, table
+
+    from llm import common
+
+    docs = table(spark, AWKWARD)
+    found = [Counter(map(str, f(spark, docs, SF).collect())) for _, f in corpus_pipeline.STAGES]
+    monkeypatch.setattr(common, "estimated_bytes", lambda df: 1 << 40)
+    assert [Counter(map(str, f(spark, docs, SF).collect())) for _, f in corpus_pipeline.STAGES] == found

@@ -3,7 +3,7 @@ from collections import defaultdict
 import numpy as np
 from pyspark.sql import types as T
 
-from llm import lattice, near_vectors as near_module
+from llm import lattice, near_vectors as near_module, neighbours as neighbours_module
 from llm.near_vectors import near_vectors
 from llm.neighbours import neighbours
 
@@ -117,3 +117,45 @@ def test_neighbours(spark):
         total += len({i for _, i in want})
     assert set(got) == {q for q in queries if len([1 for i, u in good if i != q and len(u) == len(queries[q])])}
     assert hit / total >= .9
+
+
+def recall(spark, data, **options):
+    got = defaultdict(set)
+    for r in neighbours(frame(spark, data), "vec_id % 20 = 0", k=20, **options).collect():
+        got[r.query_id].add(r.vec_id)
+    ids, x = np.array([i for i, _, _ in data]), np.array([v for _, v, _ in data])
+    hit = total = 0
+    for q in np.flatnonzero(ids % 20 == 0):
+        s = x @ x[q]
+        s[q] = -np.inf
+        want = set(ids[np.lexsort([ids, -s])[:20]].tolist())
+        assert len(got[ids[q]]) == 20
+        hit, total = hit + len(want & got[ids[q]]), total + 20
+    return hit / total
+
+
+def test_recall_at_two_sizes_and_on_clustered_vectors(spark, monkeypatch):
+    seen, choose = [], neighbours_module.choose_mass
+    monkeypatch.setattr(neighbours_module, "choose_mass", lambda router, *a: seen.append((len(router.weights[3]), choose(router, *a))) or seen[-1][1])
+    rng = np.random.default_rng(11)
+    even = [(i, v.tolist(), 1) for i, v in enumerate(rng.normal(size=(3000, 24)))]
+    centres = rng.normal(size=(60, 24)) * 3
+    tight = [(i, (centres[i % 60] + rng.normal(size=24) * .15).tolist(), 1) for i in range(3000)]
+    long_ = [(i, (np.array(v) * (1 + 50 * (i % 7 == 0))).tolist(), 1) for i, v, _ in even]
+    assert recall(spark, even[:1000], part_rows=128) >= .9 and recall(spark, even, part_rows=128) >= .9
+    assert [n for n, _ in seen] == [8, 32]       # partitions grow with the rows
+    assert recall(spark, tight, part_rows=128) >= .9
+    assert seen[2][1] < seen[1][1]               # and clustered vectors are found in fewer of them
+    assert recall(spark, long_, part_rows=128) >= .9
+
+
+def test_a_query_goes_on_until_it_has_seen_enough_rows(spark, monkeypatch):
+    monkeypatch.setattr(neighbours_module, "choose_mass", lambda *a: 0.0)
+    rng = np.random.default_rng(3)
+    recall(spark, [(i, v.tolist(), 1) for i, v in enumerate(rng.normal(size=(400, 16)))], part_rows=8)
+
+
+def test_blocks_of_a_partition(spark, monkeypatch):
+    monkeypatch.setattr(neighbours_module, "BASE_ROWS", 50)
+    rng = np.random.default_rng(4)
+    assert recall(spark, [(i, v.tolist(), 1) for i, v in enumerate(rng.normal(size=(700, 16)))], part_rows=1 << 20) == 1
