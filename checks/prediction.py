@@ -1,7 +1,5 @@
 """Registered queries of labels, sampling and evaluation, with their DuckDB text."""
 
-from functools import reduce
-
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
@@ -14,6 +12,7 @@ from memsight.functions.calendar import offset_to_text
 from memsight.operators import evaluate, labels, windows
 from memsight.operators.features import feature_columns
 from memsight.plans.features import feature_table
+from memsight.session import stage
 
 BY = ["failure_type", "split"]
 TEST_MONTHS = [6, 7, 8]
@@ -29,23 +28,16 @@ def _rows(spark, d, months=range(1, 9)):
 CASES = [(t, s) for t in (1, 2, 3) for s in labels.SPLITS]
 
 
-def _all_cases(spark, d, make):
-    """Rows of all failure types and splits; ``make`` gets (train rows, test rows, tickets, failure type)."""
-    rows, tickets = _rows(spark, d), fixture.tickets(spark, d)
-    return reduce(DataFrame.unionByName, [
-        make(*labels.train_test(rows, s), tickets, t).withColumns({"failure_type": F.lit(t), "split": F.lit(s)}) for t, s in CASES])
-
-
 def _l1(spark, d):
-    return _all_cases(spark, d, lambda train, test, tickets, t: labels.train_labels(train, tickets, t))
+    return labels.cell_labels(_rows(spark, d), fixture.tickets(spark, d), "train")
 
 
 def _l2(spark, d):
-    return _all_cases(spark, d, lambda train, test, tickets, t: labels.test_labels(test, tickets, t))
+    return labels.cell_labels(_rows(spark, d, TEST_MONTHS), fixture.tickets(spark, d), "test")
 
 
 def _l4(spark, d):
-    return _all_cases(spark, d, lambda train, test, tickets, t: labels.under_sample(labels.train_labels(train, tickets, t)).drop("month"))
+    return labels.under_sample(stage(_l1(spark, d)), by=BY).drop("month")
 
 
 def _features(spark, d, freq="5d", months=TEST_MONTHS):
@@ -53,27 +45,25 @@ def _features(spark, d, freq="5d", months=TEST_MONTHS):
     return feature_table(log, inventory, freq, months, ROLLING_ERRORS)
 
 
+def _labelled_features(spark, d):
+    return labels.cell_labels(_features(spark, d), fixture.tickets(spark, d), "test")
+
+
 def _l5(group):
-    def run(spark, d):
-        table = labels.test_labels(_features(spark, d), fixture.tickets(spark, d), 1)
-        return rounded(labels.select_features(table, group).drop("t_predict"))
-    return run
+    return lambda spark, d: rounded(labels.select_features(_labelled_features(spark, d), group, BY).drop("t_predict"))
 
 
 def _l6(spark, d):
-    table = labels.test_labels(_features(spark, d), fixture.tickets(spark, d), 1)
     values = vector_to_array("features")
-    return labels.matrix(table).select(
-        "sid", "predict_time", "class", F.size(values).cast("long").alias("n_features"),
+    return labels.matrix(_labelled_features(spark, d), keep=BY).select(
+        *BY, "sid", "predict_time", "class", F.size(values).cast("long").alias("n_features"),
         F.aggregate(values, F.lit(0.0), lambda total, v: total + F.floor(v + 0.0001)).alias("total"))
 
 
 def scored(spark, d) -> DataFrame:
     """Test rows of all types and splits with an arithmetic score."""
-    rows, tickets = _rows(spark, d, TEST_MONTHS), fixture.tickets(spark, d)
-    parts = [labels.test_labels(rows, tickets, t, WEEK).withColumn("failure_type", F.lit(t)) for t in (1, 2, 3)]
+    out = labels.cell_labels(_rows(spark, d, TEST_MONTHS), fixture.tickets(spark, d), "test", horizon=WEEK)
     score = F.expr("((sid * 7919 + t_predict div 60) % 101) / 100.0D")
-    out = reduce(DataFrame.unionByName, parts).withColumn("split", (F.col("month") - 5).cast("int"))
     # scores of servers without failures are lowered, so that some false-positive rates pass
     return out.withColumn("pred", F.when((F.col("class") == 1) | (F.col("sid") % 17 == 0), score).otherwise(score / 2))
 
@@ -185,11 +175,12 @@ FROM (SELECT DISTINCT failure_type, split FROM metrics) g LEFT JOIN (
 
 def _group_sql(group):
     columns = ", ".join(f'"{c}"' for c in feature_columns(group))
-    return query(f"SELECT sid, predict_time, {columns}, class FROM labelled", TABLE)
+    return query(f"SELECT failure_type, split, sid, predict_time, {columns}, class FROM labelled", TABLE)
 
 
 TABLE = features_cte("5d", TEST_MONTHS) + f""",
-labelled AS ({_labelled('features', 1, True)})"""
+labelled AS (""" + " UNION ALL ".join(
+    f"SELECT {t} AS failure_type, month - 5 AS split, * FROM ({_labelled('features', t, True)})" for t in (1, 2, 3)) + ")"
 
 ORACLE = {
     "l1_train_labels": query("SELECT * FROM train", TRAIN),
@@ -208,7 +199,7 @@ ORACLE = {
     "l5_feature_group_1": _group_sql(1),
     "l5_feature_group_3": _group_sql(3),
     "l5_feature_group_4": _group_sql(4),
-    "l6_matrix": query("SELECT sid, predict_time, CAST(class AS double) AS class, CAST(52 AS bigint) AS n_features, "
+    "l6_matrix": query("SELECT failure_type, split, sid, predict_time, CAST(class AS double) AS class, CAST(52 AS bigint) AS n_features, "
                        + " + ".join(f'floor("{c}" + 0.0001)' for c in feature_columns()) + " AS total FROM labelled", TABLE),
     "e1_confusion": query("SELECT * EXCLUDE (threshold) FROM confusion WHERE threshold = 0.5", SCORED + "," + CONFUSION),
     "e2_metrics": query(f"SELECT failure_type, split, tp, fp, fn, tn, {ROUND} FROM (SELECT {_metrics()} FROM confusion "

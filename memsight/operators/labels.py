@@ -127,9 +127,9 @@ def under_sample(labelled: DataFrame, ratio=SAMPLE_RATIO, seed=SEED, keys=("sid"
     return kept.select(*labelled.columns)
 
 
-def select_features(labelled: DataFrame, group=4) -> DataFrame:
-    """Keys, the columns of a feature group, and the class."""
-    return labelled.select("sid", "predict_time", "t_predict", *feature_columns(group), "class")
+def select_features(labelled: DataFrame, group=4, keep=()) -> DataFrame:
+    """Keys, the columns ``keep``, those of a feature group, and the class."""
+    return labelled.select(*keep, "sid", "predict_time", "t_predict", *feature_columns(group), "class")
 
 
 def values(group=4):
@@ -137,11 +137,11 @@ def values(group=4):
     return F.array(*[F.col(c).cast("double") for c in feature_columns(group)])
 
 
-def matrix(labelled: DataFrame, group=4) -> DataFrame:
-    """sid, predict_time, t_predict, class and the vector ``features``; keys stay out of the vector."""
+def matrix(labelled: DataFrame, group=4, keep=()) -> DataFrame:
+    """``keep``, sid, predict_time, t_predict, class and the vector ``features``; keys stay out of the vector."""
     assembler = VectorAssembler(inputCols=feature_columns(group), outputCol="features")
-    rows = select_features(labelled, group).withColumn("class", F.col("class").cast("double"))
-    return assembler.transform(rows).select("sid", "predict_time", "t_predict", "class", "features")
+    rows = select_features(labelled, group, keep).withColumn("class", F.col("class").cast("double"))
+    return assembler.transform(rows).select(*keep, "sid", "predict_time", "t_predict", "class", "features")
 
 
 def parameter_space(choices: dict) -> list:

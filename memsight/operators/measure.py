@@ -4,24 +4,28 @@ from pyspark.sql import DataFrame, functions as F
 
 from memsight.constants import LEVELS, WINDOWS
 from memsight.functions.calendar import month_key
+from memsight.functions.topology import CELL
 from memsight.operators.prepare import failure_rows, typed
-from memsight.operators.reports import fill, per_window, scaffold, unpivot_windows
+from memsight.operators.reports import fill, other_types, per_window, scaffold, unpivot_windows
 from memsight.operators.selection import exact_median
 
 MONTHS = [f"0001-0{m}" for m in range(1, 9)]
 
 
-def monthly_rates(log: DataFrame, tickets: DataFrame, inventory: DataFrame, population=None) -> DataFrame:
+def error_months(log: DataFrame, inventory: DataFrame) -> DataFrame:
+    """(sid, month) of the inventory's servers with errors: at most nine rows a server, distinct before the join."""
+    return log.select("sid", month_key(F.col("error_time")).alias("month")).distinct().join(inventory.select("sid"), "sid", "left_semi")
+
+
+def monthly_rates(log: DataFrame, tickets: DataFrame, inventory: DataFrame, population=None, months_of=None) -> DataFrame:
     """Per month: servers with errors and with failures, and both as fractions of the population.
 
     Tickets count whatever their type. ``population``: the eight monthly populations; the default
-    takes the whole inventory for each month.
+    takes the whole inventory for each month. ``months_of``: ready rows of ``error_months``.
     """
     spark = log.sparkSession
-    # at most nine rows per server are left to join
-    error_servers = log.select("sid", month_key(F.col("error_time")).alias("month")).distinct().join(
-        inventory.select("sid"), "sid", "left_semi")
-    errors = error_servers.groupBy("month").agg(F.count(F.lit(1)).alias("n_error"))
+    months_of = error_months(log, inventory) if months_of is None else months_of
+    errors = months_of.groupBy("month").agg(F.count(F.lit(1)).alias("n_error"))
     failures = tickets.groupBy(month_key(F.col("failed_time")).alias("month")).agg(
         F.count_distinct("sid").alias("n_failure"))
     if population is None:
@@ -38,11 +42,14 @@ def monthly_rates(log: DataFrame, tickets: DataFrame, inventory: DataFrame, popu
     })
 
 
-def overall_rates(log, tickets, inventory, population=None, total_servers=None) -> DataFrame:
+def overall_rates(log, tickets, inventory, population=None, total_servers=None, months_of=None) -> DataFrame:
     """One row: the monthly rates' means, and the fraction of servers with any error."""
-    rates = monthly_rates(log, tickets, inventory, population).agg(
+    rates = monthly_rates(log, tickets, inventory, population, months_of).agg(
         F.avg("error_rate").alias("mean_error_rate"), F.avg("failure_rate").alias("mean_failure_rate"))
-    servers = log.select("sid").distinct().join(inventory.select("sid"), "sid", "left_semi")
+    if months_of is None:
+        servers = log.select("sid").distinct().join(inventory.select("sid"), "sid", "left_semi")
+    else:
+        servers = months_of.select("sid").distinct()
     seen = servers.agg(F.count(F.lit(1)).alias("n_error"))
     if total_servers is None:
         total = inventory.agg(F.count_distinct("sid").alias("n_servers"))
@@ -54,12 +61,24 @@ def overall_rates(log, tickets, inventory, population=None, total_servers=None)
     return out.drop("_one").withColumn("overall_error_rate", F.try_divide("n_error", "n_servers"))
 
 
-def lead_times(log: DataFrame, tickets: DataFrame, inventory: DataFrame, columns=()) -> DataFrame:
+def second_counts(log: DataFrame, tickets: DataFrame, inventory: DataFrame) -> DataFrame:
+    """Errors (``n``) of failed servers per (failure_type, sid, failed_off, cell, error_type, second), with the lead ``td``: what all
+    findings about failures aggregate. ``rows`` of the findings below takes it, staged, in place of a scan of the log."""
+    columns = [*CELL, "error_type"]
+    rows = failure_rows(log, tickets, inventory, columns)
+    return rows.groupBy("failure_type", "sid", "failed_off", *columns, "t", "td").agg(F.sum("n").alias("n"))
+
+
+def lead_times(log: DataFrame, tickets: DataFrame, inventory: DataFrame, columns=(), rows=None) -> DataFrame:
     """(failure_type, sid, ``columns`` of the inventory, max_td): the longest lead of each failed server.
 
     The longest lead comes from the first error, so the log is reduced to a row per server before
-    any join.
+    any join. ``rows``: of ``second_counts``.
     """
+    if rows is not None:
+        longest = rows.groupBy("failure_type", "sid").agg(F.max("td").alias("max_td"))
+        return longest.join(inventory.select("sid", *columns), "sid").groupBy("failure_type", "sid", *columns).agg(
+            F.max("max_td").alias("max_td"))
     first = log.groupBy("sid").agg(F.min("t").alias("first_t"))
     facts = typed(tickets).select("sid", "failed_off", "failure_type")
     joined = first.join(facts, "sid").join(inventory.select("sid", *columns), "sid")
@@ -94,7 +113,7 @@ def predictable_counts(log, tickets, inventory, windows=WINDOWS, leads=None) ->
     wide = leads.groupBy("failure_type").agg(
         *[_over(name, seconds) for name, seconds in windows.items()])
     rows = unpivot_windows(wide, ["failure_type"], ["n_sid"], windows)
-    return fill(rows, scaffold(log.sparkSession, windows, typed(tickets)), ["failure_type", "window"], ["n_sid"])
+    return fill(rows, scaffold(log.sparkSession, windows, other_types(tickets)), ["failure_type", "window"], ["n_sid"])
 
 
 def predictable_fraction(log, tickets, inventory, windows=WINDOWS, failures=None, leads=None) -> DataFrame:
@@ -116,13 +135,14 @@ def _server_means(per_server: DataFrame, tickets, prefixes, windows) -> DataFram
         *[agg for p in prefixes for name in windows for agg in _mean_positive(p, name)])
     names = [f"{kind}_{p}" for p in prefixes for kind in ("mean", "servers")]
     rows = unpivot_windows(wide, ["failure_type"], names, windows)
-    return fill(rows, scaffold(per_server.sparkSession, windows, typed(tickets)), ["failure_type", "window"],
+    return fill(rows, scaffold(per_server.sparkSession, windows, other_types(tickets)), ["failure_type", "window"],
                 [n for n in names if n.startswith("servers")])
 
 
-def server_errors(log, tickets, inventory, windows=WINDOWS) -> DataFrame:
-    """Per (failure_type, sid): all joined errors (``n_all``), and errors, read and scrub errors before each window."""
-    rows = failure_rows(log, tickets, inventory, ["error_type"])
+def server_errors(log, tickets, inventory, windows=WINDOWS, rows=None) -> DataFrame:
+    """Per (failure_type, sid): all joined errors (``n_all``), and errors, read and scrub errors before each window. ``rows``: of
+    ``second_counts``."""
+    rows = failure_rows(log, tickets, inventory, ["error_type"]) if rows is None else rows
     n, kind = F.col("n"), F.col("error_type")
     return rows.groupBy("failure_type", "sid").agg(
         F.sum("n").alias("n_all"), *per_window(n, "errors", windows),
@@ -145,13 +165,13 @@ def mean_read_scrub(log, tickets, inventory, windows=WINDOWS, counts=None) -> Da
     return _server_means(counts, tickets, ["read", "scrub"], windows)
 
 
-def server_mtbe(log, tickets, inventory, windows=WINDOWS) -> DataFrame:
+def server_mtbe(log, tickets, inventory, windows=WINDOWS, rows=None) -> DataFrame:
     """(failure_type, sid, window, mtbe): mean gap in seconds between a server's consecutive errors.
 
     Gaps between ordered times add up to last - first, so no ordering is needed. Errors are paired
-    within one ticket; a server with several tickets of a type pools their gaps.
+    within one ticket; a server with several tickets of a type pools their gaps. ``rows``: of ``second_counts``.
     """
-    rows = failure_rows(log, tickets, inventory, [])
+    rows = failure_rows(log, tickets, inventory, []) if rows is None else rows
     td, n = F.col("td"), F.col("n")
     per_ticket = rows.groupBy("failure_type", "sid", "failed_off").agg(
         F.max("td").alias("max_td"),
@@ -165,12 +185,12 @@ def server_mtbe(log, tickets, inventory, windows=WINDOWS) -> DataFrame:
         "failure_type", "sid", "window", (F.col("span") / F.col("gaps")).alias("mtbe"))
 
 
-def median_mtbe(log, tickets, inventory, windows=WINDOWS) -> DataFrame:
-    """Median over failed servers of the mean time between errors, in minutes."""
-    medians = exact_median(server_mtbe(log, tickets, inventory, windows), ["failure_type", "window"], "mtbe")
+def median_mtbe(log, tickets, inventory, windows=WINDOWS, rows=None) -> DataFrame:
+    """Median over failed servers of the mean time between errors, in minutes. ``rows``: of ``second_counts``."""
+    medians = exact_median(server_mtbe(log, tickets, inventory, windows, rows), ["failure_type", "window"], "mtbe")
     rows = medians.select("failure_type", "window", F.col("n").alias("n_sid"),
                           (F.col("median") / 60).alias("mtbe_minutes"))
-    return fill(rows, scaffold(log.sparkSession, windows, typed(tickets)), ["failure_type", "window"], ["n_sid"])
+    return fill(rows, scaffold(log.sparkSession, windows, other_types(tickets)), ["failure_type", "window"], ["n_sid"])
 
 
 UNKNOWN = "unknown"
@@ -210,7 +230,7 @@ def hardware_impact(log, tickets, inventory, factor, windows=WINDOWS, failures=N
     leads = _factor_leads(log, tickets, inventory, factor, leads).withColumn("level", _level(factor))
     wide = leads.groupBy("failure_type", "level").agg(*[_over(name, s) for name, s in windows.items()])
     rows = unpivot_windows(wide, ["failure_type", "level"], ["n_sid"], windows)
-    frame = scaffold(log.sparkSession, windows, typed(tickets)).crossJoin(F.broadcast(hardware_levels(inventory, factor)))
+    frame = scaffold(log.sparkSession, windows, other_types(tickets)).crossJoin(F.broadcast(hardware_levels(inventory, factor)))
     out = fill(rows, frame, ["failure_type", "window", "level"], ["n_sid"])
     out = out.join(F.broadcast(failures), "failure_type", "left")
     return out.withColumn("fraction", F.try_divide("n_sid", "n_failures"))

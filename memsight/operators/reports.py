@@ -25,12 +25,18 @@ def unpivot_windows(df: DataFrame, keys, prefixes, windows=WINDOWS) -> DataFrame
     return df.select(*keys, F.inline(F.array(*rows)))
 
 
-def scaffold(spark, windows=WINDOWS, found=None, **levels) -> DataFrame:
+def other_types(tickets: DataFrame) -> DataFrame:
+    """(failure_type): the positive types of tickets that are not among the published ones, mostly none."""
+    kind = F.col("failure_type").cast("long")
+    return tickets.filter((kind > 0) & ~kind.isin(list(FAILURE_TYPES))).select(kind.alias("failure_type")).distinct()
+
+
+def scaffold(spark, windows=WINDOWS, others=None, **levels) -> DataFrame:
     """A row for every (failure_type, window, level): the rows a finding prints, empty or not. The failure types are the
-    published ones and those of ``found``, typed tickets."""
+    published ones and those of ``others``."""
     df = spark.range(1).select(F.explode(F.array(*[F.lit(t).cast("long") for t in FAILURE_TYPES])).alias("failure_type"))
-    if found is not None:
-        df = df.union(found.select(F.col("failure_type").cast("long"))).distinct()
+    if others is not None:
+        df = df.union(others)
     if windows is not None:
         df = df.select("*", F.explode(F.array(*[F.lit(w) for w in windows])).alias("window"))
     for name, values in levels.items():

@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from memsight.constants import CELL_GAP, COMPONENTS, HARD_SPAN, MIN_ERRORS, WINDOWS
 from memsight.functions.topology import BANK, CELL, channelid, dimmid, socketid
 from memsight.operators.measure import _server_means, predictable_counts
-from memsight.operators.prepare import failure_rows, typed
-from memsight.operators.reports import fill, per_window, scaffold, unpivot_windows
+from memsight.operators.prepare import failure_rows
+from memsight.operators.reports import fill, other_types, per_window, scaffold, unpivot_windows
 
 SERVER = ["failure_type", "sid"]
 COARSE = COMPONENTS[:3]
@@ -31,22 +31,23 @@ def _sums(prefix, windows, source=None, when=None):
     return [F.sum(pick(F.col(f"{source}_{w}"))).alias(f"{prefix}_{w}") for w in windows]
 
 
-def _cell_gaps(log, tickets, inventory) -> DataFrame:
+def _cell_gaps(log, tickets, inventory, rows=None) -> DataFrame:
     """Errors per (ticket, cell, second) with the gap to the cell's previous error, 0 for repeats."""
     ticket_cell = [*SERVER, "failed_off", *CELL]
-    seconds = failure_rows(log, tickets, inventory, CELL).groupBy(*ticket_cell, "t", "td").agg(F.sum("n").alias("n"))
+    rows = failure_rows(log, tickets, inventory, CELL) if rows is None else rows
+    seconds = rows.groupBy(*ticket_cell, "t", "td").agg(F.sum("n").alias("n"))
     previous = F.lag("t").over(W.partitionBy(*ticket_cell).orderBy("t"))
     return seconds.withColumn("gap", F.when(F.col("n") > 1, 0).otherwise(F.col("t") - previous))
 
 
-def fine_classes(log, tickets, inventory, windows=WINDOWS, cell_gap=CELL_GAP) -> DataFrame:
+def fine_classes(log, tickets, inventory, windows=WINDOWS, cell_gap=CELL_GAP, rows=None) -> DataFrame:
     """Row, column, cell and random groups, as if no bank or coarser group were faulty.
 
     A row of the result is a faulty row (``row_no``), a column group (``col_no``) or a single cell.
     ``all_*`` are its errors before each window, ``own_*`` those that take its class: an error
     without a row or column number follows the faulty groups it belongs to but is no cell.
     """
-    gaps = _cell_gaps(log, tickets, inventory)
+    gaps = _cell_gaps(log, tickets, inventory, rows)
     has_row, has_col = F.col("row_no").isNotNull(), F.col("col_no").isNotNull()
 
     # rows: more than one column is a row fault; without a row number every column stays apart
@@ -111,13 +112,14 @@ def _bank_classes(fine: DataFrame, windows, min_errors) -> DataFrame:
     return banks.repartition(*SERVER).withColumn("coarse", coarse)
 
 
-def component_breakdown(log, tickets, inventory, windows=WINDOWS, min_errors=MIN_ERRORS, cell_gap=CELL_GAP) -> DataFrame:
+def component_breakdown(log, tickets, inventory, windows=WINDOWS, min_errors=MIN_ERRORS, cell_gap=CELL_GAP, rows=None) -> DataFrame:
     """Errors and servers per (failure_type, window, component).
 
     The class of an error is decided over all errors of its failure type, before the window is
-    applied. Errors that are neither cell nor random (no row or column number) are not reported.
+    applied. Errors that are neither cell nor random (no row or column number) are not reported. ``rows``: of
+    ``second_counts``.
     """
-    banks = _bank_classes(fine_classes(log, tickets, inventory, windows, cell_gap), windows, min_errors)
+    banks = _bank_classes(fine_classes(log, tickets, inventory, windows, cell_gap, rows), windows, min_errors)
     faulty = F.col("coarse").isNotNull()
     picked = banks.select(
         *SERVER, F.coalesce("coarse", "component").alias("component"),
@@ -127,7 +129,7 @@ def component_breakdown(log, tickets, inventory, windows=WINDOWS, min_errors=MIN
         *_sums("n_ce", windows, "n"), *[F.count_if(F.col(f"n_{w}") > 0).alias(f"n_sid_{w}") for w in windows])
     keys = ["failure_type", "component"]
     rows = unpivot_windows(wide, keys, ["n_ce", "n_sid"], windows)
-    frame = scaffold(log.sparkSession, windows, typed(tickets), component=COMPONENTS)
+    frame = scaffold(log.sparkSession, windows, other_types(tickets), component=COMPONENTS)
     return fill(rows, frame, [*keys, "window"], ["n_ce", "n_sid"])
 
 
@@ -196,8 +198,8 @@ def error_breakdown(log, tickets, inventory, windows=WINDOWS, errors=None, parts
     return out.withColumn("fraction", F.try_divide("n_ce", "n_errors"))
 
 
-def _hard_cells(log, tickets, inventory, windows, hard_span):
-    rows = failure_rows(log, tickets, inventory, CELL)
+def _hard_cells(log, tickets, inventory, windows, hard_span, rows=None):
+    rows = failure_rows(log, tickets, inventory, CELL) if rows is None else rows
     return rows.groupBy(*SERVER, *CELL).agg(
         F.sum("n").alias("n"), *per_window(F.col("n"), "n", windows),
         (F.max("t") - F.min("t") > hard_span).alias("is_hard"))
@@ -209,9 +211,9 @@ def hard_cells(log, tickets, inventory, hard_span=HARD_SPAN) -> DataFrame:
     return cells.groupBy("sid", *CELL).agg(F.max("is_hard").alias("is_hard"), F.sum("n").alias("n_errors"))
 
 
-def mean_hard_soft(log, tickets, inventory, windows=WINDOWS, hard_span=HARD_SPAN) -> DataFrame:
-    """Mean errors on hard and on soft cells per failed server before each window."""
-    cells = _hard_cells(log, tickets, inventory, windows, hard_span)
+def mean_hard_soft(log, tickets, inventory, windows=WINDOWS, hard_span=HARD_SPAN, rows=None) -> DataFrame:
+    """Mean errors on hard and on soft cells per failed server before each window. ``rows``: of ``second_counts``."""
+    cells = _hard_cells(log, tickets, inventory, windows, hard_span, rows)
     per_server = cells.groupBy(*SERVER).agg(
         *_sums("hard", windows, "n", F.col("is_hard")), *_sums("soft", windows, "n", ~F.col("is_hard")))
     return _server_means(per_server, tickets, ["hard", "soft"], windows)

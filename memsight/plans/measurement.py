@@ -12,27 +12,29 @@ from memsight.sources.stores import write_report
 def findings(log, tickets, inventory, **thresholds) -> dict:
     """Report name -> DataFrame.
 
-    What several reports need is computed once and staged: the leads of failed servers with their hardware (one row a
-    server and type), the component breakdown (one row a type, window and class), errors by server, and error kinds.
-    The reports are arithmetic on these; only the median of times between errors and the hard cells scan the log again."""
+    The log is scanned twice: for the months in which servers have errors, and for the errors of failed servers, joined with
+    their tickets and counted per cell and second. Both are staged; the leads of failed servers with their hardware, the
+    component breakdown and the errors by server are staged aggregates of the second, and the reports are arithmetic on these."""
     inputs = (log, tickets, inventory)
-    leads = stage(measure.lead_times(*inputs, FACTORS))
-    parts = stage(spatial.component_breakdown(*inputs, **thresholds))
-    counts = stage(measure.server_errors(*inputs))
+    months = stage(measure.error_months(log, inventory))
+    rows = stage(measure.second_counts(*inputs))
+    leads = stage(measure.lead_times(*inputs, FACTORS, rows))
+    parts = stage(spatial.component_breakdown(*inputs, rows=rows, **thresholds))
+    counts = stage(measure.server_errors(*inputs, rows=rows))
     errors = counts.groupBy("failure_type").agg(F.sum("n_all").alias("n_errors"))
     predictable = measure.predictable_counts(*inputs, leads=leads)
     out = {
-        "overall_distribution": measure.monthly_rates(*inputs),
-        "overall_distribution_total": measure.overall_rates(*inputs),
+        "overall_distribution": measure.monthly_rates(*inputs, months_of=months),
+        "overall_distribution_total": measure.overall_rates(*inputs, months_of=months),
         "predictable_analysis": measure.predictable_fraction(*inputs, leads=leads),
         "num_ce_analysis": measure.mean_errors(*inputs, counts=counts),
-        "mtbe_analysis": measure.median_mtbe(*inputs),
+        "mtbe_analysis": measure.median_mtbe(*inputs, rows=rows),
         "component_breakdown": parts,
         "frac_failure_per_component_5m": spatial.failure_share(*inputs, predictable=predictable, parts=parts),
         "frac_ce_per_component_5m": spatial.error_share(*inputs, parts=parts),
         "failures_breakdown": spatial.error_breakdown(*inputs, errors=errors, parts=parts),
         "read_scrub_error_mean": measure.mean_read_scrub(*inputs, counts=counts),
-        "hard_soft_error_mean": spatial.mean_hard_soft(*inputs),
+        "hard_soft_error_mean": spatial.mean_hard_soft(*inputs, rows=rows),
     }
     for factor in FACTORS:
         out[f"{factor}_breakdown"] = measure.hardware_impact(*inputs, factor, leads=leads)

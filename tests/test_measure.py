@@ -150,3 +150,28 @@ def test_levels_outside_the_list_are_reported(spark):
     assert numbers["D9"] == 1 and set(numbers) == set(rates)
     impact = [r for r in measure.hardware_impact(*inputs).collect() if r.level == "D9" and r.window == "5m" and r.failure_type == 1]
     assert [(r.n_sid, r.fraction) for r in impact] == [(1, .5)]
+
+
+def test_published_counts_can_be_passed(spark):
+    """The fixed counts of the original fleet in place of those of the inputs."""
+    from memsight import constants
+    from memsight.operators import evaluate, measure, spatial
+
+    log = make_log(spark, [(1, 3, 0, 0, r, 1, 1, off(3, 1) + 100 * r) for r in range(6)])
+    inventory, tickets = make_inventory(spark, [(1, "A1", 8, "M1")]), make_tickets(spark, [(1, off(3, 9), 2)])
+    inputs = log, tickets, inventory
+    total = measure.overall_rates(*inputs, constants.PUBLISHED_MONTHLY_SERVERS, constants.PUBLISHED_TOTAL_SERVERS).first()
+    assert total["overall_error_rate"] == 1 / constants.PUBLISHED_TOTAL_SERVERS
+    errors = measure.constant_by_type(spark, constants.PUBLISHED_ERRORS, "n_errors")
+    column = {(r["failure_type"], r["window"], r["component"]): r for r in spatial.error_breakdown(*inputs, errors=errors, min_errors=1000).collect()}
+    assert column[2, "5m", "column"]["fraction"] == 6 / constants.PUBLISHED_ERRORS[2]
+    rows = [(t, w, n) for t, own in constants.PUBLISHED_PREDICTABLE.items() for w, n in zip(constants.WINDOWS, own)]
+    predictable = spark.createDataFrame(rows, "failure_type long, window string, n_sid long")
+    shares = {(r["failure_type"], r["component"]): r["fraction"] for r in spatial.failure_share(*inputs, predictable=predictable).collect()}
+    assert shares[2, "column"] == 1 / constants.PUBLISHED_PREDICTABLE[2][1]
+    known = spark.createDataFrame([(t + 1, s, n) for s, own in constants.PUBLISHED_POSITIVES.items() for t, n in enumerate(own)],
+                                  "failure_type int, split int, positives long")
+    scored = spark.createDataFrame([(1, 2, s, 1, int(s < 40), .9 if s < 43 else .1) for s in range(1043)],
+                                   "failure_type int, split int, sid long, t_predict long, class int, pred double")
+    best = evaluate.best_threshold(scored, ["failure_type", "split"], known).first()
+    assert best["tp"] == 40 and best["fn"] == constants.PUBLISHED_POSITIVES[2][0] - 40
