@@ -70,3 +70,12 @@ def test_files_of_different_headers_are_refused(spark, tmp_path):
     (folder / "b.csv").write_text(head.format("col,row") + "0001-05-29 10:00:00,7,3,0,1,5,6,1\n")
     with pytest.raises(Exception):
         tables.read_error_log(spark, str(folder)).collect()
+
+
+def test_the_csv_copy_has_files_by_the_number_of_rows(spark, monkeypatch):
+    from checks import fixture
+
+    counted = []
+    monkeypatch.setattr(fixture, "tasks", lambda rows: counted.append(rows.count()) or 11)
+    path = fixture.as_csv(spark, "/root/testdata/sf0.001", "mcelog")
+    assert counted == [6000] and len(spark.read.csv(path).inputFiles()) == 11
