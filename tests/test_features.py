@@ -6,9 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from memsight.constants import COMPONENTS, FREQUENCIES
-from memsight.operators import features, labels, windows
+from memsight.operators import features, labels, rolling, windows
 from memsight.operators.rolling import component_features
 from memsight.plans.features import feature_table, generate_features
+from memsight.session import stage, tasks
 from memsight.sources.stores import read_features
 from tests.helpers import cascade, clock, located, make_inventory, make_log, off
 
@@ -149,3 +150,20 @@ def test_windows_that_the_grid_cannot_hold_are_refused(spark):
     for options in ({"recent": 900}, {"lookback": 86400 + 1}):
         with pytest.raises(ValueError):
             windows.cell_windows(log, 300, [3], **options)
+
+
+def test_shuffles_are_dealt_by_the_number_of_rows(spark, monkeypatch):
+    """Partitions of the wide shuffles follow the counted rows, whatever adaptive execution makes of their bytes."""
+    assert tasks(spark.range(1000), 10) == 100
+    assert tasks(spark.range(1000), 10 ** 6) == spark.sparkContext.defaultParallelism
+    rows = [(1 + i % 3, i % 5, 0, i % 4, i % 7, i % 11, 1 + i % 2, off(6, 1 + i % 9) + 60 * i) for i in range(400)]
+    found = []
+    for n in (2, 29):
+        for module in (windows, rolling, features):
+            monkeypatch.setattr(module, "tasks", lambda df, n=n: n)
+        cells = stage(windows.cell_windows(make_log(spark, rows), 3600, [6]))
+        tables = {"rolling": component_features(cells, 3600, min_errors=10), "counts": features.statistical_features(cells)}
+        plans = {name: df._jdf.queryExecution().toString() for name, df in tables.items()}
+        assert plans["rolling"].count(f", {n}), REPARTITION_BY_NUM") >= 4 and f", {n}), REPARTITION_BY_NUM" in plans["counts"]
+        found.append({name: sorted(tuple(round(v, 9) for v in r) for r in df.collect()) for name, df in tables.items()})
+    assert found[0] == found[1] and all(found[0].values())
