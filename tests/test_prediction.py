@@ -378,3 +378,16 @@ def test_a_score_that_is_not_finite_raises(spark, noisy):
     test = noisy.select("sid", "t_predict", F.array(F.struct("failure_type", "split", F.col("class").cast("int").alias("class"))).alias("uses"), "values")
     with pytest.raises(Exception, match="not finite"):
         experiments.score_grid(test, {(1, 1): scorer})
+
+
+def test_an_experiment_on_some_cells_stages_no_others(spark):
+    rows = [(100 * month + s, f"p{k}", off(month, 10) - 600 * k, month, "5m", 1) for month in range(1, 9) for s in range(6) for k in (1, 2)]
+    df = spark.createDataFrame(rows, "sid long, predict_time string, t_predict long, month int, freq string, n int")
+    df = df.select("*", *[F.col("n").alias(c) for c in feature_columns()])
+    tickets = make_tickets(spark, [(100 * month + s, off(month, 10), 1 + s) for month in range(1, 9) for s in range(3)])
+    data = experiments.Data({"5m": df}, tickets)
+    train, test, learnable = experiments._staged(data, "5m", [(1, 1), (2, 1)])
+    assert {(r.failure_type, r.split) for r in train.select("failure_type", "split").distinct().collect()} == {(1, 1), (2, 1)} == learnable
+    assert {(r.failure_type, r.split) for r in test.select(F.inline("uses")).collect()} == {(1, 1), (2, 1)}
+    experiments._staged(data, "5m", [(2, 1), (1, 1)])
+    assert len(data.staged) == 1
