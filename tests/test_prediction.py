@@ -391,3 +391,14 @@ def test_an_experiment_on_some_cells_stages_no_others(spark):
     assert {(r.failure_type, r.split) for r in test.select(F.inline("uses")).collect()} == {(1, 1), (2, 1)}
     experiments._staged(data, "5m", [(2, 1), (1, 1)])
     assert len(data.staged) == 1
+
+
+def test_large_fits_run_one_by_one(spark, noisy, monkeypatch):
+    """Each fit caches its rows: those that run at a time have FIT_BYTES of rows together."""
+    assert models.threads([1]) == models.THREADS
+    assert models.threads([5, models.FIT_BYTES // 3]) == 3 and models.threads([10 * models.FIT_BYTES]) == 1
+    pools, pool = [], models.ThreadPoolExecutor
+    monkeypatch.setattr(models, "ThreadPoolExecutor", lambda n: pools.append(n) or pool(n))
+    monkeypatch.setattr(models, "FIT_BYTES", 1)
+    points = {(c,): [{"c": 0.1}] for c in (1, 2)}
+    assert set(models.fit_cells("LR", points, noisy, ["failure_type"])) == set(points) and pools[0] == 1
