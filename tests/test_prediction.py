@@ -402,3 +402,25 @@ def test_large_fits_run_one_by_one(spark, noisy, monkeypatch):
     monkeypatch.setattr(models, "FIT_BYTES", 1)
     points = {(c,): [{"c": 0.1}] for c in (1, 2)}
     assert set(models.fit_cells("LR", points, noisy, ["failure_type"])) == set(points) and pools[0] == 1
+
+
+def test_a_pass_of_the_bags_equals_its_sums_row_by_row(spark):
+    """Loss and gradient of every machine of two cells, against plain sums; values travel packed, rows in no bag not at all."""
+    rng = np.random.default_rng(3)
+    rows = [(c, f"s{i}", i, float(rng.integers(2)), rng.normal(size=3).tolist()) for c in range(2) for i in range(90)]
+    train = spark.createDataFrame(rows, "cell int, sid string, t_predict long, class double, values array<double>")
+    drawn = bags.draw(train, [4, 2])
+    assert dict(drawn.dtypes)["values"] == "binary"
+    held = [(r.cell, 1.0 if r.positive else -1.0, np.frombuffer(r["values"]), r.bags) for r in drawn.collect()]
+    assert 0 < len(held) < len(rows) and all(b for *_, b in held)
+    assert {tuple(x) for _, _, x, _ in held} <= {tuple(v) for *_, v in rows}
+    weights, scale = rng.normal(size=(12, 4)), rng.uniform(.5, 2, size=(2, 3))
+    want = np.zeros((12, 6))
+    for c, y, x, own in held:
+        for b in own:
+            z = np.r_[x / scale[c], 1]
+            gap = max(0, 1 - y * (z @ weights[c * 6 + b]))
+            want[c * 6 + b] += np.r_[1, gap * gap, -2 * gap * y * z]
+    n, loss, gradient = bags._pass(drawn, weights, scale)
+    assert (n == want[:, 0]).all() and (n > 0).all()
+    assert np.allclose(loss, want[:, 1] / n) and np.allclose(gradient, want[:, 2:] / n[:, None])
