@@ -424,3 +424,12 @@ def test_a_pass_of_the_bags_equals_its_sums_row_by_row(spark):
     n, loss, gradient = bags._pass(drawn, weights, scale)
     assert (n == want[:, 0]).all() and (n > 0).all()
     assert np.allclose(loss, want[:, 1] / n) and np.allclose(gradient, want[:, 2:] / n[:, None])
+
+
+def test_forests_keep_the_nodes_rows_have_reached(noisy):
+    """Deep trees are not walked from the root at every level; they are the same trees."""
+    estimator, = models._fits("RF", [{"trees": 5, "depth": 50, "min_split": 5}], 100, 4)
+    assert estimator.getCacheNodeIds()
+    rows = in_cell(noisy, 2)
+    kept, walked = (estimator.copy({estimator.cacheNodeIds: keep}).fit(rows) for keep in (True, False))
+    assert [t.toDebugString.split("\n", 1)[1] for t in kept.trees] == [t.toDebugString.split("\n", 1)[1] for t in walked.trees]
