@@ -433,3 +433,14 @@ def test_forests_keep_the_nodes_rows_have_reached(noisy):
     rows = in_cell(noisy, 2)
     kept, walked = (estimator.copy({estimator.cacheNodeIds: keep}).fit(rows) for keep in (True, False))
     assert [t.toDebugString.split("\n", 1)[1] for t in kept.trees] == [t.toDebugString.split("\n", 1)[1] for t in walked.trees]
+
+
+def test_a_fit_has_partitions_for_its_rows(spark, monkeypatch, tmp_path):
+    """Rows of one file, read as one partition, are dealt by their number; few rows are merged."""
+    path = str(tmp_path / "rows")
+    spark.range(1000).selectExpr("id AS sid", "id AS t_predict").coalesce(1).write.parquet(path)
+    rows = spark.read.parquet(path)
+    monkeypatch.setattr(models, "ROWS", 50)
+    assert rows.rdd.getNumPartitions() < 20 and models._dealt(rows, 1000).rdd.getNumPartitions() == 20
+    monkeypatch.setattr(models, "ROWS", 50_000)
+    assert models._dealt(spark.range(0, 1000, 1, 8).selectExpr("id AS sid", "id AS t_predict"), 1000).rdd.getNumPartitions() == 1
