@@ -79,3 +79,13 @@ def test_the_csv_copy_has_files_by_the_number_of_rows(spark, monkeypatch):
     monkeypatch.setattr(fixture, "tasks", lambda rows: counted.append(rows.count()) or 11)
     path = fixture.as_csv(spark, "/root/testdata/sf0.001", "mcelog")
     assert counted == [6000] and len(spark.read.csv(path).inputFiles()) == 11
+
+
+def test_feature_store_is_written_by_the_number_of_rows(spark, tmp_path, monkeypatch):
+    """Rows that are read as one partition are dealt to tasks in the order of the directories, not sorted in one."""
+    monkeypatch.setattr(stores, "tasks", lambda rows: 6)
+    rows = spark.range(600).selectExpr("id AS sid", "'5m' AS freq", "CAST(6 + id % 2 AS int) AS month").coalesce(1)
+    stores.write_features(rows, str(tmp_path))
+    files = sorted(p.name for p in tmp_path.glob("freq=5m/month=*/part-*"))
+    assert 6 <= len(files) <= 8 and len({name.split("-")[1] for name in files}) == 6
+    assert stores.read_features(spark, str(tmp_path), "5m", [6, 7]).count() == 600
