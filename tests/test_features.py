@@ -167,3 +167,36 @@ def test_shuffles_are_dealt_by_the_number_of_rows(spark, monkeypatch):
         assert plans["rolling"].count(f", {n}), REPARTITION_BY_NUM") >= 4 and f", {n}), REPARTITION_BY_NUM" in plans["counts"]
         found.append({name: sorted(tuple(round(v, 9) for v in r) for r in df.collect()) for name, df in tables.items()})
     assert found[0] == found[1] and all(found[0].values())
+
+
+def test_a_month_without_windows_has_no_lookback(spark):
+    """A server's rows serve the month after theirs only if it has errors there; the features of the others are the same."""
+    rows = [(1, 3, 0, 0, 5, c, 1, off(5, 20) + 60 * c) for c in range(20)] + [(1, 3, 0, 0, 5, 1, 1, off(6, 3) + 3500)]
+    alone = [(2, 3, 0, 0, 5, c, 1, off(5, 20) + 60 * c) for c in range(20)]
+    cells = windows.cell_windows(make_log(spark, rows + alone), 3600, [5, 6])
+    assert {(r.sid, r.month) for r in cells.select("sid", "month").distinct().collect()} == {(1, 5), (1, 6), (2, 5)}
+    found = {(r.sid, r.rb): r.asDict() for r in component_features(cells, 3600, min_errors=10).filter("month = 6").collect()}
+    (key, values), = found.items()
+    assert key[0] == 1 and sum(v for k, v in values.items() if k.startswith("5min_")) == 1
+
+
+def test_servers_of_any_number_keep_their_lookback(spark, monkeypatch):
+    """Broadcast or joined in parts, the months of the servers leave the same cells; so does a log with rows without a server."""
+    log = make_log(spark, synthetic(11, 200) + [(None, 3, 0, 0, 5, 1, 1, off(5, 2)), (None, 3, 0, 0, 5, 1, 1, off(6, 2))])
+    found = []
+    for small in (True, False):
+        monkeypatch.setattr(windows, "is_small", lambda *_, small=small: small)
+        found.append(sorted(map(str, windows.cell_windows(log, 3600, [5, 6]).collect())))
+    assert found[0] == found[1] and any("sid=None" in r for r in found[0])
+
+
+def test_equal_counts_are_combined_before_the_median(spark):
+    """Windows with many groups of few distinct counts, against plain statistics; no aggregation holds a window's counts."""
+    rows = [(1, 3, 0, 0, r, c, 1, off(6, 2) + 10 * c) for r in range(9) for c in range(13) for _ in range(1 + (r * c) % 4)]
+    table = features.statistical_features(windows.cell_windows(make_log(spark, rows), 86400, [6]))
+    counts = sorted(Counter((r[4], r[5]) for r in rows).values())
+    got = table.first()
+    assert got["5min_cell_count"] == len(counts) and got["5min_cell_median"] == statistics.median(counts)
+    assert got["5min_cell_mean"] == pytest.approx(statistics.mean(counts))
+    assert got["5min_cell_std"] == pytest.approx(statistics.stdev(counts))
+    assert "ObjectHashAggregate" not in table._jdf.queryExecution().executedPlan().toString()
