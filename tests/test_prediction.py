@@ -280,6 +280,24 @@ def test_rounds_of_boosting_are_prefixes(noisy):
     assert np.allclose(both.kernel.probabilities(x)[:, 0], few.kernel.probabilities(x)[:, 0])
 
 
+def test_boosted_trees_take_equal_rows_as_one(spark, noisy, monkeypatch):
+    """Each row 3 or 20 times: the fit sees few rows, and is that of all of them."""
+    many = noisy.withColumn("copy", F.explode(F.sequence(F.lit(1), F.when(F.col("sid") % 3 == 0, 20).otherwise(3)))).cache()
+    seen, fit = [], models.GBTClassifier.fit
+    monkeypatch.setattr(models.GBTClassifier, "fit", lambda self, rows: seen.append(rows) or fit(self, rows))
+    params, by = {"trees": 6, "depth": 3, "leaves": 8}, ["failure_type", "split"]
+    scorer = models.fit_cells("GBDT", {(1, 1): [params], (2, 1): [params]}, many, by)
+    for rows in seen:
+        assert rows.count() == 200 + 100 * 3
+        assert rows.agg(F.sum("weight")).first()[0] == pytest.approx(200 * 3 + 100 * 20) and rows.agg(F.max("weight")).first()[0] <= models.PIECE
+    plain = models._fits("GBDT", [params], 1, 4)[0].copy()
+    for t in (1, 2):
+        rows = in_cell(many, t)
+        x = np.array([r.features.toArray() for r in in_cell(noisy, t).collect()])
+        want = models._scorer(spark, "GBDT", [params], [fit(plain, rows.withColumn("weight", F.lit(1.0)))])
+        assert np.allclose(scorer[t, 1].kernel.probabilities(x), want.kernel.probabilities(x))
+
+
 def test_bags_of_all_cells_are_fitted_together(spark, noisy, monkeypatch):
     """As each cell alone, with as many jobs whatever the number of bags; near the least loss."""
     by = ["failure_type", "split"]
