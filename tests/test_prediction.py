@@ -8,7 +8,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from memsight.operators import bags, evaluate, kernels, labels, models
+from memsight.operators import bags, evaluate, kernels, labels, models, networks
 from memsight.operators.features import feature_columns
 from memsight.plans import experiments
 from tests.helpers import make_inventory, make_log, make_tickets, off
@@ -298,6 +298,42 @@ def test_boosted_trees_take_equal_rows_as_one(spark, noisy, monkeypatch):
         assert np.allclose(scorer[t, 1].kernel.probabilities(x), want.kernel.probabilities(x))
 
 
+def test_networks_of_all_cells_are_fitted_together(spark, noisy, monkeypatch):
+    """One job a pass whatever the number of networks, over equal rows as one; the loss is that of Spark ML's own fit of each, or less."""
+    even = F.transform("values", lambda v, i: F.when(i == 1, v / 1000).otherwise(v))   # features of very unlike sizes have many local minima
+    many = noisy.withColumn("values", even).withColumn("copy", F.explode(F.sequence(F.lit(1), F.when(F.col("sid") % 3 == 0, 3).otherwise(1))))
+    many = many.drop("copy").cache()
+    passes, run, fit, seen = [], networks._pass, models.MultilayerPerceptronClassifier.fit, []
+    monkeypatch.setattr(networks, "_pass", lambda rows, nets, trial, sizes: passes.append((len(trial), rows.count())) or run(rows, nets, trial, sizes))
+    monkeypatch.setattr(models.MultilayerPerceptronClassifier, "fit", lambda self, rows: seen.append(self.getMaxIter()) or fit(self, rows))
+    points, by = [{"layers": n, "neurons": 3} for n in (1, 20)], ["failure_type", "split"]
+    found = models.fit_cells("MLP", {(1, 1): points, (2, 1): points}, many, by)
+    assert set(seen) == {0} and passes[0] == (4, 600) and len(passes) < 2 * networks.ITERATIONS and passes[-1][0] < 4
+    for t in (2,):
+        rows = in_cell(many, t)
+        held = rows.collect()
+        x, positive = np.array([r.features.toArray() for r in held]), np.array([r["class"] == 1 for r in held])
+        for i, layers in enumerate(([4, 3, 2], [4, *[3] * 20, 2])):
+            def loss(w):
+                sums = np.zeros(1 + len(w))
+                networks.add_loss(w, layers, x, positive, np.ones(len(x)), sums)
+                return sums / len(x)
+            theirs = fit(models.MultilayerPerceptronClassifier(labelCol="class", layers=layers, seed=models.SEED), rows)
+            assert found[t, 1].fitted[i].getLayers() == layers
+            assert loss(found[t, 1].fitted[i].weights.toArray())[0] <= loss(theirs.weights.toArray())[0] + 0.01
+            w = np.random.default_rng(2).normal(size=len(theirs.weights.toArray()))
+            for j in range(0, len(w), 7):
+                e = 1e-6 * (np.arange(len(w)) == j)
+                assert loss(w)[1 + j] == pytest.approx((loss(w + e)[0] - loss(w - e)[0]) / 2e-6, abs=1e-6)
+
+
+def test_networks_refuse_what_is_not_finite(spark):
+    rows = [(i, 1, float(i % 2), [float("nan") if i == 3 else float(i)]) for i in range(20)]
+    train = spark.createDataFrame(rows, "sid long, t_predict long, class double, values array<double>")
+    with pytest.raises(ArithmeticError):
+        models.fit_cells("MLP", {(): [{"layers": n, "neurons": 2} for n in (1, 2)]}, train)
+
+
 def test_bags_of_all_cells_are_fitted_together(spark, noisy, monkeypatch):
     """As each cell alone, with as many jobs whatever the number of bags; near the least loss."""
     by = ["failure_type", "split"]
