@@ -27,3 +27,23 @@ def test_staged_folders_go_with_their_owner(spark):
         inside = set(os.listdir(folder))
     kept = session.stage(spark.range(3))
     assert len(inside - set(os.listdir(folder))) == 1 and kept.count() == 3
+
+
+def _shuffle_files(spark):
+    env = spark._jvm.org.apache.spark.SparkEnv.get()
+    files = env.blockManager().diskBlockManager().getAllFiles()
+    return {str(files.apply(i).getName()) for i in range(files.size()) if str(files.apply(i).getName()).startswith("shuffle_")}
+
+
+def test_shuffle_files_of_what_is_staged_go(spark):
+    before, setting = _shuffle_files(spark), spark.conf.get(session.CLEANUP_CONF, None)
+    kept = session.stage(spark.range(1000).selectExpr("id % 7 AS k", "id").repartition(3, "k"))
+    assert not _shuffle_files(spark) - before and spark.conf.get(session.CLEANUP_CONF, None) == setting
+    assert kept.agg({"id": "sum"}).first()[0] == 499500
+
+
+def test_what_a_staged_result_is_made_of_goes(spark):
+    folder = session.shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    made = session.stage_made(spark, lambda: session.stage(spark.range(5)).union(session.stage(spark.range(3))))
+    assert len(set(os.listdir(folder)) - before) == 1 and made.count() == 8
