@@ -8,7 +8,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from memsight.operators import bags, evaluate, kernels, labels, models, networks
+from memsight.operators import bags, evaluate, forests, kernels, labels, models, networks
 from memsight.operators.features import feature_columns
 from memsight.plans import experiments
 from tests.helpers import make_inventory, make_log, make_tickets, off
@@ -498,3 +498,63 @@ def test_a_fit_has_partitions_for_its_rows(spark, monkeypatch, tmp_path):
     assert rows.rdd.getNumPartitions() < 20 and models._dealt(rows, 1000).rdd.getNumPartitions() == 20
     monkeypatch.setattr(models, "ROWS", 50_000)
     assert models._dealt(spark.range(0, 1000, 1, 8).selectExpr("id AS sid", "id AS t_predict"), 1000).rdd.getNumPartitions() == 1
+
+
+def test_a_tree_counts_the_rows_that_were_drawn():
+    """Every node's rows, by a walk of all drawn rows; no split is missed that a plain search over the drawn features finds."""
+    rng = np.random.default_rng(5)
+    x, weight = rng.integers(0, 6, (400, 3)).astype(np.uint8), rng.integers(1, 4, 400)
+    positive = (rng.random(400) < x[:, 0] / 6).astype(np.uint8)
+    drawn = np.random.default_rng([42, 1]).poisson(weight)
+    feature, limit, left, right, counts = forests.grow(x, positive, weight, 6, [42, 1], 30)
+    at, depth = [(0, np.flatnonzero(drawn))], 0
+    while at:
+        following = []
+        for node, rows in at:
+            assert counts[node].tolist() == np.bincount(positive[rows], drawn[rows], 2).tolist()
+            if feature[node] >= 0:
+                low = x[rows, feature[node]] <= limit[node]
+                assert 0 < low.sum() < len(rows) and node < left[node]
+                following += [(left[node], rows[low]), (right[node], rows[~low])]
+                sisters = left[node], right[node]
+                says = [counts[s][1] > counts[s][0] for s in sisters]
+                assert says[0] != says[1] or any(feature[s] >= 0 for s in sisters)   # else they are one leaf
+        at, depth = following, depth + 1
+    assert depth > 4
+    shallow = forests.grow(x, positive, weight, 6, [42, 1], 2, 50)
+    assert len(shallow[0]) <= 7 and all(shallow[4][i].sum() >= 50 for i in np.flatnonzero(shallow[0] >= 0))
+
+
+def test_limits_are_between_values_or_at_even_steps():
+    assert forests.limits([3, 1, 1, 5]).tolist() == [2, 4] and forests.limits([7, 7]).tolist() == []
+    even = forests.limits(np.arange(3200) // 10)
+    assert len(even) == forests.BINS - 1 and np.allclose(np.diff(even), 10)
+
+
+def test_grids_of_forests_are_grown_together(spark, noisy, monkeypatch):
+    """No Spark ML fit on the rows; equal rows are one with a weight; a cell grown beside others is the same as alone, and near Spark ML's."""
+    plain = models._fits("RF", [{"trees": 60, "depth": 6, "min_split": 2}], 300, 4)[0].fit(in_cell(noisy, 1))
+    many = noisy.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(5)))).drop("copy").cache()
+    seen, fit = [], models.RandomForestClassifier.fit
+    monkeypatch.setattr(models.RandomForestClassifier, "fit", lambda self, rows: seen.append(rows.count()) or fit(self, rows))
+    sizes, real = [], forests._grown
+    monkeypatch.setattr(forests, "_grown", lambda plan, n, *rest: sizes.append(n) or real(plan, n, *rest))
+    by, points = ["failure_type", "split"], models.parameter_space({"trees": [60], "depth": [6], "min_split": [2, 40]})
+    both = models.fit_cells("RF", {(1, 1): points, (2, 1): points}, noisy, by)
+    alone = models.fit_cells("RF", {(2, 1): points}, noisy, by)
+    models.fit_cells("RF", {(1, 1): points}, many, by)
+    assert not seen and max(sizes[2].values()) <= 300
+    x = np.array([r.features.toArray() for r in in_cell(noisy, 1).collect()])
+    assert (both[2, 1].kernel.probabilities(x) == alone[2, 1].kernel.probabilities(x)).all()
+    theirs = np.array([r.p for r in plain.transform(in_cell(noisy, 1)).select(vector_to_array("probability")[1].alias("p")).collect()])
+    ours = both[1, 1].kernel.probabilities(x)[:, 0]
+    assert abs(ours - theirs).mean() < 0.06 and np.corrcoef(ours, theirs)[0, 1] > 0.95
+    monkeypatch.setattr(forests, "BYTES", 1)   # rows that no task can hold are left to Spark ML
+    assert set(models.fit_cells("RF", {(1, 1): points}, noisy, by)) == {(1, 1)} and seen == [300]
+
+
+def test_forests_refuse_what_is_not_finite(spark):
+    rows = [(i, 1, float(i % 2), [float("nan") if i == 3 else float(i)]) for i in range(20)]
+    train = spark.createDataFrame(rows, "sid long, t_predict long, class double, values array<double>")
+    with pytest.raises(Exception, match="not finite"):
+        models.fit_cells("RF", {(): [{"trees": 3, "depth": 3, "min_split": n} for n in (2, 5)]}, train)
