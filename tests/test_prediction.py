@@ -1,4 +1,5 @@
 import hashlib
+import pickle
 import random
 from collections import Counter
 
@@ -558,3 +559,12 @@ def test_forests_refuse_what_is_not_finite(spark):
     train = spark.createDataFrame(rows, "sid long, t_predict long, class double, values array<double>")
     with pytest.raises(Exception, match="not finite"):
         models.fit_cells("RF", {(): [{"trees": 3, "depth": 3, "min_split": n} for n in (2, 5)]}, train)
+
+
+def test_trees_travel_without_the_values_of_all_shapes(noisy):
+    """The columns of a grid's shapes are made where rows are scored."""
+    points = models.parameter_space({"trees": [9], "depth": [2, 4, 6], "min_split": [2, 20, 40]})
+    trees = models.fit_cells("RF", {(1, 1): points}, noisy, ["failure_type", "split"])[1, 1].kernel.trees
+    before = len(pickle.dumps(trees))
+    assert trees.values.shape == (len(trees.feature), 9) and len(pickle.dumps(trees)) == before
+    assert (pickle.loads(pickle.dumps(trees)).values == trees.values).all()
