@@ -568,3 +568,15 @@ def test_trees_travel_without_the_values_of_all_shapes(noisy):
     before = len(pickle.dumps(trees))
     assert trees.values.shape == (len(trees.feature), 9) and len(pickle.dumps(trees)) == before
     assert (pickle.loads(pickle.dumps(trees)).values == trees.values).all()
+
+
+def test_machines_are_fitted_where_their_rows_are(noisy, monkeypatch):
+    """No pass over all rows, and the weights that joint passes give; bags that no task can hold take these."""
+    by, passes, run = ["failure_type", "split"], [], bags._pass
+    monkeypatch.setattr(bags, "_pass", lambda *a: passes.append(1) or run(*a))
+    own = bags.fit_bags(noisy, [4, 7], by)
+    assert not passes
+    monkeypatch.setattr(bags, "BYTES", 1)
+    joint = bags.fit_bags(noisy, [4, 7], by)
+    assert passes and set(own) == set(joint)
+    assert all(np.allclose(own[c][n], joint[c][n], rtol=1e-3, atol=1e-3) for c in own for n in (4, 7))
