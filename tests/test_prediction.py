@@ -580,3 +580,19 @@ def test_machines_are_fitted_where_their_rows_are(noisy, monkeypatch):
     joint = bags.fit_bags(noisy, [4, 7], by)
     assert passes and set(own) == set(joint)
     assert all(np.allclose(own[c][n], joint[c][n], rtol=1e-3, atol=1e-3) for c in own for n in (4, 7))
+
+
+def test_a_network_of_many_rows_is_fitted_in_passes(noisy, monkeypatch):
+    """Not by Spark ML, whose fit keeps two copies of its rows; more rows than may be cached are read from a compressed table."""
+    seen, fit = [], models.MultilayerPerceptronClassifier.fit
+    monkeypatch.setattr(models.MultilayerPerceptronClassifier, "fit", lambda self, rows: seen.append(self.getMaxIter()) or fit(self, rows))
+    monkeypatch.setattr(models, "ROWS", 100)
+    params, rows = {"layers": 1, "neurons": 4}, in_cell(noisy, 1)
+    cached = models.fit("MLP", params, rows)
+    codecs, real = [], networks.stage
+    monkeypatch.setattr(networks, "stage", lambda df, by=(), codec=None: codecs.append(codec) or real(df, by, codec))
+    monkeypatch.setattr(networks, "BYTES", 1)
+    staged = models.fit("MLP", params, rows)
+    assert set(seen) == {0} and codecs == ["zstd"]
+    x = np.array([r.features.toArray() for r in rows.collect()])
+    assert np.allclose(cached.kernel.probabilities(x), staged.kernel.probabilities(x), atol=1e-3)
